@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumaframe.llm import exact_dedup, mixing
+from lumaframe.llm import exact_dedup, mixing, token_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_token_ids": token_ids.op4_token_ids,
     "op7_mixing": mixing.op7_mixing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
