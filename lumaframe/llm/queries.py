@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumaframe.llm import exact_dedup, mixing, token_ids
+from lumaframe.llm import decontaminate, exact_dedup, mixing, token_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op4_token_ids": token_ids.op4_token_ids,
     "op7_mixing": mixing.op7_mixing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_decontaminate": decontaminate.OP1_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
