@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumaframe.llm import decontaminate, exact_dedup, mixing, simhash, token_ids
+from lumaframe.llm import decontaminate, exact_dedup, mixing, simhash, token_ids, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op4_token_ids": token_ids.op4_token_ids,
     "op7_mixing": mixing.op7_mixing,
     "op9_simhash": simhash.op9_simhash,
