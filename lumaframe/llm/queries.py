@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumaframe.llm import decontaminate, exact_dedup, mixing, simhash, token_ids, toxicity
+from lumaframe.llm import decontaminate, exact_dedup, language_id, mixing, quality, simhash, token_ids, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_toxicity": toxicity.op2_toxicity,
     "op4_token_ids": token_ids.op4_token_ids,
+    "op6_quality": quality.op6_quality,
     "op7_mixing": mixing.op7_mixing,
+    "op8_language_id": language_id.op8_language_id,
     "op9_simhash": simhash.op9_simhash,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
