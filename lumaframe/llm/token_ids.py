@@ -9,17 +9,19 @@ one table look-up an id. `start` counts the ids of the shard before the block; s
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumaframe.llm.common import discard, documents, materialize, new_path, partitions, small_batches, text_bytes
+from lumaframe.llm.common import discard, documents, materialize, new_path, partitions, small_batches
 
 #: Longest code in bits; the decoding table has 2^LIMIT entries.
 LIMIT = 18
@@ -27,11 +29,22 @@ BLOCK = 1 << 16
 STRIDE = 256
 #: Words whose ids a Python worker keeps at hand (about 150 bytes each); then it starts anew.
 CACHE = 800_000
-LETTERS = b"abcdefghijklmnopqrstuvwxyz"
+#: Words of lower-case Latin letters that no normalizer changes.
+PLAIN = re.compile("[a-zß-öø-ÿ]+")
 #: Stands between words that are encoded together.
 MARK = "\x01"
 
 
+def _byte_level() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies: itself, or the next one from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+BYTE_LEVEL = _byte_level()
+
+
 class WordCoder:
     """Ids of texts by a tokenizers file that lower-cases text and splits it at white space and at the ends of runs of letters.
 
@@ -42,62 +55,73 @@ class WordCoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: Ids as stored until they are packed.
+        self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self._reset()
 
     def _reset(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.pool, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _learn(self, new: set[bytes]) -> None:
-        # A letter before a final . or , ends a run of letters, so such a word's ids are those of its parts.
-        tailed = [w for w in new if w[-1] in b".," and len(w) > 1 and w[-2] in LETTERS]
-        whole = list((new.difference(tailed) | {w[:-1] for w in tailed} | {w[-1:] for w in tailed}).difference(self.index))
-        self._add(whole, *self._encode(whole))
-        parts = np.fromiter((self.index[x] for w in tailed for x in (w[:-1], w[-1:])), np.int64, 2 * len(tailed))
-        self._add(tailed, self._gather(parts), self.size[parts].reshape(-1, 2).sum(1))
+        self.index: dict[str, int] = {}
+        self.pool, self.start, self.size = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, new: list[str]) -> None:
+        # Lower-case Latin letters alone pass through normalizer and pre-tokenizer as they are: they go straight to the merges.
+        plain, other, merge = [], [], self.tokenizer.model.tokenize
+        for w in new:
+            (plain if PLAIN.fullmatch(w) else other).append(w)
+        got = [[t.id for t in merge(w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_LEVEL))] for w in plain]
+        self._add(plain, np.fromiter(chain.from_iterable(got), self.dtype), np.fromiter(map(len, got), np.int64, len(got)))
+        self._add(other, *self._encode(other))
 
     def _gather(self, at: np.ndarray) -> np.ndarray:
         """The ids of the words at these places, one after another."""
         size = self.size[at]
         return self.pool[np.repeat(self.start[at] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
 
-    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The words' ids, one after another, and their number for each word; words are encoded in runs with MARK between them."""
         runs, (mark,) = [], self.tokenizer.encode(MARK, add_special_tokens=False).ids
-        marked = {i for i, w in enumerate(words) if MARK.encode() in w}
+        marked = {i for i, w in enumerate(words) if MARK in w}
         for at in range(0, len(words), 500):
-            part = [b"" if i in marked else words[i] for i in range(at, min(at + 500, len(words)))]
-            runs.append(f" {MARK} ".join(b"\n".join(part).decode("utf-8", "replace").split("\n")) + f" {MARK}")
-        ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False))])
+            runs.append(f" {MARK} ".join("" if i in marked else words[i] for i in range(at, min(at + 500, len(words)))) + f" {MARK}")
+        ids = np.concatenate([np.zeros(0, self.dtype), *(np.array(x.ids, self.dtype) for x in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False))])
         ends = np.flatnonzero(ids == mark)
         ids, size = np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
         for i in sorted(marked):
-            own = self.tokenizer.encode(words[i].decode("utf-8", "replace"), add_special_tokens=False).ids
-            ids, size[i] = np.insert(ids, size[:i].sum(), np.array(own, np.uint32)), len(own)
+            own = self.tokenizer.encode(words[i], add_special_tokens=False).ids
+            ids, size[i] = np.insert(ids, size[:i].sum(), np.array(own, self.dtype)), len(own)
         return ids, size
 
-    def _add(self, words: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
+    def _add(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
         self.start = np.concatenate((self.start, len(self.pool) + np.cumsum(size) - size))
         self.size = np.concatenate((self.size, size))
         self.pool = np.concatenate((self.pool, ids))
         at = len(self.index)
         self.index.update(zip(words, range(at, at + len(words)), strict=True))
 
-    def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, each text's followed by end_id; and the number of ids of each text."""
+        texts = texts.cast(pa.string()).fill_null("")
         # Special tokens are found before letters are lower-cased.
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        words = list(chain.from_iterable(split))
+        split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+        words = split.flatten().dictionary_encode()
+        # A letter before a final . or , ends a run of letters, so such a word's ids are those of its parts.
+        tailed = pc.match_substring_regex(words.dictionary, "[a-z][.,]$")
+        parts = pa.concat_arrays([pc.if_else(tailed, pc.utf8_slice_codeunits(words.dictionary, 0, -1), words.dictionary), pc.if_else(tailed, pc.utf8_slice_codeunits(words.dictionary, -1), "")]).dictionary_encode()
+        known = parts.dictionary.to_pylist()
         if len(self.index) > CACHE:
             self._reset()
-        if new := set(words) - self.index.keys():
+        if new := [w for w in known if w not in self.index]:
             self._learn(new)
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        ids, ends = self._gather(at), np.cumsum(self.size[at])
-        per_text = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
-        bounds = np.concatenate(([0], ends))[per_text]
-        counts = np.diff(np.concatenate(([0], bounds)))
-        return np.insert(ids, bounds, np.uint32(end_id)), counts + 1
+        part = np.fromiter(map(self.index.__getitem__, known), np.int64, len(known))[parts.indices.to_numpy()].reshape(2, -1)
+        # The words of this batch, and the end id, as runs of ids of their own.
+        sizes = np.append(self.size[part].sum(0), 1)
+        run = np.append(self._gather(part.T.ravel()), np.array(end_id, self.dtype))
+        per_text = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = np.insert(words.indices.to_numpy().astype(np.int64), per_text, len(sizes) - 1)
+        size = sizes[at]
+        ends = np.cumsum(size)
+        ids = run[np.repeat((np.cumsum(sizes) - sizes)[at] - (ends - size), size) + np.arange(int(size.sum()))]
+        return ids, np.diff(np.concatenate(([0], ends[per_text + np.arange(len(per_text))])))
 
 
 @lru_cache(1)
@@ -172,22 +196,27 @@ def unpack(bits: bytes, checkpoints: np.ndarray, n: int, table: np.ndarray, size
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc_id, n_tokens, ids): ids of the whole text and end_id, as little-endian unsigned 32-bit integers."""
+    """(doc_id, n_tokens, ids): ids of the whole text and end_id, little-endian, of as many bytes as the vocabulary needs (2 or 4)."""
 
     def encode(batches):
         coder = word_coder(tokenizer)
-        for b in small_batches(batches):
-            ids, counts = coder.encode(text_bytes(b.column("text")), end_id)
+        for b in small_batches(batches, 2048):
+            ids, counts = coder.encode(b.column("text"), end_id)
             ends = np.cumsum(counts)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts), pa.array([ids[e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)], pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, n_tokens long, ids binary")
 
 
+def _stored(ids: list[bytes], counts: list[int]) -> np.ndarray:
+    joined = b"".join(ids)
+    return np.frombuffer(joined, f"<u{len(joined) // sum(counts)}")
+
+
 def _count(batches):
     counts = np.zeros(0, np.int64)
     for b in small_batches(batches):
-        got = np.bincount(np.frombuffer(b"".join(b.column("ids").to_pylist()), np.uint32))
+        got = np.bincount(_stored(b.column("ids").to_pylist(), b.column("n_tokens").to_pylist()))
         if len(got) > len(counts):
             counts, got = got, counts
         counts[: len(got)] += got
@@ -203,7 +232,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     """
     spark = docs.sparkSession
     tokens = materialize(tokenize(docs, tokenizer, end_id), "token-ids")
-    counts = tokens.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas().sort_values("id")  # a row for each id of the vocabulary
+    counts = tokens.select("ids", "n_tokens").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas().sort_values("id")  # a row for each id of the vocabulary
     lengths = code_lengths(counts["n"].to_numpy(np.int64))
     order = np.argsort(lengths, kind="stable")
     symbols, lengths = counts["id"].to_numpy(np.int64)[order], lengths[order]
@@ -216,7 +245,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
         doc_ids, sizes, parts, held = [], [], [], 0
 
         def close():
-            ids = np.frombuffer(b"".join(parts), np.uint32)
+            ids = _stored(parts, sizes)
             bits, starts = pack(code[ids], size[ids])
             row = {"shard": shard, "block": block, "start": start, "doc_ids": list(doc_ids), "doc_tokens": list(sizes), "bits": bits, "checkpoints": starts[::STRIDE].astype(np.uint32).tobytes()}
             return pa.RecordBatch.from_pylist([row], BLOCK_ARROW)
