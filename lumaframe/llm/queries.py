@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumaframe.llm import decontaminate, exact_dedup, language_id, mixing, quality, simhash, token_ids, toxicity
+from lumaframe.llm import decontaminate, exact_dedup, language_id, line_templates, mixing, quality, simhash, token_ids, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_toxicity": toxicity.op2_toxicity,
     "op4_token_ids": token_ids.op4_token_ids,
+    "op5_line_templates": line_templates.op5_line_templates,
     "op6_quality": quality.op6_quality,
     "op7_mixing": mixing.op7_mixing,
     "op8_language_id": language_id.op8_language_id,
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": decontaminate.OP1_SQL,
+    "op5_line_templates": line_templates.OP5_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
