@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumaframe.llm import decontaminate, exact_dedup, language_id, line_templates, mixing, quality, simhash, token_ids, toxicity
+from lumaframe.llm import decontaminate, exact_dedup, language_id, line_templates, mixing, quality, simhash, suffix_dedup, token_ids, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_token_ids": token_ids.op4_token_ids,
     "op5_line_templates": line_templates.op5_line_templates,
     "op6_quality": quality.op6_quality,
