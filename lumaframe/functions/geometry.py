@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 
 def fit_scale(view_w: Column, view_h: Column, width: Column, height: Column) -> Column:
-    return F.least(view_w / width, view_h / height) * 0.94
+    return F.greatest(F.lit(0.01), F.least(view_w / width, view_h / height) * 0.94)
 
 
-def zoomed(scale: Column, offset: Column, at: Column, factor: Column) -> Column:
-    """struct(scale, offset) after zooming about a point of the view; scale stays in 0.01..256."""
-    new = F.least(F.lit(256.0), F.greatest(F.lit(0.01), scale * factor))
+def zoomed(scale: Column, offset: Column, at: Column, wanted: Column) -> Column:
+    """struct(scale, offset) after zooming about a point of the view to the wanted scale, which is kept in 0.01..256."""
+    new = F.least(F.lit(256.0), F.greatest(F.lit(0.01), wanted))
     return F.struct(new.alias("scale"), (at - (at - offset) / scale * new).alias("offset"))
 
 
@@ -27,11 +27,11 @@ def pixel_near(view: Column, offset: Column, scale: Column, size: Column) -> Col
     return F.greatest(F.lit(0), F.least(size - 1, F.floor((view - offset) / scale)))
 
 
-def rotated(x: Column, y: Column, z: Column, yaw: float = -0.72, pitch: float = 0.92) -> Column:
-    """struct(x, y, depth) of a point turned about the vertical axis and tilted."""
+def projected(x: Column, y: Column, z: Column, yaw: float = -0.72, pitch: float = 0.92) -> Column:
+    """struct(x, y, depth) of a point of the graph turned about the vertical axis and tilted."""
     cy, sy, cp, sp = (f(F.lit(a)) for a in (yaw, pitch) for f in (F.cos, F.sin))
-    rx, ry = x * cy - y * sy, x * sy + y * cy
-    return F.struct(rx.alias("x"), (ry * sp - z * cp).alias("y"), (ry * cp + z * sp).alias("depth"))
+    back = x * sy + y * cy
+    return F.struct((x * cy - y * sy).alias("x"), (back * cp - z * sp).alias("y"), back.alias("depth"))
 
 
 def needs_side(value: Column, neighbour: Column) -> Column:
