@@ -11,6 +11,7 @@ from decimal import ROUND_HALF_UP, Decimal
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def plain(value: float) -> str:
@@ -37,12 +38,12 @@ def seven_digits(value: float) -> str:
     return text.rstrip("0").rstrip(".") if "." in text else text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def format_number(values: pd.Series) -> pd.Series:
     return values.map(seven_digits, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def format_exact(values: pd.Series) -> pd.Series:
     return values.map(plain, na_action="ignore")
 

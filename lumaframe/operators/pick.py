@@ -83,6 +83,6 @@ def rect_join(pixels: DataFrame, rects: DataFrame) -> DataFrame:
 
     A rectangle is cut into the rows it covers, so the join is on equal image and row; x decides within a row.
     """
-    rows = rects.select("rect_id", "image_id", F.col("x").alias("x0"), F.col("y").alias("y0"), "width", F.explode(F.sequence(F.col("y"), F.col("y") + F.col("height") - 1)).cast("int").alias("y"))
-    found = pixels.join(rows, ["image_id", "y"]).filter("x BETWEEN x0 AND x0 + width - 1")
+    rows = rects.select("rect_id", "image_id", F.col("x").alias("x0"), F.col("y").alias("y0"), "width", F.explode(F.sequence(F.col("y"), F.col("y") + F.col("height") - 1)).alias("row"))
+    found = pixels.join(rows.withColumnRenamed("row", "y"), ["image_id", "y"]).filter("x BETWEEN x0 AND x0 + width - 1")
     return found.select("rect_id", "image_id", (F.col("y") - F.col("y0")).cast("int").alias("y"), (F.col("x") - F.col("x0")).cast("int").alias("x"), *CHANNELS)
