@@ -12,8 +12,13 @@ from pyspark.sql import functions as F
 from lumaframe.functions.color import d, luminance
 from lumaframe.schema import CHANNELS, PIXELS, PROGRAM_PIXELS
 
-ALONG_X = Window.partitionBy("image_id", "y").orderBy("x")
-ALONG_Y = Window.partitionBy("image_id", "x").orderBy("y")
+
+def along_x():
+    return Window.partitionBy("image_id", "y").orderBy("x")
+
+
+def along_y():
+    return Window.partitionBy("image_id", "x").orderBy("y")
 
 
 def neighbour(c: Column, k: int, along) -> Column:
@@ -33,23 +38,23 @@ def _sum(columns: list[Column]) -> Column:
 
 def blur_3(pixels: DataFrame) -> DataFrame:
     """Mean of each pixel and its neighbours left and right, in double."""
-    return pixels.select("image_id", "y", "x", *[(_sum([neighbour(d(c), k, ALONG_X) for k in (-1, 0, 1)]) / 3).alias(c) for c in CHANNELS])
+    return pixels.select("image_id", "y", "x", *[(_sum([neighbour(d(c), k, along_x()) for k in (-1, 0, 1)]) / 3).alias(c) for c in CHANNELS])
 
 
 def box_blur(pixels: DataFrame, radius: int = 2) -> DataFrame:
     """Mean of the (2 * radius + 1)^2 pixels around, with borders repeated: sums along rows, then along columns."""
     reach, n = range(-radius, radius + 1), float((2 * radius + 1) ** 2)
-    rows = pixels.select("image_id", "y", "x", *[_sum([neighbour(d(c), k, ALONG_X) for k in reach]).alias(c) for c in CHANNELS])
-    return rows.select("image_id", "y", "x", *[(_sum([neighbour(F.col(c), k, ALONG_Y) for k in reach]) / n).alias(c) for c in CHANNELS])
+    rows = pixels.select("image_id", "y", "x", *[_sum([neighbour(d(c), k, along_x()) for k in reach]).alias(c) for c in CHANNELS])
+    return rows.select("image_id", "y", "x", *[(_sum([neighbour(F.col(c), k, along_y()) for k in reach]) / n).alias(c) for c in CHANNELS])
 
 
 def sobel(pixels: DataFrame) -> DataFrame:
     """(image_id, y, x, edge, a): the length of the luminance gradient."""
     lum = pixels.select("image_id", "y", "x", "a", luminance().alias("l"))
-    at = lambda k: neighbour(F.col("l"), k, ALONG_X)
+    at = lambda k: neighbour(F.col("l"), k, along_x())
     rows = lum.select("image_id", "y", "x", "a", (at(1) - at(-1)).alias("dx"), (at(-1) + 2 * F.col("l") + at(1)).alias("sx"))
-    gx = neighbour(F.col("dx"), -1, ALONG_Y) + 2 * F.col("dx") + neighbour(F.col("dx"), 1, ALONG_Y)
-    gy = neighbour(F.col("sx"), 1, ALONG_Y) - neighbour(F.col("sx"), -1, ALONG_Y)
+    gx = neighbour(F.col("dx"), -1, along_y()) + 2 * F.col("dx") + neighbour(F.col("dx"), 1, along_y())
+    gy = neighbour(F.col("sx"), 1, along_y()) - neighbour(F.col("sx"), -1, along_y())
     return rows.select("image_id", "y", "x", gx.alias("gx"), gy.alias("gy"), "a").select("image_id", "y", "x", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).alias("edge"), "a")
 
 

@@ -262,8 +262,8 @@ add("alpha_bytes", lambda s, d: display.display_bytes(events(s, d), "a", brightn
 add("file_bytes", lambda s, d: display.file_bytes(events(s, d)), f"WITH {EVENTS} SELECT image_id, y, x, {_list({c: sbyte(D[c]) for c in 'rgb'})}, {sround(sclamp(D['a']) + ' * 255')} AS a FROM px")
 add(
     "view_geometry",
-    lambda s, d: rounded(events(s, d).limit(0).unionByName(events(s, d)).select("y", "x", geometry.pixel_at(F.col("x") * 3.5 - 20, F.lit(10.0), F.lit(2.0), F.lit(100)).alias("inside"), geometry.pixel_near(F.col("x") * 3.5 - 20, F.lit(10.0), F.lit(2.0), F.lit(100)).alias("near"), geometry.zoomed(F.lit(2.0), F.lit(10.0), color.d("x"), color.d("y") * 4).alias("z"), geometry.quad_mean(*[color.d(c) for c in CHANNELS]).alias("quad")).select("y", "x", "inside", "near", "z.*", "quad")),
-    f"WITH {EVENTS}, t AS (SELECT *, floor((x * 3.5::DOUBLE - 20 - 10) / 2)::BIGINT AS k, least(256.0::DOUBLE, greatest(0.01::DOUBLE, y::DOUBLE * 4)) AS sc FROM px) SELECT y, x, CASE WHEN k >= 0 AND k < 100 THEN k END AS inside, greatest(0, least(99, k))::BIGINT AS near, {s6('sc', 'scale')}, {s6('x - (x - 10.0::DOUBLE) / 2.0::DOUBLE * sc', '\"offset\"')}, {s6('(r::DOUBLE + g::DOUBLE + b::DOUBLE + a::DOUBLE) / 4', 'quad')} FROM t",
+    lambda s, d: rounded(events(s, d).select("y", "x", F.coalesce(geometry.pixel_at(F.col("x") * 3.5 - 20, F.lit(10.0), F.lit(2.0), F.lit(100)), F.lit(-1)).alias("inside"), geometry.pixel_near(F.col("x") * 3.5 - 20, F.lit(10.0), F.lit(2.0), F.lit(100)).alias("near"), geometry.zoomed(F.lit(2.0), F.lit(10.0), color.d("x"), color.d("y") * 4).alias("z"), geometry.quad_mean(*[color.d(c) for c in CHANNELS]).alias("quad")).select("y", "x", "inside", "near", "z.*", "quad")),
+    f"WITH {EVENTS}, t AS (SELECT *, floor((x * 3.5::DOUBLE - 20 - 10) / 2)::BIGINT AS k, least(256.0::DOUBLE, greatest(0.01::DOUBLE, y::DOUBLE * 4)) AS sc FROM px) SELECT y, x, CASE WHEN k >= 0 AND k < 100 THEN k ELSE -1 END AS inside, greatest(0, least(99, k))::BIGINT AS near, {s6('sc', 'scale')}, {s6('x - (x - 10.0::DOUBLE) / 2.0::DOUBLE * sc', '\"offset\"')}, {s6('(r::DOUBLE + g::DOUBLE + b::DOUBLE + a::DOUBLE) / 4', 'quad')} FROM t",
 )
 add("csv_cells", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", text.csv_cell("props").alias("cell"), text.strip_extension(F.concat_ws(".", "event_type", "props")).alias("stem")), """SELECT event_id, CASE WHEN regexp_matches(props, '[",\r\n]') THEN '"' || replace(props, '"', '""') || '"' ELSE props END AS cell, regexp_replace(concat_ws('.', event_type, props), '\\.[^.]+$', '') AS stem FROM events""")
 add("mime_ranks", lambda s, d: s.createDataFrame([(t,) for t in (*text.EXTENSIONS, "application/octet-stream", "text/html", "")], "type string").select("type", text.mime_rank(F.col("type")).alias("rank"), text.mime_extension(F.col("type")).alias("extension")), "WITH t(type, extension) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in text.EXTENSIONS.items()) + ", ('application/octet-stream', NULL), ('text/html', NULL), ('', NULL)) SELECT type, (CASE WHEN regexp_matches(type, 'exr|radiance|hdr') THEN 0 WHEN type IN ('', 'application/octet-stream') THEN 1 WHEN type = 'image/png' THEN 2 WHEN type LIKE 'image/%' THEN 3 ELSE 4 END)::INTEGER AS rank, extension FROM t")
