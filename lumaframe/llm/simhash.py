@@ -196,7 +196,7 @@ def near_groups(docs: DataFrame, distance: int = DISTANCE, shard: int = SHARD) -
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs, all columns, with the document of smallest doc_id of each group; rows that repeat a doc_id are one document."""
+    """docs, all columns, with the document of smallest doc_id of each group; rows that repeat a doc_id, or have none, are one document."""
     stay = near_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(stay, docs["doc_id"].eqNullSafe(stay["__id"]), "left_semi")
 
