@@ -83,10 +83,10 @@ def resampled(pixels: DataFrame, width: int, height: int, to_width: int, to_heig
     for w, h in ((width, height), (to_width, to_height)):
         if w * h > PROGRAM_PIXELS:
             raise ValueError(f"Programs are limited to {PROGRAM_PIXELS} pixels.")
-    grid = pixels.sparkSession.range(to_width * to_height).selectExpr(f"cast(id div {to_width} AS int) AS y", f"cast(id % {to_width} AS int) AS x")
-    grid = grid.withColumns({"u": (F.col("x") + 0.5) / to_width, "v": (F.col("y") + 0.5) / to_height})
-    images = pixels.select("image_id").distinct()
-    return sampled(images.join(F.broadcast(grid), how="cross"), pixels, width, height).select("image_id", "y", "x", *CHANNELS)
+    rows = pixels.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(to_height - 1))).alias("y"))
+    points = rows.select("image_id", "y", F.explode(F.sequence(F.lit(0), F.lit(to_width - 1))).alias("x"))
+    points = points.withColumns({"u": (F.col("x") + 0.5) / to_width, "v": (F.col("y") + 0.5) / to_height})
+    return sampled(points, pixels, width, height).select("image_id", "y", "x", *CHANNELS)
 
 
 def mapped(pixels: DataFrame, **channels: str | Column) -> DataFrame:

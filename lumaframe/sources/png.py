@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 
 MAGIC = b"\x89PNG\r\n\x1a\n"
+# Fixed values of the format.
 #: Samples a pixel and legal depths of each colour type.
 TYPES = {0: (1, (1, 2, 4, 8, 16)), 2: (3, (8, 16)), 3: (1, (1, 2, 4, 8)), 4: (2, (8, 16)), 6: (4, (8, 16))}
 NAMES = {0: "gray", 2: "rgb", 3: "palette", 4: "gray-alpha", 6: "rgba"}
