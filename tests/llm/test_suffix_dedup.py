@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -11,8 +12,21 @@ from lumaframe.llm import suffix_dedup as sd
 from .conftest import prose
 
 
+def n_runs(text, texts):
+    """Maximal runs of bytes that repeated strings cover."""
+    starts = Counter(t[p : p + sd.SPAN] for t in texts for p in range(len(t) - sd.SPAN + 1))
+    covered = set()
+    for p in range(len(text) - sd.SPAN + 1):
+        if starts[text[p : p + sd.SPAN]] > 1:
+            covered.update(range(p, p + sd.SPAN))
+    return sum(k - 1 not in covered for k in covered)
+
+
 def check(docs, rows, **options):
     left = sd.brute_force([(t or "").encode() for _, t, *_ in rows])
+    runs = [n_runs((t or "").encode(), [(u or "").encode() for _, u, *_ in rows]) for _, t, *_ in rows] if len(rows) < 20 else None
+    if runs:
+        assert sorted(((r["doc_id"], r["n_spans"]) for r in sd.deduplicated(docs, **options).collect()), key=str) == sorted(((r[0], n) for r, n in zip(rows, runs, strict=True)), key=str)
     want = sorted(((i, len((t or "").encode()), len((t or "").encode()) - len(x), hashlib.sha256(x).hexdigest()) for (i, t, *_), x in zip(rows, left, strict=True)), key=str)
     got = sd.deduplicated(docs, **options)
     assert sorted((tuple(r) for r in got.select("doc_id", "n_bytes", "n_removed", F.sha2("text", 256)).collect()), key=str) == want
