@@ -59,6 +59,15 @@ def held_out(doc_id: str | Column, modulus: int, remainder: int) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % modulus == remainder
 
 
+def hashed_sample(df: DataFrame, key: str, most: int, total: int | None = None) -> DataFrame:
+    """The `most` rows of df with the smallest hash of key. Rows far above that hash leave before the sort, so its tasks give little more than that together."""
+    total = df.count() if total is None else total
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    if total > 2 * most:
+        df = df.filter(place < int((1 << 30) * (1.2 * most / total)))
+    return df.orderBy(place, key).limit(most)
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """The UTF-8 bytes of a string column; null gives b''."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
