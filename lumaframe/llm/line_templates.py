@@ -1,9 +1,9 @@
 r"""Line dedup with a log-template tree, in DataFrame operations only.
 
-The tree has a fixed depth: a line's leaf is its number of tokens and its first LEAD tokens, a token with a digit being the variable field
-<*>. Inside a leaf a token is generalised to <*> unless it stands at its place in MIN_DOCS documents or more. What remains is
+The tree has a fixed depth: a line's leaf is its number of tokens (what stands between single spaces) and its first LEAD tokens, a token
+with a digit being the variable field <*>. Inside a leaf a token is generalised to <*> unless it stands at its place in MIN_DOCS documents or more. What remains is
 the line's template. Lines are dropped when their template recurs in MIN_DOCS documents or more and at least CONSTANT of its tokens are
-fixed. Documents are counted for each distinct line, so a document counts once for each different line of a template.
+fixed; empty tokens don't count for that. Documents are counted for each distinct line, so a document counts once for each different line of a template.
 
 Only leaves that recur are looked into: leaf hashes are counted first, without text, and the lines of rare leaves never move. Equal lines are
 one row with a weight from then on, so a line that a third of all documents share is no hot key.
@@ -17,39 +17,44 @@ from pyspark.sql import functions as F
 from lumaframe.llm.common import documents, materialize
 
 LEAD, MIN_DOCS, CONSTANT = 3, 5, 0.6
+BLANK = " \t\r"
 
 
 def lines_of(text: str) -> Column:
     return F.split(F.coalesce(F.col(text), F.lit("")), "\n")
 
 
+def _mask(word: Column) -> Column:
+    return F.when(word.rlike("[0-9]"), "<*>").otherwise(word)
+
+
 def tokens(line: Column) -> Column:
-    """Tokens between spaces, tabs and carriage returns, with variable fields as <*>."""
-    words = F.filter(F.split(F.translate(line, "\t\r", "  "), " "), lambda w: w != "")
-    return F.transform(words, lambda w: F.when(w.rlike("[0-9]"), "<*>").otherwise(w))
+    """What stands between spaces, with variable fields as <*>."""
+    return F.transform(F.split(line, " "), _mask)
 
 
-def leaf(words: Column) -> Column:
-    """The hash of a line's place in the tree; null for a line without tokens."""
-    return F.when(F.size(words) > 0, F.xxhash64(F.size(words), F.slice(words, 1, LEAD)))
+def leaf(line: Column) -> Column:
+    """The hash of a line's place in the tree. Only the leading tokens are cut out; the others are counted by their spaces."""
+    spaces = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+    return F.xxhash64(spaces, F.transform(F.slice(F.split(line, " ", LEAD + 1), 1, LEAD), _mask))
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """(line_hash), distinct, of the lines of docs(doc_id, text) whose template recurs."""
-    leaves = docs.select(F.explode(F.array_distinct(F.transform(lines_of("text"), lambda x: leaf(tokens(x))))).alias("leaf"))
-    leaves = leaves.filter("leaf IS NOT NULL").groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_DOCS).select("leaf")
-    leaves = materialize(leaves, "template-leaves")
-    every = docs.select("doc_id", F.explode(lines_of("text")).alias("line")).withColumn("leaf", leaf(tokens(F.col("line"))))
+    every = docs.select("doc_id", F.explode(lines_of("text")).alias("line")).withColumn("leaf", leaf(F.col("line")))
+    # A leaf with fewer lines has fewer documents.
+    leaves = materialize(every.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_DOCS).select("leaf"), "template-leaves")
     # Spark broadcasts the leaves if the table just written is small enough, and shuffles otherwise.
-    own = every.filter("leaf IS NOT NULL").join(leaves, "leaf").groupBy("leaf", "line").agg(F.countDistinct("doc_id").alias("weight"))
+    own = every.join(leaves, "leaf").groupBy("leaf", "line").agg(F.countDistinct("doc_id").alias("weight"))
+    own = own.filter(F.trim("line", F.lit(BLANK)) != "")
     own = materialize(own.withColumn("line_hash", F.xxhash64("line")), "template-lines")
     words = own.withColumn("words", tokens(F.col("line")))
-    fixed = F.size(F.filter(F.slice("words", 1, LEAD), lambda w: w != "<*>"))
+    fixed = F.size(F.filter(F.slice("words", 1, LEAD), lambda w: ~w.isin("", "<*>")))
     places = words.filter(F.size("words") > LEAD).select("leaf", "line_hash", "weight", F.posexplode(F.slice("words", LEAD + 1, 1 << 30)).alias("place", "word"))
-    places = places.filter("word <> '<*>'").withColumn("field", F.xxhash64("leaf", "place", "word"))
+    places = places.filter("word NOT IN ('', '<*>')").withColumn("field", F.xxhash64("leaf", "place", "word"))
     common = places.groupBy("field").agg(F.sum("weight").alias("n")).filter(F.col("n") >= MIN_DOCS).select("field")
     kept = places.join(common, "field").groupBy("leaf", "line_hash").agg(F.bit_xor("field").alias("rest"), F.count("*").alias("n_rest"))
-    template = words.select("leaf", "line_hash", "weight", F.size("words").alias("n_words"), fixed.alias("n_lead")).join(kept, ["leaf", "line_hash"], "left")
+    template = words.select("leaf", "line_hash", "weight", F.size(F.array_remove("words", "")).alias("n_words"), fixed.alias("n_lead")).join(kept, ["leaf", "line_hash"], "left")
     template = materialize(template.fillna({"rest": 0, "n_rest": 0}), "template-of-lines")
     strong = template.filter(F.col("n_lead") + F.col("n_rest") >= CONSTANT * F.col("n_words"))
     often = strong.groupBy("leaf", "rest", "n_rest").agg(F.sum("weight").alias("n")).filter(F.col("n") >= MIN_DOCS).drop("n")
@@ -60,16 +65,16 @@ def drop_templates(docs: DataFrame) -> DataFrame:
     """docs, all columns, with text without the lines of recurring templates, and n_lines and n_dropped added.
 
     Columns of docs with the added names are replaced. Null text is one empty line and becomes empty; a document may lose all its lines.
-    Lines without tokens always stay. Rows that repeat a doc_id are one document when templates are counted. An empty table stays empty.
+    Blank lines always stay. Rows that repeat a doc_id are one document when templates are counted. An empty table stays empty.
     """
     docs = docs.drop("n_lines", "n_dropped")
     found = recurring_lines(docs.select("doc_id", "text"))
     keyed = docs.withColumn("__text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    lines = keyed.select("doc_id", "__text_hash", F.posexplode(F.transform(lines_of("text"), lambda x: F.xxhash64(x))).alias("place", "line_hash"))
+    lines = keyed.select("doc_id", "__text_hash", F.posexplode(lines_of("text")).alias("place", "line")).select("doc_id", "__text_hash", "place", F.xxhash64("line").alias("line_hash"))
     gone = lines.join(found, "line_hash").groupBy(F.col("doc_id").alias("__id"), F.col("__text_hash").alias("__hash")).agg(F.collect_set("place").alias("__gone"))
     joined = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["__id"]) & (keyed["__text_hash"] == gone["__hash"]), "left").withColumn("__lines", lines_of("text"))
-    stays = F.filter("__lines", lambda x, k: F.col("__gone").isNull() | ~F.array_contains("__gone", k))
-    out = joined.withColumns({"text": F.array_join(stays, "\n"), "n_lines": F.size("__lines").cast("long"), "n_dropped": F.greatest(F.size("__gone"), F.lit(0)).cast("long")})
+    stays = F.array_join(F.filter("__lines", lambda x, k: ~F.array_contains("__gone", k)), "\n")
+    out = joined.withColumns({"text": F.when(F.col("__gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(stays), "n_lines": F.size("__lines").cast("long"), "n_dropped": F.greatest(F.size("__gone"), F.lit(0)).cast("long")})
     return out.select(*docs.columns, "n_lines", "n_dropped")
 
 
@@ -80,13 +85,13 @@ def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = f"""
 WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
 distinct_lines AS (SELECT line, count(DISTINCT doc_id) AS weight FROM lines GROUP BY line),
-words AS (SELECT *, list_transform(list_filter(string_split(translate(line, chr(9) || chr(13), '  '), ' '), lambda w: w <> ''), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS w FROM distinct_lines),
-leaved AS (SELECT line, weight, w, len(w) AS n, w[1:{LEAD}] AS lead FROM words WHERE len(w) > 0),
+words AS (SELECT *, list_transform(string_split(line, ' '), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS w FROM distinct_lines),
+leaved AS (SELECT line, weight, w, len(w) AS n, len(list_filter(w, lambda x: x <> '')) AS full_words, w[1:{LEAD}] AS lead FROM words WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''),
 places AS (SELECT line, weight, n, lead, unnest(w[{LEAD + 1}:]) AS word, generate_subscripts(w[{LEAD + 1}:], 1) AS place FROM leaved),
-common AS (SELECT n, lead, place, word FROM places WHERE word <> '<*>' GROUP BY ALL HAVING sum(weight) >= {MIN_DOCS}),
+common AS (SELECT n, lead, place, word FROM places WHERE word NOT IN ('', '<*>') GROUP BY ALL HAVING sum(weight) >= {MIN_DOCS}),
 kept AS (SELECT p.line, string_agg(p.place || ':' || p.word, ' ' ORDER BY p.place) AS rest, count(*) AS n_rest FROM places p JOIN common c ON p.n = c.n AND p.lead = c.lead AND p.place = c.place AND p.word = c.word GROUP BY p.line),
 template AS (SELECT l.line, weight, n, lead, coalesce(rest, '') AS rest FROM leaved l LEFT JOIN kept k ON l.line = k.line
-  WHERE len(list_filter(lead, lambda x: x <> '<*>')) + coalesce(n_rest, 0) >= {CONSTANT} * n),
+  WHERE len(list_filter(lead, lambda x: x NOT IN ('', '<*>'))) + coalesce(n_rest, 0) >= {CONSTANT} * full_words),
 often AS (SELECT n, lead, rest FROM template GROUP BY ALL HAVING sum(weight) >= {MIN_DOCS}),
 recurring AS (SELECT line FROM template t JOIN often o ON t.n = o.n AND t.lead = o.lead AND t.rest = o.rest)
 SELECT doc_id, count(*) AS n_lines, count(r.line) AS n_dropped, sha256(coalesce(string_agg(l.line, chr(10) ORDER BY pos) FILTER (WHERE r.line IS NULL), '')) AS kept_sha256
