@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lumaframe.llm.common import documents, held_out, small_batches
+from lumaframe.llm.common import documents, hashed_sample, held_out, small_batches
 
-BUCKETS, SIZE, NONZERO, REACH = 8192, 64, 8, 2
+BUCKETS, SIZE, NONZERO, REACH = 8192, 64, 4, 2
 #: Labelled rows that training uses at most (those with the smallest hash of doc_id); a fifth of them fits the temperature.
 LABELLED = 16_000
 HIDDEN, STEPS, BATCH, RATE, DECAY = 32, 1500, 256, 5e-3, 1e-4
@@ -74,27 +74,22 @@ _known = Pieces()  # of this Python worker
 
 
 @lru_cache(1)
-def index_vectors() -> np.ndarray:
-    """NONZERO entries of +1 or -1 for each place."""
+def index_entries() -> tuple[np.ndarray, np.ndarray]:
+    """The index vector of each place as NONZERO dimensions and signs."""
     rng = np.random.default_rng(20_11)
-    out = np.zeros((BUCKETS, SIZE), np.int64)
-    for row in out:
-        row[rng.choice(SIZE, NONZERO, replace=False)] = rng.choice((-1, 1), NONZERO)
-    return out
+    at = np.array([rng.choice(SIZE, NONZERO, replace=False) for _ in range(BUCKETS)])
+    return at, rng.choice((-1.0, 1.0), at.shape)
 
 
 def add_contexts(total: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> None:
     """Add the index vectors of the REACH neighbours on both sides, within each text, to the context vectors."""
-    doc, vectors = np.repeat(np.arange(len(counts)), counts), index_vectors()
+    doc, (at, sign) = np.repeat(np.arange(len(counts)), counts), index_entries()
     for k in range(1, REACH + 1):
         same = doc[k:] == doc[:-k]
-        pair, n = np.unique(flat[:-k][same] * BUCKETS + flat[k:][same], return_counts=True)
-        left, right = pair // BUCKETS, pair % BUCKETS
+        left, right = flat[:-k][same], flat[k:][same]
         for own, other in ((left, right), (right, left)):
-            by = np.argsort(own, kind="stable")
-            first = np.flatnonzero(np.diff(own[by], prepend=-1))
-            if len(first):
-                total[own[by][first]] += np.add.reduceat(n[by, None] * vectors[other[by]], first)
+            places = (own[:, None] * SIZE + at[other]).ravel()
+            total += np.bincount(places, sign[other].ravel(), BUCKETS * SIZE).astype(np.int64).reshape(total.shape)
 
 
 def context_vectors(docs: DataFrame) -> np.ndarray:
@@ -126,21 +121,23 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
 
 
 def word_vectors(contexts: np.ndarray) -> np.ndarray:
+    """Context vectors of length 1, and their squares beside them."""
     size = np.sqrt((contexts.astype(np.float64) ** 2).sum(1))[:, None]
-    return (contexts / np.maximum(size, 1)).astype(np.float32)
+    vectors = contexts / np.maximum(size, 1)
+    return np.concatenate((vectors, vectors * vectors), axis=1).astype(np.float32)
 
 
-def pool(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    """Mean and standard deviation of the word vectors of each text, and its number of pieces on a log scale."""
+def pool(texts: pa.Array, both: np.ndarray) -> np.ndarray:
+    """Mean and standard deviation of the word vectors of each text, and its number of pieces on a log scale. both: the vectors and their squares."""
     flat, counts = _known.of(texts)
     out = np.zeros((len(counts), 2 * SIZE + 1))
-    for k, (n, end) in enumerate(zip(counts, np.cumsum(counts), strict=True)):
+    for k, (n, end) in enumerate(zip(counts.tolist(), np.cumsum(counts).tolist(), strict=True)):
         if n:
             places, times = np.unique(flat[end - n : end], return_counts=True)
-            rows, share = vectors[places], (times / n)[:, None]
-            mean = (share * rows).sum(0)
-            out[k, :SIZE], out[k, SIZE : 2 * SIZE] = mean, np.sqrt(np.maximum((share * rows * rows).sum(0) - mean * mean, 0))
+            out[k, : 2 * SIZE] = (times / n).astype(np.float32) @ both[places]
             out[k, -1] = np.log1p(n) / 10
+    mean = out[:, :SIZE]
+    out[:, SIZE : 2 * SIZE] = np.sqrt(np.maximum(out[:, SIZE : 2 * SIZE] - mean * mean, 0))
     return out
 
 
@@ -190,10 +187,8 @@ class Network:
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Network]:
     """Word vectors of all docs(doc_id, text), and a network fitted on at most LABELLED rows of labels(doc_id, quality) that aren't held out."""
     vectors = word_vectors(context_vectors(docs))
-    chosen = (
-        labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(~held_out("doc_id", 5, 0)).groupBy("doc_id").agg(F.max("quality").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    )
+    known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(~held_out("doc_id", 5, 0)).groupBy("doc_id").agg(F.max("quality").alias("label"))
+    chosen = hashed_sample(known, "doc_id", LABELLED)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches):
