@@ -1,7 +1,7 @@
 """Quality classifier: random-indexing word vectors, pooled for each document, and a two-layer network.
 
 Every word has a fixed sparse random index vector; a word's context vector is the sum of the index vectors of its neighbours over all documents.
-Words are hashed to BUCKETS places. Pooled mean and spread of a document's word vectors feed a network of one hidden layer,
+Words are hashed to BUCKETS places. Pooled mean and spread of a document's word vectors, and how much it repeats itself, feed a network of one hidden layer,
 trained with numpy on a bounded sample of labels; a temperature, fitted on labels it didn't see, calibrates its probabilities.
 """
 
@@ -25,7 +25,9 @@ BUCKETS, SIZE, NONZERO, REACH = 8192, 64, 4, 2
 #: Labelled rows that training uses at most (those with the smallest hash of doc_id); a fifth of them fits the temperature.
 LABELLED = 16_000
 HIDDEN, STEPS, BATCH, RATE, DECAY = 32, 1500, 256, 5e-3, 1e-4
-CACHE = 400_000
+#: Numbers that the network gets for a document.
+INPUTS = 2 * SIZE + 4
+CACHE = 300_000
 FAN_IN = 16
 PIECES = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
@@ -128,14 +130,17 @@ def word_vectors(contexts: np.ndarray) -> np.ndarray:
 
 
 def pool(texts: pa.Array, both: np.ndarray) -> np.ndarray:
-    """Mean and standard deviation of the word vectors of each text, and its number of pieces on a log scale. both: the vectors and their squares."""
+    """Mean and standard deviation of the word vectors of each text, its number of pieces on a log scale, the shares of pieces that equal the one before and
+    the one before that, and the share of different pieces. both: the vectors and their squares."""
     flat, counts = _known.of(texts)
-    out = np.zeros((len(counts), 2 * SIZE + 1))
+    out = np.zeros((len(counts), INPUTS))
+    again = [np.concatenate((np.zeros(k, np.int64), np.cumsum(flat[k:] == flat[:-k]))) if len(flat) > k else np.zeros(len(flat), np.int64) for k in (1, 2)]
     for k, (n, end) in enumerate(zip(counts.tolist(), np.cumsum(counts).tolist(), strict=True)):
         if n:
             places, times = np.unique(flat[end - n : end], return_counts=True)
             out[k, : 2 * SIZE] = (times / n).astype(np.float32) @ both[places]
-            out[k, -1] = np.log1p(n) / 10
+            repeats = [(c[end - 1] - c[min(end - n + lag - 1, end - 1)]) / n for lag, c in enumerate(again, 1)]
+            out[k, 2 * SIZE :] = np.log1p(n) / 10, *repeats, len(places) / n
     mean = out[:, :SIZE]
     out[:, SIZE : 2 * SIZE] = np.sqrt(np.maximum(out[:, SIZE : 2 * SIZE] - mean * mean, 0))
     return out
@@ -199,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Network]:
     # The chosen labels are at most LABELLED rows of two numbers.
     got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, label int, x binary").toPandas()
     got = got.sort_values(["doc_id", "x"], kind="stable").drop_duplicates("doc_id")
-    x = np.array([np.frombuffer(r, np.float32) for r in got["x"]], np.float64).reshape(-1, 2 * SIZE + 1)
+    x = np.array([np.frombuffer(r, np.float32) for r in got["x"]], np.float64).reshape(-1, INPUTS)
     order = np.random.default_rng(3).permutation(len(x))
     return vectors, Network(x[order], got["label"].to_numpy(np.float64)[order])
 
