@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumaframe.llm.common import discard, documents, materialize, partitions, small_batches, text_bytes
+from lumaframe.llm.common import discard, documents, hashed_sample, materialize, partitions, small_batches, text_bytes
 
 SPAN, GRAM = 400, 32
 #: Window starts of an item at most, and the bytes that all its windows share.
@@ -338,7 +338,7 @@ def covered_windows(contexts: DataFrame) -> DataFrame:
     ranges = max(1, -(-n // RANGE))
     splitters = []
     if ranges > 1:
-        some = sort.select(F.substring("suffix", 1, SPLIT_BYTES).alias("s"), "item").orderBy(F.xxhash64("item")).limit(SAMPLE).toPandas()["s"]
+        some = hashed_sample(sort.select(F.substring("suffix", 1, SPLIT_BYTES).alias("s"), "item"), "item", SAMPLE, n).toPandas()["s"]
         some = sorted(bytes(x) for x in some)
         splitters = sorted({some[len(some) * k // ranges] for k in range(1, ranges)})
     runs = sort.select("suffix", "before", "item", "n", "low", "high").mapInArrow(_sorted_runs(splitters), RUNS)
@@ -352,11 +352,12 @@ def covered_windows(contexts: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, text_hash, spans array<struct<start, end>>) of the documents of docs(doc_id, text, text_hash) with repeated bytes."""
     items = materialize(docs.mapInArrow(_items, ITEMS), "suffix-items")
-    repeated = items.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core")
+    # As tables of their own these join by a plain exchange on both sides, so Spark can split a core that many items share.
+    repeated = materialize(items.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core"), "suffix-cores")
     own = materialize(items.join(repeated, "core"), "suffix-repeated")
     discard(items)
     kinds = own.groupBy("core", "item").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "at", "low", "high")).alias("one"))
-    hot_cores = own.groupBy("core").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("core", F.lit(True).alias("hot"))
+    hot_cores = materialize(own.groupBy("core").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("core", F.lit(True).alias("hot")), "suffix-hot")
     chosen = kinds.join(hot_cores, "core", "left").select("one.doc_id", "one.text_hash", F.struct("item", "core", "n", F.coalesce("hot", F.lit(False)).alias("hot"), "one.at", "one.low", "one.high").alias("c"))
     by_doc = chosen.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_list("c").alias("chosen"))
     texts = docs.join(by_doc, docs["doc_id"].eqNullSafe(by_doc["__id"]) & (docs["text_hash"] == by_doc["__hash"])).select("text", "chosen")
