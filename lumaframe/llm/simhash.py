@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumaframe.llm.common import LOWER_BYTES, documents, materialize, small_batches, text_bytes
+from lumaframe.llm.common import LOWER_BYTES, documents, hashed_sample, materialize, small_batches, text_bytes
 from lumaframe.llm.components import components
 
 DISTANCE = 3
@@ -142,7 +142,7 @@ def near_links(distinct: DataFrame, distance: int = DISTANCE, shard: int = SHARD
     depth = max(0, int(np.ceil(np.log2(max(n, 1) / shard)) * 1.5)) if n > shard else 0
     tree = None
     if depth:
-        sample = distinct.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+        sample = hashed_sample(distinct.select("fp"), "fp", SAMPLE, n).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
         tree = build_tree(sample, depth, distance)
 
     def shards(batches):
