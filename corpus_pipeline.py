@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumaframe.llm import decontaminate, mixing, simhash, token_ids, toxicity
+from lumaframe.llm import decontaminate, mixing, near_copies, simhash, token_ids, toxicity
 from lumaframe.llm.common import materialize
 
 
@@ -17,8 +17,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group of linked fingerprints."""
-    return simhash.drop_near_copies(docs)
+    """The document of smallest doc_id of each group: of linked fingerprints as in op9, then of texts with 0.8 or more of their five-word shingles in common."""
+    return near_copies.drop_near_copies(materialize(simhash.drop_near_copies(docs), "fingerprints-apart"))
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
