@@ -91,8 +91,11 @@ def resampled(pixels: DataFrame, width: int, height: int, to_width: int, to_heig
 
 def mapped(pixels: DataFrame, **channels: str | Column) -> DataFrame:
     """A pixel program of column expressions over u, v, r, g, b, a, x, y, width, height; a channel that isn't given is 0, alpha 1."""
-    size = Window.partitionBy("image_id")
-    known = pixels.withColumns({"width": F.max("x").over(size) + 1, "height": F.max("y").over(size) + 1}) if {"u", "v", "width", "height"} & _names(channels) else pixels
+    known = pixels
+    if {"u", "v", "width", "height"} & _names(channels):
+        # One row for each image, so that the pixels of a large image needn't meet in one task.
+        sizes = pixels.groupBy(F.col("image_id").alias("__image")).agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+        known = pixels.drop("width", "height").join(sizes, F.col("image_id").eqNullSafe(F.col("__image"))).drop("__image")
     if known is not pixels:
         known = known.withColumns({"u": (F.col("x") + 0.5) / F.col("width"), "v": (F.col("y") + 0.5) / F.col("height")})
     value = lambda c: F.lit(1.0 if c == "a" else 0.0) if c not in channels else F.expr(channels[c]) if isinstance(channels[c], str) else channels[c]

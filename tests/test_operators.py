@@ -130,3 +130,11 @@ def test_small_operators(spark, noise):
     rects = spark.createDataFrame([(1, "i", 7, 5, 2, 2), (2, "i", 0, 0, 1, 1)], "rect_id int, image_id string, x int, y int, width int, height int")
     assert pick.rect_join(px, rects).groupBy("rect_id").count().orderBy("rect_id").collect() == [(1, 4), (2, 1)]
     assert select.crop(px, Rect(0, 0, 9, 7)).agg(F.count("*")).first()[0] == 63
+
+
+def test_a_program_measures_images_without_a_window(spark):
+    px = spark.createDataFrame([(i, y, x, 1.0, 0.5, 0.25, 1.0) for i, w in (("p", 4), ("q", 2), (None, 5)) for y in range(2) for x in range(w)], "image_id string, y int, x int, r float, g float, b float, a float")
+    out = stencil.mapped(px, r="u * width", g="v * height", b="width", a="height")
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = out.collect()
+    assert len(rows) == 22 and all(abs(r["r"] - r["x"] - 0.5) < 1e-5 and r["g"] == r["y"] + 0.5 and r["a"] == 2 and r["b"] == {"p": 4, "q": 2, None: 5}[r["image_id"]] for r in rows)
