@@ -5,18 +5,22 @@ are its prefix: two sets that are similar enough share a shingle of their prefix
 shows to be frequent come last, which keeps boilerplate out of prefixes; the sample shapes the order, never the result. How many shingles
 two prefixes share bounds the overlap of the sets, and only pairs that the bound leaves are compared as whole sets.
 
-A large group of near copies never meets in pairs: first each set is compared with one that comes just before it among those with
-the same prefix shingles, and after that only sets that this didn't connect are paired. Sets are known by a 64-bit hash; equal ones are one node.
+A large group of near copies never meets in pairs: first each set is compared with a hub, the one of all sets with a prefix shingle that
+shares most of its own (an original among its copies), then with hubs of random orders, and after that only sets that this didn't
+connect are paired. Hubs are found by aggregation and joined back, so that no prefix shingle gathers its sets in one task.
+Sets are known by a 64-bit hash; equal ones are one node.
 """
 
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumaframe.llm.common import LOWER_BYTES, discard, hashed_sample, materialize, small_batches, text_bytes
@@ -25,6 +29,8 @@ from lumaframe.llm.components import components
 SHINGLE, SIMILARITY = 5, 0.8
 #: Documents of the sample that orders shingles, and how many of them make a shingle frequent.
 SAMPLE, FREQUENT = 4000, 3
+#: Rounds with hubs of a random order.
+ROUNDS = 1
 #: Against rounding of products with the similarity; far less than one shingle of the largest set.
 TIE = 1e-6
 
@@ -34,11 +40,14 @@ def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
     words = text.translate(LOWER_BYTES).split()
     if not words:
         return np.zeros(0, np.uint64)
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    last = ends[size - 1 :] if len(words) >= size else ends[-1:]
-    first = np.concatenate(([0], ends + 1))[: len(last)]
-    return np.unique(np.array([digest(joined[s:e]) for s, e in zip(first.tolist(), last.tolist(), strict=True)], np.uint64))
+    w = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    m = max(1, len(w) - size + 1)
+    h = np.zeros(m, np.uint64)
+    for k in range(min(size, len(w))):
+        h = (h ^ w[k : k + m]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    h.sort()
+    return h[np.concatenate(([True], h[1:] != h[:-1]))]
 
 
 def prefix(found: np.ndarray, frequent: np.ndarray, similarity: float) -> np.ndarray:
@@ -80,78 +89,101 @@ def _sets(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_hash long, key long, n long, prefix array<long>")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose whole sets are similar enough."""
-    pairs = materialize(pairs, "near-candidates")
-    wanted = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct()
-    wanted = nodes.join(wanted, "key", "left_semi").select("key", "text_hash")
-    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(wanted, "text_hash").dropDuplicates(["key"])
+def _packed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, packed), the compressed texts of wanted(key, text_hash); equal texts of docs each give a row."""
 
-    def whole(batches):
+    def pack(batches):
+        write = zstandard.ZstdCompressor(level=3).compress
         for b in small_batches(batches):
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([shingles(t, size).tobytes() for t in text_bytes(b.column("text"))], pa.binary())], ["key", "found"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(map(write, text_bytes(b.column("text"))), pa.binary())], ["key", "packed"])
+
+    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(wanted, "text_hash")
+    return texts.select("key", "text").mapInArrow(pack, "key long, packed binary")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose whole sets are similar enough."""
+    pairs = materialize(pairs, "near-candidates")
 
     def near(batches):
+        read = zstandard.ZstdDecompressor().decompress
+
+        @lru_cache(64)
+        def found(packed: bytes) -> np.ndarray:
+            return shingles(read(packed), size)
+
         for b in small_batches(batches):
             keep = []
-            for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(b.column("a"), b.column("b"), strict=True):
+                x, y = found(x.as_py()), found(y.as_py())
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * (len(x) + len(y) - both) - TIE)
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = materialize(texts.select("key", "text").mapInArrow(whole, "key long, found binary"), "near-sets")
-    a, b = (sets.select(F.col("key").alias(k), F.col("found").alias(f)) for k, f in (("u", "a"), ("v", "b")))
+    # Few texts are hubs, so only those asked for are dealt.
+    a, b = (texts.select(F.col("key").alias(k), F.col("packed").alias(f)).join(pairs.select(k).distinct(), k, "left_semi").dropDuplicates([k]) for k, f in (("u", "a"), ("v", "b")))
     links = materialize(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(near, "u long, v long"), "near-links")
-    discard(pairs), discard(sets)
+    discard(pairs)
     return links
 
 
 def near_links(nodes: DataFrame, sets: DataFrame, docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """Edges (u, v) that connect all nodes(key, text_hash, n) whose sets are similar enough; sets(key, prefix) may repeat a key."""
-    same = Window.partitionBy("h")
-    rows = sets.select("key", F.explode("prefix").alias("h")).withColumns({"low": F.min("key").over(same), "high": F.max("key").over(same)})
+    """Edges (u, v) that connect all nodes(key, text_hash) whose sets are similar enough; sets(key, n, prefix) may repeat a key."""
+    every = sets.select("key", "n", F.explode("prefix").alias("h"))
     # Most shingles of prefixes stand in one set only; the others are few rows from here on.
-    rows = rows.filter("low < high").select("h", "key").distinct()
-    sizes = nodes.select("key", "n")
-    rows = prefixes = materialize(rows.join(sizes, "key"), "near-prefixes")
+    shared = materialize(every.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("h"), "near-shared")
+    rows = materialize(every.join(shared, "h").distinct(), "near-prefixes")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("shared"))
+    texts = materialize(_packed(docs, nodes.select("key", "text_hash").join(sizes, "key", "left_semi")), "near-texts")
     close = f"least(n, m) >= {similarity} * greatest(n, m) - {TIE}"
     # A common shingle stands in both prefixes, or behind the prefix that ends first.
     behind = f"ceil({similarity} * greatest(n, m) - {TIE}) - 1"
     enough = f"{close} AND common + {behind} >= {similarity / (1 + similarity)} * (n + m) - {TIE}"
-    # Each set with the one that most of its shingles have just before it in some order: sets of a large group become chains, then one group.
-    links, joined = None, rows.withColumn("root", F.col("key"))
-    for orders in ([["n", "key"], ["key"]], [[F.xxhash64("key", F.lit(k)), "key"] for k in range(3)]):
-        before = {f"by{k}": F.lag(F.struct("key", "n", "root")).over(same.orderBy(*order)) for k, order in enumerate(orders)}
-        first = joined.withColumns(before).select("key", "n", "root", F.explode(F.array(*before)).alias("p")).filter("p IS NOT NULL AND p.root <> root")
-        first = first.select(F.col("key").alias("u"), "n", F.col("p.key").alias("v"), F.col("p.n").alias("m")).filter(close)
-        # v doesn't stand just before u in all they share, so half of the bound is asked for; pairs that this misses meet below.
-        first = first.groupBy("u", "v", "n", "m").agg((2 * F.count("*")).alias("common")).filter(enough).groupBy("u").agg(F.max_by("v", F.struct("common", "v")).alias("v"))
-        found = _verified(first, nodes, docs, size, similarity)
+    links, joined, tables = None, rows.join(sizes, "key").withColumn("root", F.col("key")), [shared, rows, texts]
+    for k in range(ROUNDS + 1):
+        # Numbers that differ by key, so that hubs are hash aggregates of numbers.
+        order = F.xxhash64("key", F.lit(k)) if k else F.shiftleft(F.least("shared", F.lit(1 << 22)), 40) + F.pmod(F.xxhash64("key"), F.lit(1 << 40))
+        ranked = joined.withColumn("order", order)
+        hubs = ranked.groupBy("h").agg(*[f(c, "order").alias(f"{f.__name__[:3]}_{c}") for f in (F.max_by, F.min_by) for c in ("key", "n", "root")]).filter("max_key <> min_key")
+        other = [F.when(F.col("max_root") != F.col("root"), F.col(f"max_{c}")).otherwise(F.col(f"min_{c}")) for c in ("key", "n", "root")]
+        met = joined.join(hubs, "h").withColumn("p", F.struct(other[0].alias("key"), other[1].alias("n"), other[2].alias("root"))).filter("p.root <> root")
+        met = met.select(F.col("key").alias("u"), "n", F.col("p.key").alias("v"), F.col("p.n").alias("m")).filter(close)
+        # v isn't the hub of all they share, so half of the bound is asked for; pairs that this misses meet below.
+        met = met.groupBy("u", "v", "n", "m").agg((2 * F.count("*")).alias("common")).filter(enough)
+        found = _verified(met.groupBy("u").agg(F.max_by("v", F.struct("common", "v")).alias("v")), texts, size, similarity)
         links = found if links is None else links.unionByName(found)
         roots = components(links).select(F.col("u").alias("key"), F.col("v").alias("root"))
-        joined = rows.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    rows = joined.withColumns({"low": F.min("root").over(same), "high": F.max("root").over(same)})
-    rows = materialize(rows.filter("low < high").select("h", F.col("key").alias("u"), "n", "root"), "near-apart")
-    other = rows.toDF("h", "v", "m", "other")
-    met = rows.join(other, "h").filter(f"u < v AND root <> other AND {close}").groupBy("u", "v", "n", "m").agg(F.count("*").alias("common"))
-    links = links.unionByName(_verified(met.filter(enough).select("u", "v"), nodes, docs, size, similarity))
-    discard(prefixes), discard(rows)
+        # From here on only shingles that stand in sets of several groups matter.
+        rooted = rows.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        mixed = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("h")
+        joined = materialize(rooted.join(mixed, "h"), "near-apart")
+        rows = joined.drop("root")
+        tables.append(joined)
+    apart = joined.select("h", F.col("key").alias("u"), "n", "root")
+    other = apart.toDF("h", "v", "m", "other")
+    met = apart.join(other, "h").filter(f"u < v AND root <> other AND {close}").groupBy("u", "v", "n", "m").agg(F.count("*").alias("common"))
+    links = links.unionByName(_verified(met.filter(enough).select("u", "v"), texts, size, similarity))
+    for done in tables:
+        discard(done)
     return links
 
 
 def near_groups(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id and component_id, the smallest doc_id that is not null in the group, of each row of docs(doc_id, text).
 
-    Texts without words are copies of each other.
+    Null and empty texts and others without words are copies of each other; a long text counts whole. Rows that repeat a doc_id each
+    give a row, an empty table gives none, and other columns are ignored.
     """
-    sets = materialize(_sets(docs, size, similarity), "near-texts")
-    # Rows of one key have one set and so one n; their texts may differ in case, spaces and repeats.
-    nodes = materialize(sets.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.max("n").alias("n")), "near-nodes")
-    roots = components(near_links(nodes, sets, docs, size, similarity)).select(F.col("u").alias("key"), F.col("v").alias("root"))
+    sets = materialize(_sets(docs, size, similarity), "near-sets")
+    # Rows of one key have one set; their texts may differ in case, spaces and repeats.
+    nodes = materialize(sets.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash")), "near-nodes")
+    owners = materialize(sets.select("doc_id", "key"), "near-owners")
+    links = near_links(nodes, sets, docs, size, similarity)
+    discard(sets)
+    roots = components(links).select(F.col("u").alias("key"), F.col("v").alias("root"))
     rooted = nodes.select("key", "least").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "component_id")
-    return sets.select("doc_id", "key").join(named, "key").select("doc_id", "component_id")
+    return owners.join(named, "key").select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

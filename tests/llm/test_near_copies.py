@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -8,9 +9,14 @@ from lumaframe.llm import near_copies
 from .conftest import prose
 
 
+def plain_shingles(text, size):
+    words = re.findall(r"[^ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    return {tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
+
+
 def jaccard_groups(rows, size=5, similarity=0.8):
     """The ids of smallest doc_id of each group, by looking at all pairs."""
-    found = [(i, set(near_copies.shingles((t or "").encode(), size).tolist())) for i, t, *_ in rows]
+    found = [(i, plain_shingles(t or "", size)) for i, t, *_ in rows]
     root = list(range(len(found)))
 
     def find(x):

@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from lumaframe.llm import mixing, toxicity
 
-from . import test_decontaminate, test_simhash
+from . import test_decontaminate, test_near_copies, test_simhash
 
 
 def test_every_stage_against_plain_python(spark, sf):
@@ -26,7 +26,9 @@ def test_every_stage_against_plain_python(spark, sf):
     weights, b = toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
     clean = [i for i in sorted(text) if weights[toxicity.features([text[i].encode()])[0]].sum() + b < 0]
     assert sorted(kept["toxicity"]) == clean and len(clean) < len(text)
-    near = [i for i, _, c in test_simhash.brute([(i, text[i]) for i in clean]) if i == c]
+    apart = [i for i, _, c in test_simhash.brute([(i, text[i]) for i in clean]) if i == c]
+    near = [i for i, c in test_near_copies.jaccard_groups([(i, text[i]) for i in apart]) if i == c]
+    assert len(near) < len(apart) < len(clean)
     assert sorted(kept["simhash near-dedup"]) == sorted(near)
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
     left = sorted(r[0] for r in test_decontaminate.brute([(i, text[i]) for i in near], items) if not r[5])
