@@ -1,4 +1,5 @@
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -132,6 +133,50 @@ def test_language_edges(edge_docs, edge_rows, no_docs):
 
 
 def test_kernel_counts_common_grams():
-    a, b = language_id.presence([b"abab", b"ab", b""])[:2], language_id.presence([b"ab"])
+    a, b = (next(language_id.presence(x))[1].copy() for x in ([b"abab", b"ab", b""], [b"ab"]))
     assert a[1].sum() == 3  # a, b, ab
     assert np.allclose(language_id.kernel(a, b)[1], 1) and 0 < language_id.kernel(a, b)[0, 0] < 1
+
+
+def test_pieces_hold_every_gram(monkeypatch):
+    text = prose(3, 900).encode()
+    whole = np.zeros(1 << language_id.BITS, np.float32)
+    language_id.mark(whole, text, len(text))
+    pieces = np.concatenate([rows.copy() for _, rows in language_id.presence([b"", text])])[1:]
+    assert len(pieces) == language_id.cuts(len(text))[0] > 3 and (pieces.max(0) == whole).all()
+    monkeypatch.setattr(language_id, "BLOCK", 3)
+    assert (np.concatenate([rows.copy() for _, rows in language_id.presence([b"", text])])[1:] == pieces).all()
+
+
+@cache
+def vocabulary(language: int) -> np.ndarray:
+    """60,000 words made of sounds of the language's own."""
+    sounds = np.random.default_rng(language)
+    parts = np.array([a + b for a in sounds.choice(list("bcdfghjklmnpqrstvwz"), 11) for b in sounds.choice(list("aeiouyäöé"), 5)])
+    return np.array(["".join(w) for w in parts[sounds.integers(0, len(parts), (60_000, 3))]] + parts.tolist())
+
+
+def rich(language: int, seed: int, size: int) -> str:
+    """A text of `size` letters in a made-up language."""
+    words = vocabulary(language)
+    return " ".join(words[np.random.default_rng(1000 + seed).integers(0, len(words), 1 + size // 2)])[:size]
+
+
+def test_long_texts_of_many_words_keep_their_language(spark):
+    names = ["aa", "bb", "cc", "dd"]
+    rows = [(100 * k + j, rich(k, j, (300, 3000, 30_000)[j % 3]), names[k]) for k in range(4) for j in range(18)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    test = [(1000 + 10 * k + j, rich(k, 50 + j, size), names[k]) for k in range(4) for j, size in enumerate((300, 3000, 30_000, 300_000, 2_000_000))]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(spark.createDataFrame([r[:2] for r in test], "doc_id long, text string"), model).collect()}
+    assert sum(got[i] == lang for i, _, lang in test) >= 0.95 * len(test)
+
+
+def test_signs_that_are_no_letters(spark):
+    model = language_id.train(spark.createDataFrame([(k, prose(k, 30), "en") for k in range(9)], "doc_id long, text string, lang string"))
+    docs = spark.createDataFrame([(1, "½ ² Ⅷ"), (2, "½ a"), (3, "ª")], "doc_id long, text string")
+    assert [r["lang_pred"] for r in language_id.predict(docs, model).orderBy("doc_id").collect()] == ["und", "en", "en"]
+
+
+def test_a_repeated_row_is_learned_once(spark):
+    rows = [(k, prose(k, 50), "en") for k in range(4)] + [(9, prose(9, 50), "de")] * 3000
+    assert len(language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))[0]) <= 5
