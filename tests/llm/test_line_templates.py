@@ -1,4 +1,6 @@
 import hashlib
+import re
+from collections import Counter, defaultdict
 
 from lumaframe.llm import line_templates
 
@@ -42,6 +44,68 @@ def test_prose_with_a_common_start_stays(spark):
     assert line_templates.drop_templates(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_dropped > 0").count() == 0
 
 
+def brute(rows):
+    """{line of a recurring template}, by loops over (doc_id, text)."""
+    documents = defaultdict(set)
+    for i, text in rows:
+        for line in (text or "").split("\n"):
+            if line.strip(" \t\r"):
+                documents[line].add(i)
+    weight = {line: len(ids - {None}) for line, ids in documents.items()}
+    words = {line: ["<*>" if re.search("[0-9]", w) else w for w in line.split(" ")] for line in documents}
+    lead = line_templates.LEAD
+    lines, tokens, owners, members = Counter(), Counter(), defaultdict(set), defaultdict(set)
+    for line, w in words.items():
+        leaf = (len(w), *w[:lead])
+        lines[leaf] += weight[line]
+        tokens.update({(leaf, k, w[k]): weight[line] for k in range(lead, len(w))})
+    for line, w in words.items():
+        leaf = (len(w), *w[:lead])
+        for share in line_templates.LEVELS:
+            kept = [x if k < lead or not share or 100 * tokens[leaf, k, x] > share * lines[leaf] else "<*>" for k, x in enumerate(w)]
+            if 100 * sum(x not in ("", "<*>") for x in kept) >= line_templates.CONSTANT * sum(x != "" for x in w):
+                template = (share, tuple("<*>" if x == "" and k >= lead else x for k, x in enumerate(kept)))
+                owners[template] |= documents[line] - {None}
+                members[template].add(line)
+    return {line for t, ids in owners.items() if len(ids) >= line_templates.MIN_DOCS for line in members[t]}
+
+
+def dropped(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return {(r["doc_id"], r["n_dropped"]) for r in line_templates.drop_templates(docs).collect()}
+
+
+def fields(n, copies=1):
+    names = [f"{a}{b}" for a in ("an", "bo", "ci", "du", "ek", "fa", "gol", "hin", "ir", "ju") for b in ("na", "ri", "to", "ve", "zu", "la", "mi", "po", "se", "dy")]
+    lines = [f"login accepted for {a} at the front gate of {b}" for a in names[:n] for b in names[50 : 50 + n]] * copies
+    return list(enumerate(lines))
+
+
+def test_against_loops(spark):
+    rows = [(k, "\n".join([prose(k, 30), *(f"sent from my {w} phone on day {k}" for w in ("old", "new")[: k % 3]), "page  2 of  the same report"[: 10 + 3 * (k % 7)], "all rights of the house are kept" * (k % 2)])) for k in range(60)]
+    rows += fields(5, 2) + [(None, "sent from my old phone on day 1"), (7, rows[7][1])]
+    found = brute(rows)
+    want = {(i, sum(x in found for x in (t or "").split("\n"))) for i, t in rows}
+    assert dropped(spark, rows) == want and any(n for _, n in want)
+
+
+def test_many_lines_of_one_document_are_one_document(spark):
+    rows = [(1, "\n".join(f"item {k} costs 30 coins today" for k in range(6))), (2, prose(1, 30)), (3, prose(2, 30))]
+    assert dropped(spark, rows) == {(1, 0), (2, 0), (3, 0)}
+    rows += [(10 + k, f"item {k} costs 30 coins today") for k in range(4)]
+    assert dropped(spark, rows) == {(1, 6), (2, 0), (3, 0)} | {(10 + k, 1) for k in range(4)}
+
+
+def test_more_values_of_a_field_find_no_fewer_templates(spark):
+    for n, copies in ((4, 1), (4, 2), (10, 1), (60, 1)):
+        assert {k for _, k in dropped(spark, fields(n, copies))} == {1}
+
+
+def test_two_templates_of_a_leaf(spark):
+    lines = ["by the way we close the doors at night", "by the way she paints small boats of wood"]
+    assert {k for _, k in dropped(spark, [(k, lines[k % 2]) for k in range(20)])} == {1}
+
+
 def test_one_python_free_plan(spark, sf):
     plan = line_templates.op5_line_templates(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
