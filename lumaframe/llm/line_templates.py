@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumaframe.llm.common import documents, materialize
+from lumaframe.llm.common import carried, documents, materialize
 
 LEAD, MIN_DOCS, CONSTANT = 3, 5, 60
 #: Percentage of a leaf's lines that a token needs more of to stay fixed, for each kind of template of a line.
@@ -86,13 +86,14 @@ def drop_templates(docs: DataFrame) -> DataFrame:
     """
     docs = docs.drop("n_lines", "n_dropped")
     found = recurring_lines(docs.select("doc_id", "text"))
-    keyed = docs.withColumn("__text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    lines = keyed.select("doc_id", "__text_hash", F.posexplode(lines_of("text")).alias("place", "line")).select("doc_id", "__text_hash", "place", F.xxhash64("line").alias("line_hash"))
-    gone = lines.join(found, "line_hash").groupBy(F.col("doc_id").alias("__id"), F.col("__text_hash").alias("__hash")).agg(F.collect_set("place").alias("__gone"))
-    joined = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["__id"]) & (keyed["__text_hash"] == gone["__hash"]), "left").withColumn("__lines", lines_of("text"))
-    stays = F.array_join(F.filter("__lines", lambda x, k: ~F.array_contains("__gone", k)), "\n")
-    out = joined.withColumns({"text": F.when(F.col("__gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(stays), "n_lines": F.size("__lines").cast("long"), "n_dropped": F.greatest(F.size("__gone"), F.lit(0)).cast("long")})
-    return out.select(*docs.columns, "n_lines", "n_dropped")
+    keyed = carried(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    lines = keyed.select("doc_id", "text_hash", F.posexplode(lines_of("text")).alias("place", "line")).select("doc_id", "text_hash", "place", F.xxhash64("line").alias("line_hash"))
+    gone = lines.join(found, "line_hash").groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.collect_set("place").alias("gone"))
+    joined = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left").withColumn("lines", lines_of("text"))
+    stays = F.array_join(F.filter("lines", lambda x, k: ~F.array_contains("gone", k)), "\n")
+    left = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(stays).alias("text")
+    kept = [left if c == "text" else F.col(f"row.`{c}`") for c in docs.columns]
+    return joined.select(*kept, F.size("lines").cast("long").alias("n_lines"), F.greatest(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

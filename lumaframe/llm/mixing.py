@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumaframe.llm.common import documents, materialize
+from lumaframe.llm.common import carried, documents, materialize
 
 #: Seeds tried for each source; four come of one hash.
 SEEDS = 16
@@ -52,16 +52,9 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return ranked.select("source", "source_size", F.least(cap.cast("double"), F.lit(level) * F.col("weight")).alias("target"))
 
 
-def plan_copies(docs: DataFrame) -> DataFrame:
-    """docs with size, source_size, target and copies (how often the mix emits the row) added.
-
-    docs needs doc_id, text and source, which may be null; columns of docs with the added names are replaced. A document
-    without words has copies by its source's rate like any other, and takes no words. Rows that repeat a doc_id draw alike. An
-    empty table gives an empty one.
-    """
-    added = ("size", "source_size", "target", "copies")
-    docs = docs.drop(*added)
-    sized = docs.withColumn("size", words())
+def _planned(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, row, size, source_size, target, copies) of each row of docs."""
+    sized = carried(docs, "doc_id", "source").withColumn("size", words("row.text"))
     targets = materialize(source_targets(sized.select("source", "size")), "mix-targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate).cast("long")
@@ -69,24 +62,33 @@ def plan_copies(docs: DataFrame) -> DataFrame:
     def copies(draw: Column) -> Column:
         return whole + (draw < rate - whole).cast("long")
 
-    # A targets table of a few sources is broadcast by Spark after a look at its size; a larger one is joined by shuffle.
-    near = sized.select("doc_id", "source", "size").join(_renamed(targets), F.col("source").eqNullSafe(F.col("__source")))
-    sums = near.groupBy("__source", "target").agg(F.array(*[F.sum(F.col("size") * copies(u)) for u in draws()]).alias("taken"))
+    def with_source(rows: DataFrame, table: DataFrame) -> DataFrame:
+        # A table of a few sources is broadcast by Spark after a look at its size; a larger one is joined by shuffle.
+        return rows.join(table.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name"))).drop("name")
+
+    near = with_source(sized.select("doc_id", "source", "size"), targets)
+    sums = near.groupBy("source", "target").agg(F.array(*[F.sum(F.col("size") * copies(u)) for u in draws()]).alias("taken"))
     off = F.transform("taken", lambda x: F.abs(x - F.col("target")))
-    seeds = sums.select("__source", (F.array_position(off, F.array_min(off)) - 1).cast("int").alias("__seed"))
-    chosen = materialize(targets.join(seeds, F.col("source").eqNullSafe(F.col("__source"))).drop("__source"), "mix-seeds")
-    joined = sized.join(_renamed(chosen), F.col("source").eqNullSafe(F.col("__source")))
-    return joined.withColumn("copies", copies(F.get(F.array(*draws()), F.col("__seed")))).drop("__source", "__seed")
+    seeds = sums.select("source", (F.array_position(off, F.array_min(off)) - 1).cast("int").alias("seed"))
+    chosen = materialize(with_source(targets, seeds), "mix-seeds")
+    return with_source(sized, chosen).withColumn("copies", copies(F.get(F.array(*draws()), F.col("seed")))).drop("seed")
 
 
-def _renamed(targets: DataFrame) -> DataFrame:
-    return targets.withColumnRenamed("source", "__source")
+def plan_copies(docs: DataFrame) -> DataFrame:
+    """docs with size, source_size, target and copies (how often the mix emits the row) added.
+
+    docs needs doc_id, text and source, which may be null; columns of docs with the added names are replaced. A document
+    without words has copies by its source's rate like any other, and takes no words. Texts of any length count whole. Rows that
+    repeat a doc_id draw alike. An empty table gives an empty one.
+    """
+    added = ("size", "source_size", "target", "copies")
+    return _planned(docs.drop(*added)).select("row.*", *added)
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The mixed corpus: each row of docs, copies times."""
-    planned = plan_copies(docs).filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return planned.select(*[planned[c] for c in docs.columns if c in planned.columns])
+    """The mixed corpus: each row of docs, all its columns as they are, as often as plan_copies says."""
+    planned = _planned(docs).filter("copies > 0")
+    return planned.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,25 +52,91 @@ def test_labels_that_are_held_out_teach_nothing(spark):
     assert np.allclose(one[0], two[0]) and np.isclose(one[1], two[1])
 
 
-def test_counterfactuals_lower_the_weight_of_mentions():
-    """Toxic texts name one group, clean ones another; the penalty takes most of what the names alone add."""
-    texts = [(prose(k, 20) + (" muslim grunk" if k % 2 else " christian")).encode() for k in range(400)]
-    labels = np.array([k % 2 for k in range(400)], float)
-    rows, pairs = toxicity.features(texts), list(enumerate(toxicity.twins(texts, toxicity.swaps())))
-    assert all(f is not None for _, f in pairs)
-    neutral = toxicity.features([b"a quiet word of the muslim neighbours"])[0]
-    score = lambda m: 1 / (1 + np.exp(-(m[0][neutral].sum() + m[1])))
-    plain, fair = (score(toxicity.fit(rows, labels, pairs, p)) for p in (0.0, 20.0))
-    assert fair < plain
-    insult = toxicity.features([b"grunk " + prose(1000, 20).encode()])[0]
-    assert toxicity.fit(rows, labels, pairs, 20.0)[0][insult].sum() > 0
+def mentioned(n=1200):
+    """Texts that insult (label 1) or not; most insults name one group, most other texts another."""
+    rng, rows = np.random.default_rng(0), []
+    for k in range(n):
+        toxic = k % 3 == 0
+        name = "muslim" if rng.random() < (0.8 if toxic else 0.05) else "christian" if rng.random() < 0.6 else "buddhist"
+        rows.append((prose(k, 12) + f" {name}" + (" grunk" if toxic and k % 2 else " blarg" if toxic and k % 5 else ""), int(toxic)))
+    return rows
+
+
+def test_the_penalty_at_its_default_makes_mentions_neutral():
+    rows, swap = mentioned(), toxicity.swaps()
+    texts, labels = [t.encode() for t, _ in rows], np.array([y for _, y in rows], float)
+    pairs = [p for s in swap for p in toxicity.twins(texts, s) if p]
+    assert len(pairs) == 2 * len(rows)
+    neutral = [f"{prose(5000 + k, 12)} muslim".encode() for k in range(200)]
+    insults = [f"{prose(6000 + k, 12)} christian grunk".encode() for k in range(200)]
+
+    def measured(penalty):
+        weights, b = toxicity.fit(toxicity.features(texts), labels, pairs, penalty)
+        score = lambda t: np.array([1 / (1 + np.exp(-weights[f].sum() - b)) for f in toxicity.features(t)])
+        change = np.abs(score(neutral) - score([t.replace(b"muslim", b"christian") for t in neutral])).mean()
+        return change, (score(neutral) >= 0.5).mean(), (score(insults) >= 0.5).mean()
+
+    (moved, wrong, _), (fair_moved, fair_wrong, found) = measured(0.0), measured(toxicity.PENALTY)
+    assert fair_moved < moved / 2 and fair_wrong < wrong and found > 0.9
 
 
 def test_twins_swap_within_a_group():
-    swap = toxicity.swaps()
-    assert swap[b"women"] == b"men" and swap[b"men"] == b"women" and len(swap) == sum(map(len, toxicity.IDENTITY_TERMS))
-    assert toxicity.twins([b"no name here", b"The Women"], swap)[0] is None
-    assert set(toxicity.twins([b"The Women"], swap)[0]) == set(toxicity.features([b"the men"])[0])
+    one, two = toxicity.swaps()
+    assert one[b"women"] == b"men" and one[b"men"] == b"women" and b"women" not in two
+    assert one[b"gay"] == b"straight" and two[b"gay"] == b"lesbian"
+    none, some = toxicity.twins([b"no name here", b"The Women"], one)
+    assert none is None
+    women, men = (set(toxicity.features([x])[0].tolist()) for x in (b"the women", b"the men"))
+    assert set(some[0].tolist()) == men - women and set(some[1].tolist()) == women - men
+
+
+def test_learned_terms_judge_nobody(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TERM_DOCS", 5)
+    docs, labels = table(spark)
+    labelled = docs.join(labels, "doc_id").select("text", F.col("toxic").alias("label"))
+    terms = toxicity.learned_terms(labelled)
+    rows = [(set(toxicity.split_words(r["text"].encode())), r["label"]) for r in labelled.collect()]
+    ones = sum(y for _, y in rows)
+    assert 10 < len(terms) <= toxicity.TERMS and not {b"grunk", b"blarg"} & set(terms)
+    for t in terms:
+        n, toxic = sum(t in w for w, _ in rows), sum(y for w, y in rows if t in w)
+        assert n >= toxicity.TERM_DOCS and abs(np.log((toxic + 1) / (ones + 2) / ((n - toxic + 1) / (len(rows) - ones + 2)))) <= toxicity.VALENCE
+
+
+def test_big_labels_and_string_ids(spark):
+    docs, labels = table(spark, 300)
+    one = toxicity.train(docs, labels)
+    two = toxicity.train(docs.withColumn("doc_id", F.col("doc_id").cast("string")), labels.select(F.col("doc_id").cast("string"), F.col("toxic").cast("bigint")))
+    assert np.allclose(one[0], two[0], atol=0.05) and toxicity.score(docs.withColumn("doc_id", F.col("doc_id").cast("string")), one).count() == 300
+
+
+def test_features_are_bounded(spark, monkeypatch):
+    docs, labels = table(spark, 300)
+    monkeypatch.setattr(toxicity, "MOST_FEATURES", 5000)
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows, *_: seen.append(sum(map(len, rows))))
+    toxicity.train(docs, labels)
+    assert 1000 < seen[0] < 10_000
+
+
+def test_rejected_rows_leave_the_others_as_they_are(edge_docs, labels):
+    kept = toxicity.drop_toxic(edge_docs, labels, 0.99)
+    assert kept.columns == edge_docs.columns and kept.filter("score IS NOT NULL").count() == 0
+
+
+def test_query_on_the_table(spark, sf):
+    """Each score straight from the weights, and twins for most labelled texts of the table."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    weights, b = toxicity.train(docs, labels)
+    got = toxicity.op2_toxicity(spark, sf).join(docs.select("doc_id", "text"), "doc_id").join(labels, "doc_id", "left").toPandas()
+    want = [1 / (1 + np.exp(-weights[f].sum() - b)) for f in toxicity.features([(t or "").encode() for t in got["text"]])]
+    assert len(got) == docs.count() and np.allclose(got["score"], want) and (got["predicted"] == (got["score"] >= 0.5)).all()
+    held = got[got["held_out"] & got["toxic"].notna()]
+    assert (held["predicted"] == held["toxic"]).mean() > 0.9 and (got["held_out"] == [zlib.crc32(str(i).encode()) % 5 == 0 for i in got["doc_id"]]).all()
+    known = got[~got["held_out"] & got["toxic"].notna()]
+    terms = toxicity.learned_terms(spark.createDataFrame([(t, int(y)) for t, y in zip(known["text"], known["toxic"], strict=True)], "text string, label int"))
+    twins = toxicity.twins([(t or "").encode() for t in known["text"]], toxicity.swaps((*toxicity.IDENTITY_TERMS, terms))[0])
+    assert sum(t is not None for t in twins) > 0.5 * len(known)
 
 
 def test_context_vectors_against_loops(spark):

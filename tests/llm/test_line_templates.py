@@ -2,6 +2,8 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from lumaframe.llm import line_templates
 
 from ..oracle import same
@@ -18,6 +20,9 @@ def test_edges(edge_docs, edge_rows, no_docs):
     rows = {(r["doc_id"], hashlib.md5(r["text"].encode()).hexdigest()) for r in out.collect()}
     assert out.count() == len(edge_rows) and len(rows) == len({r[:2] for r in edge_rows})
     assert line_templates.drop_templates(no_docs).count() == 0
+    names = ("__text_hash", "__gone", "text_hash", "gone", "lines", "row", "id", "hash")
+    named = line_templates.drop_templates(edge_docs.withColumns({c: F.lit(c) for c in names})).select(*names).distinct().collect()
+    assert [tuple(r) for r in named] == [names]
 
 
 def test_variable_fields_and_counts(spark):

@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -57,9 +58,11 @@ def test_taken_is_near_and_reruns_agree(spark):
     assert all(abs(r["n"] - r["t"]) < 0.01 * r["t"] for r in sums)
 
 
-def test_mix_emits_copies(edge_docs, no_docs):
+def test_mix_emits_copies(edge_docs, edge_rows, no_docs):
     planned = {r["doc_id"]: r["copies"] for r in mixing.plan_copies(edge_docs).collect()}
-    mixed = mixing.mix(edge_docs)
-    assert mixed.filter("doc_id = 5").count() == planned[5]
-    assert set(mixed.columns) == set(edge_docs.columns) - {"size", "target", "copies"} | {"size", "target", "copies"} & set(mixed.columns)
-    assert mixing.mix(no_docs).count() == 0
+    docs = edge_docs.withColumns({c: F.lit(c) for c in ("__source", "__seed", "source_size", "row", "name", "seed")})
+    mixed = mixing.mix(docs)
+    rows = mixed.collect()
+    assert mixed.schema == docs.schema
+    assert Counter(map(str, rows)) == Counter({k: n * planned[i] for (k, i), n in Counter((str(r), r["doc_id"]) for r in docs.collect()).items() if planned[i]})
+    assert len(rows) > len(edge_rows) / 2 and mixing.mix(no_docs).count() == 0
