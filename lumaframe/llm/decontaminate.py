@@ -1,14 +1,17 @@
 """Benchmark decontamination by suffix arrays of the training documents.
 
 Each batch of documents is a shard with its own suffix array, sorted by word. A shard indexes only suffixes whose first words
-also begin a benchmark window, because no other suffix can hold one. Every benchmark suffix is searched in it by bisection:
-the range of suffixes that share a whole window gives all its occurrences, the neighbours give the longest verbatim match.
-The benchmark side is broadcast in blocks of at most about BLOCK_CHARS characters, one pass over the documents for each block.
+also begin a benchmark window, because no other suffix can hold one. Every benchmark suffix is searched in it by bisection: the range
+of suffixes that share a whole window gives all its occurrences. Each of them is then searched in the sorted suffixes of the benchmark,
+whose neighbours give the longest verbatim match there. Documents with a match that holds a window are contaminated.
+The benchmark side is broadcast in blocks of at most about BLOCK_CHARS characters, one pass over the documents for each block; a block
+takes memory in proportion to its words, however long an item is.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -16,15 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumaframe.llm.common import documents, materialize, small_batches, text_bytes
+from lumaframe.llm.common import carried, documents, materialize, small_batches, text_bytes
 
 WINDOW = 10
 #: Characters of benchmark text in a broadcast block.
 BLOCK_CHARS = 8_000_000
-#: Words compared by the suffix sort; longer matches are compared word by word afterwards.
+#: Words behind the last item, at least a window's.
 DEPTH = 32
-#: Words that a longest match has at least.
-LEAST_MATCH = 3
+#: Words of a window's beginning that choose the suffixes of a shard.
+FIRST = 3
 TABLE_BITS = 22
 
 #: A-Z to a-z; 0-9, a-z and bytes of other scripts stay; all else separates words.
@@ -48,33 +51,73 @@ def _keys(padded: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     return np.ascontiguousarray(padded[at[:, None] + np.arange(depth)].astype(">u4")).view(f"S{4 * depth}").ravel()
 
 
+def _powers(n: int) -> np.ndarray:
+    return np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n, 0x9E3779B97F4A7C15, np.uint64))))
+
+
+def _sums(ids: np.ndarray, side: int) -> np.ndarray:
+    """Sums of the first 0, 1, 2... words' hashes times powers of an odd number; 0 has another hash on each side, so it equals nothing."""
+    h = np.where(ids == 0, np.uint64(side) << np.uint64(62), ids.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return np.concatenate((np.zeros(1, np.uint64), np.cumsum((h ^ (h >> np.uint64(29))) * _powers(len(ids))[:-1])))
+
+
+def suffix_array(ids: np.ndarray) -> np.ndarray:
+    """The places of ids in the order of what stands from each on, by doubling the length that is compared."""
+    rank, width = np.unique(ids, return_inverse=True)[1].astype(np.int64), 1
+    while True:
+        after = np.zeros(len(ids), np.int64)
+        after[: max(len(ids) - width, 0)] = rank[width:] + 1
+        key = rank * (len(ids) + 1) + after
+        order = np.argsort(key, kind="stable")
+        new = np.concatenate(([0], np.cumsum(key[order][1:] != key[order][:-1])))
+        rank[order] = new
+        width *= 2
+        if new[-1] == len(ids) - 1 or width > len(ids):
+            return order.astype(np.int32)
+
+
 class Suite:
-    """A block of benchmark items, ready to be searched for."""
-
-    def __init__(self, rows: list[tuple[int | None, str | None]], window: int = WINDOW):
-        words = [split_words((t or "").encode()) for _, t in rows]
-        self.vocabulary = {w: k + 1 for k, w in enumerate(sorted({w for x in words for w in x}))}
-        windows: dict[tuple[int, ...], set] = {}
-        self.suffixes: list[tuple[int | None, int, np.ndarray]] = []
-        for (item, _), x in zip(rows, words, strict=True):
-            ids = [self.vocabulary[w] for w in x]
-            for j in range(max(1, len(ids) - window + 1) if ids else 0):
-                windows.setdefault(tuple(ids[j : j + window]), set()).add(item)
-            self.suffixes += [(item, j, np.array(ids[j:], np.int64)) for j in range(len(ids) - LEAST_MATCH + 1)]
-        # By length: windows as keys, the items of each, and a table of the hashes of their first words.
+    """A block of benchmark items, ready to be searched for: one array of word ids, a 0 behind each item, and its sorted suffixes."""
+
+    def __init__(self, rows: list[tuple], window: int = WINDOW):
+        self.items, self.window, self.vocabulary, parts = [None if i is None else str(i) for i, _ in rows], window, {}, []
+        counts = np.zeros(len(rows), np.int64)
+        for k, (_, text) in enumerate(rows):
+            words = split_words((text or "").encode())
+            parts.append(np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words), np.int32, len(words)))
+            parts.append(np.zeros(1, np.int32))
+            counts[k] = len(words)
+        self.ids = np.concatenate([*parts, np.zeros(DEPTH, np.int32)])
+        self.starts = np.cumsum(counts + 1) - counts - 1
+        order = suffix_array(self.ids)
+        owner = np.searchsorted(self.starts, order, "right") - 1
+        left = self.starts[owner] + counts[owner] - order if len(rows) else np.zeros(len(order))
+        # By length: the suffixes that begin with a window, sorted, and where each different window begins among them.
         self.groups = []
-        for n in sorted({len(w) for w in windows}):
-            own = sorted(w for w in windows if len(w) == n)
-            flat = np.array(own, np.int64)
-            self.groups.append((n, np.ascontiguousarray(flat.astype(">u4")).view(f"S{4 * n}").ravel(), [sorted(i for i in windows[w] if i is not None) for w in own]))
-        self.tables = {}
-        for q in sorted({min(n, LEAST_MATCH) for n, *_ in self.groups}):
-            firsts = np.array(sorted({w[:q] for w in windows if min(len(w), LEAST_MATCH) == q}), np.int64)
-            self.tables[q] = np.zeros(1 << TABLE_BITS, bool)
-            self.tables[q][[_mix(f, q, slice(None))[0] for f in firsts]] = True
-        if self.suffixes:
-            table = self.tables.setdefault(LEAST_MATCH, np.zeros(1 << TABLE_BITS, bool))
-            table[[_mix(s[:LEAST_MATCH], LEAST_MATCH, slice(None))[0] for *_, s in self.suffixes]] = True
+        for n in sorted({min(window, int(c)) for c in counts if c}):
+            at = order[(left >= n) & (counts[owner] >= n)] if n == window else order[(left == n) & (counts[owner] == n)]
+            same = np.ones(max(len(at) - 1, 0), bool)
+            for k in range(n):
+                same &= self.ids[at[1:] + k] == self.ids[at[:-1] + k]
+            self.groups.append((n, at, np.append(np.flatnonzero(np.concatenate(([True], ~same))), len(at))))
+
+    @cached_property
+    def keys(self) -> list[np.ndarray]:
+        """The different windows of each group."""
+        return [_keys(self.ids, at[edges[:-1]], n) for n, at, edges in self.groups]
+
+    @cached_property
+    def tables(self) -> dict[int, np.ndarray]:
+        """By number of words: which hashes first words of windows have."""
+        out = {}
+        for n, at, _ in self.groups:
+            q = min(n, FIRST)
+            out.setdefault(q, np.zeros(1 << TABLE_BITS, bool))[_mix(self.ids, q, at)] = True
+        return out
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("keys", "tables", "owners", "sums")}
 
     def shard(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Word ids of the texts (0: not in the benchmark; each text ends with a 0), texts' first places and word counts, and the sorted suffixes."""
@@ -82,9 +125,9 @@ class Suite:
         for k, t in enumerate(texts):
             words = split_words(t)
             counts[k] = len(words)
-            parts.append(np.fromiter((get(w, 0) for w in words), np.int64, len(words)))
-            parts.append(np.zeros(1, np.int64))
-        ids = np.concatenate([*parts, np.zeros(DEPTH, np.int64)])
+            parts.append(np.fromiter((get(w, 0) for w in words), np.int32, len(words)))
+            parts.append(np.zeros(1, np.int32))
+        ids = np.concatenate([*parts, np.zeros(DEPTH, np.int32)])
         starts = np.cumsum(counts + 1) - counts - 1
         keep = np.zeros(len(ids), bool)
         for q, table in self.tables.items():
@@ -94,134 +137,181 @@ class Suite:
             at = np.flatnonzero(known)
             keep[at[table[_mix(ids, q, at)]]] = True
         at = np.flatnonzero(keep)
-        return ids, starts, counts, at[np.argsort(_keys(ids, at, DEPTH), kind="stable")]
+        return ids, starts, counts, at[np.argsort(_keys(ids, at, self.window), kind="stable")]
+
+    @cached_property
+    def owners(self) -> list[np.ndarray]:
+        """The numbers of the items of each group's suffixes."""
+        return [np.searchsorted(self.starts, at, "right") - 1 for _, at, _ in self.groups]
+
+    @cached_property
+    def sums(self) -> np.ndarray:
+        return _sums(self.ids, 1)
 
     def occurrences(self, ids: np.ndarray, array: np.ndarray):
-        """(window length, places, items of the window) of each window that occurs in the shard."""
-        for n, keys, items in self.groups:
-            own = _keys(ids, array, n) if n <= DEPTH else np.zeros(0)
+        """(group, places in the shard, number of the window that begins at each) for each group; a place may be in several groups."""
+        for g, ((n, _, _), keys) in enumerate(zip(self.groups, self.keys, strict=True)):
+            own = _keys(ids, array, n)
             low, high = np.searchsorted(own, keys, "left"), np.searchsorted(own, keys, "right")
-            for w in np.flatnonzero(high > low):
-                yield n, array[low[w] : high[w]], items[w]
-
-    def longest(self, ids: np.ndarray, array: np.ndarray):
-        """(item, word place in it, length, place in the shard) of the longest match of each benchmark suffix, of LEAST_MATCH words or more."""
-        own = _keys(ids, array, DEPTH)
-        padded = [np.concatenate((s, np.zeros(DEPTH, np.int64))) for *_, s in self.suffixes]
-        keys = _keys(np.concatenate(padded), np.cumsum([0, *map(len, padded[:-1])]), DEPTH) if padded else own[:0]
-        low, high = np.searchsorted(own, keys, "left"), np.searchsorted(own, keys, "right")
-        for (item, place, suffix), lo, hi in zip(self.suffixes, low, high, strict=True):
-            best = (0, 0)
-            for at in array[max(lo - 1, 0) : hi + 1]:
-                tail = ids[at : at + len(suffix)]
-                differ = np.flatnonzero(tail != suffix[: len(tail)])
-                best = max(best, (int(differ[0]) if len(differ) else len(tail), -int(at)))
-            if best[0] >= LEAST_MATCH:
-                yield item, place, best[0], -best[1]
-
-
-def suites(benchmark: DataFrame) -> list[list[tuple]]:
-    """The rows of benchmark(item_id, text) in blocks, after a look at the size of the table."""
-    chars = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-chars // BLOCK_CHARS) or 1
-    rows = benchmark.select("item_id", "text")
-    for k in range(blocks):
-        yield [tuple(r) for r in rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()]
-
-
-def _mark(docs: DataFrame, suite: Suite, first: bool) -> DataFrame:
-    """docs(columns..., __words, __bits, __items) with the occurrences of the suite's windows added; first: without those yet."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(suite)
-    kept = [c for c in docs.columns if c not in ("__words", "__bits", "__items")]
-    schema = docs.select(*kept).schema.add("__words", "long").add("__bits", "binary").add("__items", T.ArrayType(T.LongType()))
+            found = np.flatnonzero(high > low)
+            times = (high - low)[found]
+            within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            yield g, array[np.repeat(low[found], times) + within], np.repeat(found, times)
+
+    def longest(self, ids: np.ndarray, group: int, places: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(words, benchmark place) of the longest match of the shard from each place, which begins with a window of the group.
+
+        Words are compared by sums of 64-bit hashes, in as many steps as the length has bits.
+        """
+        n, at, edges = self.groups[group]
+        if n < self.window or not len(places):
+            return np.full(len(places), n), at[edges[windows]].astype(np.int64)
+        powers, sums = _powers(max(len(ids), len(self.ids))), _sums(ids, 2)
+        low, high = edges[windows], edges[windows + 1]
+        best, where = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
+        while len(open_ := np.flatnonzero(low < high)):
+            middle = (low[open_] + high[open_]) // 2
+            here, there = places[open_], at[middle].astype(np.int64)
+            least, most = np.full(len(open_), n), np.minimum(len(ids) - here, len(self.ids) - there) - 1
+            while (least < most).any():
+                half = (least + most + 1) // 2
+                same = (sums[here + half] - sums[here]) * powers[there] == (self.sums[there + half] - self.sums[there]) * powers[here]
+                least, most = np.where(same, half, least), np.where(same, most, half - 1)
+            more = least > best[open_]
+            best[open_[more]], where[open_[more]] = least[more], there[more]
+            after = ids[here + least] > self.ids[there + least]
+            low[open_[after]] = middle[after] + 1
+            high[open_[~after]] = middle[~after]
+        return best, where
+
+    def place(self, at: int) -> tuple[str | None, int]:
+        """(item, word place in it) of a place."""
+        item = int(np.searchsorted(self.starts, at, "right")) - 1
+        return self.items[item], at - int(self.starts[item])
+
+    def names(self, group: int, window: int) -> set[str]:
+        """The items that have the window."""
+        edges = self.groups[group][2]
+        return {self.items[k] for k in self.owners[group][edges[window] : edges[window + 1]].tolist()} - {None}
+
+
+def n_blocks(benchmark: DataFrame) -> int:
+    """Blocks of the benchmark, after a look at the size of the table."""
+    return -(-(benchmark.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS) or 1
+
+
+def suite(benchmark: DataFrame, block: int, blocks: int) -> Suite:
+    rows = benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).select(F.col("item_id").cast("string"), "text")
+    return Suite([tuple(r) for r in rows.collect()])
+
+
+def _found(docs: DataFrame, block: Suite, hits_only: bool = False) -> DataFrame:
+    """docs, all columns but text, with what the block has in common with each text; the text may stand in a struct `row`.
+
+    n_words; bits: which words are hit, null if none; items: those with windows; longest: words of the longest match that holds a window,
+    longest_word: where it begins, item_id and item_word: where in the benchmark.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(block)
+    kept = [c for c in docs.columns if c != "text"]
+    schema = docs.select(*kept).schema
+    for name, kind in (("n_words", "long"), ("bits", "binary"), ("items", T.ArrayType(T.StringType())), ("longest", "long"), ("longest_word", "long"), ("item_id", "string"), ("item_word", "long")):
+        schema = schema.add(name, kind)
 
     def run(batches):
-        suite = shared.value
+        block = shared.value
         for b in small_batches(batches):
-            ids, starts, counts, array = suite.shard(text_bytes(b.column("text")))
-            edge, found = np.zeros(len(ids) + 1, np.int64), [set(x or ()) for x in (b.column("__items").to_pylist() if not first else [()] * b.num_rows)]
-            for n, places, items in suite.occurrences(ids, array):
+            ids, starts, counts, array = block.shard(text_bytes(b.column("row").field("text") if "row" in kept else b.column("text")))
+            edge, items, best = np.zeros(len(ids) + 1, np.int64), [set() for _ in range(b.num_rows)], [(0, 0, 0)] * b.num_rows
+            for g, places, windows in block.occurrences(ids, array):
                 np.add.at(edge, places, 1)
-                np.add.at(edge, places + n, -1)
-                if items:
-                    for d in np.unique(np.searchsorted(starts, places, "right") - 1):
-                        found[d].update(items)
-            hit, old, bits = np.cumsum(edge) > 0, None if first else b.column("__bits").to_pylist(), []
+                np.add.at(edge, places + block.groups[g][0], -1)
+                words, there = block.longest(ids, g, places, windows)
+                owners = np.searchsorted(starts, places, "right") - 1
+                for d, w in zip(*np.unique(np.stack((owners, windows)), axis=1).tolist(), strict=True):
+                    items[d].update(block.names(g, w))
+                for d, *match in zip(owners.tolist(), words.tolist(), (starts[owners] - places).tolist(), there.tolist(), strict=True):
+                    best[d] = max(best[d], tuple(match))
+            hit = np.cumsum(edge) > 0
             some = np.concatenate(([0], np.cumsum(hit)))
-            for d in range(b.num_rows):
-                s, n = starts[d], counts[d]
-                own = np.packbits(hit[s : s + n]).tobytes() if some[s + n] > some[s] else None
-                if old and old[d]:
-                    own = old[d] if own is None else (np.frombuffer(own, np.uint8) | np.frombuffer(old[d], np.uint8)).tobytes()
-                bits.append(own)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(counts), pa.array(bits, pa.binary()), pa.array([sorted(x) for x in found], pa.list_(pa.int64()))], [*kept, "__words", "__bits", "__items"])
+            bits = [np.packbits(hit[s : s + n]).tobytes() if some[s + n] > some[s] else None for s, n in zip(starts, counts, strict=True)]
+            found = [(n, -at, *block.place(there)) if n else (0, None, None, None) for n, at, there in best]
+            columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True)] if found else [pa.nulls(0, t) for t in (pa.int64(), pa.int64(), pa.string(), pa.int64())]
+            columns = [pa.array(counts), pa.array(bits, pa.binary()), pa.array(map(sorted, items), pa.list_(pa.string())), *columns]
+            out = pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *columns], schema.names)
+            yield out.filter(out.column("bits").is_valid()) if hits_only else out
 
     return docs.mapInArrow(run, schema)
 
 
-def _judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    done, blocks = docs.drop("__words", "__bits", "__items"), 0
-    for rows in suites(benchmark):
-        if blocks and blocks % 4 == 0:
-            done = materialize(done, "decontaminate")
-        done = _mark(done, Suite(rows), first=not blocks)
-        blocks += 1
-    return done
+def _hits(docs: DataFrame, benchmark: DataFrame, blocks: int) -> DataFrame:
+    """What each block found in texts of docs(doc_id, text_hash, text), a row for each block and text that has something."""
+    parts = [materialize(_found(docs, suite(benchmark, k, blocks), True).dropDuplicates(["doc_id", "text_hash"]), "decontaminate") for k in range(blocks)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each row of docs(doc_id, text): doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+    """One row for each row of docs(doc_id, text): doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest, longest_word.
 
-    A window is WINDOW consecutive words of an item of benchmark(item_id, text), or all words of a shorter item that has any.
-    Null and empty texts have no words and are clean. An item without item_id counts for n_hit, but isn't listed. An empty
-    benchmark leaves all documents clean; an empty table gives no rows. Rows are judged one by one, whether or not they repeat;
-    other columns are ignored.
+    A window is WINDOW consecutive words of an item of benchmark(item_id, text), or all words of a shorter item that has any. longest has the
+    words of the longest verbatim match with an item that holds a window (0 if there is none), longest_word the first place of one (or -1).
+    Null and empty texts have no words and are clean. An item without item_id counts for all but n_items and items_sha256; item_id may
+    have any type. An empty benchmark leaves all documents clean; an empty table gives no rows. Rows are judged one by one, whether or
+    not they repeat; texts and items of any length count whole; other columns are ignored.
     """
+    blocks = n_blocks(benchmark)
+    part = F.struct("bits", "items")
+    if blocks == 1:
+        judged = _found(docs.select("doc_id", "text"), suite(benchmark, 0, 1)).withColumn("parts", F.array(part))
+    else:
+        hits = _hits(_keyed(docs), benchmark, blocks)
+        first = F.max(F.struct("longest", (-F.col("longest_word")).alias("at"))).alias("best")
+        hits = hits.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.collect_list(part).alias("parts"), first)
+        words = _found(_keyed(docs), Suite([])).select("doc_id", "text_hash", "n_words")
+        judged = words.join(hits, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left")
+        judged = judged.withColumns({"longest": F.coalesce("best.longest", F.lit(0)), "longest_word": -F.col("best.at")})
+    judged = judged.select("doc_id", "n_words", "parts", "longest", F.coalesce("longest_word", F.lit(-1).cast("long")).alias("longest_word"))
+    schema = judged.select("doc_id", "n_words").schema.add("n_hit", "long").add("n_items", "long").add("items_sha256", "string").add("contaminated", "boolean").add("longest", "long").add("longest_word", "long")
 
     def finish(batches):
         for b in batches:
-            bits = b.column("__bits").to_pylist()
-            hits = np.array([int(np.unpackbits(np.frombuffer(x, np.uint8)).sum()) if x else 0 for x in bits], np.int64)
-            items = b.column("__items").to_pylist()
-            sha = [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in items]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("__words"), pa.array(hits), pa.array(list(map(len, items)), pa.int64()), pa.array(sha, pa.string()), pa.array(hits > 0)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+            hits, items = np.zeros(b.num_rows, np.int64), []
+            for k, parts in enumerate(b.column("parts").to_pylist()):
+                bits = [np.frombuffer(p["bits"], np.uint8) for p in parts or () if p["bits"]]
+                hits[k] = np.bitwise_count(np.bitwise_or.reduce(bits)).sum() if bits else 0
+                items.append({i for p in parts or () for i in p["items"]})
+            sha = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
+            columns = [pa.array(hits), pa.array(list(map(len, items)), pa.int64()), pa.array(sha, pa.string()), pa.array(hits > 0)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), *columns, b.column("longest"), b.column("longest_word")], schema.names)
 
-    judged = _judged(docs.select("doc_id", "text"), benchmark).select("doc_id", "__words", "__bits", "__items")
-    return judged.mapInArrow(finish, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
-
-
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs, all columns, without the rows that contain a benchmark window."""
-    return _judged(docs, benchmark).filter("__bits IS NULL").drop("__words", "__bits", "__items")
+    return judged.mapInArrow(finish, schema)
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(item_id, item_word, n_words, doc_id, doc_word): where the longest verbatim match of each benchmark suffix stands.
+    """(doc_id, doc_word, n_words, item_id, item_word) of the longest verbatim match of each row of docs(doc_id, text) that holds a window.
 
-    Of matches of equal length the smallest (doc_id, doc_word) is given. Suffixes without a match of LEAST_MATCH words have no row.
+    Of matches of equal length the first of the document is given, with one place of the benchmark that has it. Rows without one have no row.
     """
-    spark = docs.sparkSession
-    schema = "item_id long, item_word long, n_words long, doc_id long, doc_word long"
-    out = None
-    for rows in suites(benchmark):
-        shared = spark.sparkContext.broadcast(Suite(rows))
-
-        def run(batches, shared=shared):
-            for b in small_batches(batches):
-                ids, starts, _, array = shared.value.shard(text_bytes(b.column("text")))
-                doc_ids = b.column("doc_id").to_pylist()
-                found = []
-                for item, place, n, at in shared.value.longest(ids, array):
-                    d = int(np.searchsorted(starts, at, "right")) - 1
-                    found.append((item, place, n, doc_ids[d], at - int(starts[d])))
-                cols = zip(*found, strict=True) if found else [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["item_id", "item_word", "n_words", "doc_id", "doc_word"])
-
-        part = docs.select("doc_id", "text").mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    best = F.min(F.struct((-F.col("n_words")).alias("less"), "doc_id", "doc_word")).alias("m")
-    return out.groupBy("item_id", "item_word").agg(best).select("item_id", "item_word", (-F.col("m.less")).alias("n_words"), "m.doc_id", "m.doc_word")
+    blocks = n_blocks(benchmark)
+    out = _hits(_keyed(docs), benchmark, blocks)
+    best = F.max(F.struct("longest", (-F.col("longest_word")).alias("at"), "item_id", "item_word")).alias("m")
+    return out.groupBy("doc_id", "text_hash").agg(best).select("doc_id", (-F.col("m.at")).alias("doc_word"), F.col("m.longest").alias("n_words"), "m.item_id", "m.item_word")
+
+
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs, all columns, without the rows that contain a benchmark window. The rest is said at contamination()."""
+    blocks = n_blocks(benchmark)
+    if blocks == 1:
+        return _found(carried(docs), suite(benchmark, 0, 1)).filter("longest = 0").select("row.*")
+    hits = _hits(_keyed(docs), benchmark, blocks).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct()
+    rows = carried(docs, "doc_id", F.xxhash64("text").alias("text_hash"))
+    return rows.join(hits, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left_anti").select("row.*")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,20 +319,23 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contamination_sql(documents: str = "documents") -> str:
-    """CTEs ending in judged(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)."""
+    """CTEs ending in judged(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest, longest_word)."""
     words = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
     return f"""
 dw AS (SELECT doc_id, {words.format("coalesce(text, '')")} AS w FROM {documents}),
-bw AS (SELECT item_id, {words.format("coalesce(text, '')")} AS w FROM benchmark),
-windows AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, j, j + {WINDOW - 1}), ' ') AS win, least(len(w), {WINDOW}) AS n
+bw AS (SELECT item_id, row_number() OVER () AS item, {words.format("coalesce(text, '')")} AS w FROM benchmark),
+windows AS (SELECT item_id, item, j, array_to_string(list_slice(w, j, j + {WINDOW - 1}), ' ') AS win, least(len(w), {WINDOW}) AS n
   FROM bw, unnest(range(1, greatest(len(w) - {WINDOW - 1}, 1) + 1)) r(j) WHERE len(w) > 0),
 sizes AS (SELECT DISTINCT n FROM windows),
 grams AS (SELECT doc_id, p, n, array_to_string(list_slice(w, p, p + n - 1), ' ') AS win FROM dw, sizes, unnest(range(1, len(w) - n + 2)) r(p)),
-hits AS (SELECT doc_id, p, g.n, item_id FROM grams g JOIN windows USING (win)),
+hits AS (SELECT doc_id, p, g.n, item_id, item, j FROM grams g JOIN windows USING (win)),
 hit_words AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hits) GROUP BY doc_id),
 hit_items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM (SELECT DISTINCT doc_id, item_id FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id),
-judged AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-  FROM dw LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id))"""
+runs AS (SELECT doc_id, min(p) AS p, count(*) + any_value(n) - 1 AS n FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item, p - j ORDER BY p) AS run FROM hits) GROUP BY doc_id, item, p - j, run),
+longest AS (SELECT doc_id, max(n) AS longest, arg_min(p, (-n, p)) - 1 AS longest_word FROM runs GROUP BY doc_id),
+judged AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+    coalesce(longest, 0)::BIGINT AS longest, coalesce(longest_word, -1)::BIGINT AS longest_word
+  FROM dw LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id) LEFT JOIN longest USING (doc_id))"""
 
 
 OP1_SQL = f"WITH {contamination_sql()} SELECT * FROM judged"

@@ -17,7 +17,7 @@ def words(t):
 def brute(rows, items, window=10):
     out = []
     for i, t, *_ in rows:
-        w, hit, found, best = words(t), set(), set(), (0, None)
+        w, hit, found, best = words(t), set(), set(), (0, -1)
         for item, u in items:
             v = words(u)
             n = min(window, len(v))
