@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -41,3 +41,8 @@ def needs_side(value: Column, neighbour: Column) -> Column:
 
 def quad_mean(a: Column, b: Column, c: Column, d: Column) -> Column:
     return (a + b + c + d) / 4
+
+
+def painted(faces: DataFrame) -> DataFrame:
+    """faces in the order in which they are drawn: by depth, ascending."""
+    return faces.orderBy("depth")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumaframe.functions import color
 from lumaframe.functions.text import csv_cell, format_number, mode_label
-from lumaframe.operators.select import weighted
+from lumaframe.operators.select import swizzled, weighted
 from lumaframe.schema import CHANNELS, MOST_PICKERS, channels_of
 
 # The colours of pickers, in order.
@@ -51,26 +51,52 @@ def toggled(pickers: DataFrame, at: DataFrame) -> DataFrame:
     return pickers.join(at, key, "left_anti").select(*pickers.columns).unionByName(at.join(pickers, key, "left_anti").select(*pickers.columns))
 
 
+def removed(pickers: DataFrame, *picker_ids: int) -> DataFrame:
+    """pickers without those of the numbers; a picker without a number stays."""
+    return pickers.filter(~F.coalesce(F.col("picker_id").isin(*picker_ids), F.lit(False)))
+
+
+def cleared(pickers: DataFrame, image_id: str) -> DataFrame:
+    """pickers without those of an image."""
+    return pickers.filter(~F.col("image_id").eqNullSafe(F.lit(image_id)))
+
+
+def of_images(images: DataFrame) -> DataFrame:
+    """(image_id, picker_id, x, y, color) of images(image_id, pickers array of structs): one row for each picker of any image."""
+    return images.select("image_id", F.explode("pickers").alias("p")).select("image_id", "p.picker_id", "p.x", "p.y", "p.color")
+
+
+def largest_id(pickers: DataFrame) -> DataFrame:
+    """(picker_id): the largest number that a picker has, 0 if there is none."""
+    return pickers.agg(F.coalesce(F.max("picker_id"), F.lit(0)).alias("picker_id"))
+
+
+def css_color(pixels: DataFrame, mode: str) -> DataFrame:
+    """(image_id, y, x, css): the colour in which a display mode shows each pixel."""
+    parts = [color.encode(F.col(c), "srgb255", False).cast("string") for c in "rgb"]
+    return swizzled(pixels, mode).select("image_id", "y", "x", F.concat(F.lit("rgb("), F.concat_ws(" ", *parts), F.lit(")")).alias("css"))
+
+
 def inside(pickers: DataFrame, images: DataFrame) -> DataFrame:
     """pickers that stand within images(image_id, width, height)."""
     return pickers.join(images, "image_id").filter("x < width AND y < height").select(*pickers.columns)
 
 
-def _text(c: Column, encoding: str) -> Column:
+def pixel_text(c: Column, encoding: str) -> Column:
     return c.cast("string") if encoding == "srgb255" else format_number(c)
 
 
 def picker_csv(pixels: DataFrame, pickers: DataFrame, images: DataFrame, mode: str, encoding: str) -> DataFrame:
     """(picker_id, line) of the CSV whose header is csv_header(); images(image_id, name)."""
     values = picker_values(pixels, pickers, mode).join(images.select("image_id", "name"), "image_id")
-    cells = [_text(color.encode(c, encoding, c == "a"), encoding) for c in channels_of(mode)]
+    cells = [pixel_text(color.encode(c, encoding, c == "a"), encoding) for c in channels_of(mode)]
     line = F.concat_ws(",", csv_cell(F.concat(F.lit("P"), F.col("picker_id").cast("string"))), csv_cell("name"), F.col("x").cast("string"), F.col("y").cast("string"), F.lit(encoding), mode_label(F.lit(mode)), *cells)
     return values.select("picker_id", line.alias("line"))
 
 
 def picker_tuples(pixels: DataFrame, pickers: DataFrame, mode: str, encoding: str) -> DataFrame:
     """(picker_id, line): the values alone."""
-    cells = [_text(color.encode(c, encoding, c == "a"), encoding) for c in channels_of(mode)]
+    cells = [pixel_text(color.encode(c, encoding, c == "a"), encoding) for c in channels_of(mode)]
     return picker_values(pixels, pickers, mode).select("picker_id", F.concat_ws(",", *cells).alias("line"))
 
 

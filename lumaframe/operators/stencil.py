@@ -61,7 +61,8 @@ def sobel(pixels: DataFrame) -> DataFrame:
 def sampled(points: DataFrame, pixels: DataFrame, width: int, height: int) -> DataFrame:
     """points(image_id, u, v, ...) with r, g, b, a read between pixel centres, places outside 0..1 pulled to the border.
 
-    Each point asks for its four pixels; one equi-join and one sum of weighted values answer.
+    Each point asks for its four pixels; one equi-join and one sum of weighted values answer. Equal points are summed together and
+    then given back as often as they were asked for.
     """
     fx, fy = (F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(c))) * n - 0.5 for c, n in (("u", width), ("v", height)))
     keys = [c for c in points.columns]
@@ -75,7 +76,9 @@ def sampled(points: DataFrame, pixels: DataFrame, width: int, height: int) -> Da
     asked = asked.withColumn("__c", F.explode(F.array(*corner))).select(*keys, F.col("__c.y").alias("__y"), F.col("__c.x").alias("__x"), F.col("__c.w").alias("__w"))
     source = pixels.select(F.col("image_id").alias("__id"), F.col("y").alias("__py"), F.col("x").alias("__px"), *[d(c).alias(f"__{c}") for c in CHANNELS])
     found = asked.join(source, (F.col("image_id") == F.col("__id")) & (F.col("__y") == F.col("__py")) & (F.col("__x") == F.col("__px")))
-    return found.groupBy(*keys).agg(*[F.sum(F.col("__w") * F.col(f"__{c}")).alias(c) for c in CHANNELS])
+    times = (F.count("*") / 4).alias("__n")
+    sums = found.groupBy(*keys).agg(*[(F.sum(F.col("__w") * F.col(f"__{c}")) / (F.count("*") / 4)).alias(c) for c in CHANNELS], times)
+    return sums.select(*keys, *CHANNELS, F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))).alias("__k")).drop("__k")
 
 
 def resampled(pixels: DataFrame, width: int, height: int, to_width: int, to_height: int) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lumaframe.operators import generate, select, stencil
 from lumaframe.operators.aggregate import image_range
@@ -15,6 +17,11 @@ from lumaframe.schema import COPY_PIXELS, PORTABLE_PIXELS, Rect
 from lumaframe.sources import files, matrix
 
 
+def view_name(image_id: str) -> str:
+    """The name of an image's view: what a name can't hold becomes its code in hexadecimal."""
+    return "image_" + re.sub(r"[^0-9A-Za-z_]", lambda m: f"_{ord(m[0]):x}_", image_id)
+
+
 @dataclass
 class Image:
     """What is known of an image besides its pixels."""
@@ -49,9 +56,11 @@ class Catalog:
         self._cached: dict[tuple, DataFrame] = {}
 
     def add(self, image_id: str, pixels: DataFrame, image: Image) -> None:
+        """Show pixels under image_id, which their rows then carry, whatever they are read from."""
         self.close(image_id)
+        pixels = pixels.withColumn("image_id", F.lit(image_id))
         self.images[image_id], self.frames[image_id], self.originals[image_id] = image, pixels, pixels
-        pixels.createOrReplaceTempView(f"image_{image_id}")
+        pixels.createOrReplaceTempView(view_name(image_id))
 
     def open(self, image_id: str, path: str) -> None:
         record = files.image_records(self.spark, path).first()
@@ -96,7 +105,7 @@ class Catalog:
 
     def _replace(self, image_id: str, frame: DataFrame) -> None:
         self.frames[image_id] = frame
-        frame.createOrReplaceTempView(f"image_{image_id}")
+        frame.createOrReplaceTempView(view_name(image_id))
         self._forget(image_id)
 
     def _forget(self, image_id: str) -> None:
@@ -128,7 +137,7 @@ class Catalog:
         self._forget(image_id)
         if self.images.pop(image_id, None):
             self.frames.pop(image_id), self.originals.pop(image_id)
-            self.spark.catalog.dropTempView(f"image_{image_id}")
+            self.spark.catalog.dropTempView(view_name(image_id))
 
     def save(self, path: str) -> None:
         """Plans of all images as a JSON line each; embedded pixels as parquet beside them, generated ones not at all."""

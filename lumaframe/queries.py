@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from lumaframe.functions import color, geometry, text
 from lumaframe.operators import aggregate, display, generate, pick, select, stencil
 from lumaframe.plans import share
+from lumaframe.plans.catalog import Catalog
 from lumaframe.schema import CHANNELS, Rect
-from lumaframe.sources import files, hdr, matrix, png
+from lumaframe.sources import files, matrix
 
 WIDTH = 100
 RECT = Rect(3, 2, 40, 7)
@@ -221,8 +222,8 @@ add("pooled_grid_luminance", lambda s, d: rounded(aggregate.graph_values(_pooled
 add("graph_extent", lambda s, d: rounded(aggregate.extent(aggregate.graph_values(_pooled(s, d), "rgb"))), f"WITH {NONFINITE}, {pooled_sql()} SELECT image_id, {s6(f'min({slum()})', 'low')}, {s6(f'max({slum()})', 'high')} FROM grid GROUP BY image_id")
 add(
     "strided_samples",
-    lambda s, d: rounded(aggregate.strided_samples(events(s, d), Rect(0, 0, 100, 10), "rgb", most=20, dragging=True)),
-    f"WITH {EVENTS}, places AS (SELECT (k // 20)::INTEGER AS \"row\", (k % 20)::INTEGER AS col FROM range(200) t(k)) SELECT image_id, p.\"row\", p.col, {s6(slum(), 'value')} FROM px JOIN places p ON px.y = floor(9.0::DOUBLE * (p.\"row\" / 9.0::DOUBLE) + 0.5) AND px.x = floor(99.0::DOUBLE * (p.col / 19.0::DOUBLE) + 0.5)",
+    lambda s, d: (lambda px: rounded(aggregate.strided_samples(px, Rect(0, 0, *_size(px)), "rgb", most=20, dragging=True)))(events(s, d)),
+    f"WITH {EVENTS}, dims AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM px), places AS (SELECT h, w, i::INTEGER AS \"row\", j::INTEGER AS col FROM dims, range(20) p(i), range(20) q(j) WHERE i < h AND j < w) SELECT image_id, p.\"row\", p.col, {s6(slum(), 'value')} FROM px JOIN places p ON px.y = floor((h - 1)::DOUBLE * (p.\"row\" / greatest(least(h, 20) - 1, 1)::DOUBLE) + 0.5) AND px.x = floor((w - 1)::DOUBLE * (p.col / greatest(least(w, 20) - 1, 1)::DOUBLE) + 0.5)",
 )
 # --- projections -----------------------------------------------------------------------------------------------------
 add("crop_linear", lambda s, d: rounded(select.displayed(select.crop(events(s, d), RECT), "rgba")), f"WITH {EVENTS}, {CROP} SELECT image_id, y, x, {', '.join(s6(W[c], c) for c in CHANNELS)} FROM crop")
@@ -300,21 +301,59 @@ SELECT * FROM lines UNION ALL SELECT 'events', 8, '… Preview: first 12 x 8 of
 
 
 def _value_matrix_roundtrip(s: SparkSession, d: str) -> DataFrame:
-    crop = select.crop(events(s, d), RECT)
-    return matrix.read_text(s, matrix.write_text(crop, RECT.width, RECT.height), image_id="events")
+    return matrix.read_rows(matrix.rows_of(tiles(s, d)), 50, [0, 1, 2, 3])
 
 
-def _file_roundtrip(kind: str, decode) -> Query:
+def _file_roundtrip(kind: str, source: Query = tiles) -> Query:
+    """All tiles as a file each, read back."""
+
     def query(s: SparkSession, d: str) -> DataFrame:
-        encoded = files.encoded_files(select.crop(events(s, d), RECT), kind)
-        strips = encoded.select(F.concat("image_id", F.lit(f".{kind}")).alias("path"), "content", F.lit("raster" if kind == "png" else kind).alias("kind"))
-        return strips.mapInPandas(files._strips, files.DECODED).select("image_id", "width", "y0", "strip").mapInPandas(files._explode, files.PIXEL_DDL)
+        encoded = files.encoded_files(source(s, d), kind).select(F.col("image_id").alias("path"), "content", F.lit("raster" if kind == "png" else kind.removesuffix("-zip")).alias("kind"))
+        return encoded.mapInPandas(files._strips, files.DECODED).select("image_id", "width", "y0", "strip").mapInPandas(files._explode, files.PIXEL_DDL)
 
     return query
 
 
-_CROPPED = f"WITH {EVENTS}, {CROP} SELECT image_id, y, x, {', '.join(s6(c, c) for c in CHANNELS)} FROM crop"
-add("value_matrix_roundtrip", lambda s, d: rounded(_value_matrix_roundtrip(s, d)), _CROPPED)
-add("exr_roundtrip", lambda s, d: rounded(_file_roundtrip("exr", hdr.decode_exr)(s, d)).withColumn("image_id", F.lit("events")), _CROPPED)
-add("png_roundtrip", lambda s, d: rounded(_file_roundtrip("png", png.decode)(s, d)).withColumn("image_id", F.lit("events")), f"WITH {EVENTS}, {CROP} SELECT image_id, y, x, {', '.join(_f6(sto_linear(f'({sbyte(D[c])} / 255.0::DOUBLE)::FLOAT::DOUBLE'), c) for c in 'rgb')}, {_f6(sround(sclamp(D['a']) + ' * 255') + ' / 255.0::DOUBLE', 'a')} FROM crop")
+_WHOLE = f"WITH {TILES} SELECT image_id, y, x, {', '.join(s6(c, c) for c in CHANNELS)} FROM px"
+add("value_matrix_roundtrip", lambda s, d: rounded(_value_matrix_roundtrip(s, d)), _WHOLE)
+add("gray_matrix_roundtrip", lambda s, d: rounded(matrix.read_rows(matrix.rows_of(tiles(s, d), channels=(0,)), 50)), f"WITH {TILES} SELECT image_id, y, x, {', '.join(s6('r', c) for c in 'rgb')}, {s6('1', 'a')} FROM px")
+add("exr_roundtrip", lambda s, d: rounded(_file_roundtrip("exr")(s, d)), _WHOLE)
+add("exr_zip_roundtrip", lambda s, d: rounded(_file_roundtrip("exr-zip")(s, d)), _WHOLE)
+add("png_roundtrip", lambda s, d: rounded(_file_roundtrip("png")(s, d)), f"WITH {TILES} SELECT image_id, y, x, {', '.join(_f6(sto_linear(f'({sbyte(D[c])} / 255.0::DOUBLE)::FLOAT::DOUBLE'), c) for c in 'rgb')}, {_f6(sround(sclamp(D['a']) + ' * 255') + ' / 255.0::DOUBLE', 'a')} FROM px")
+add("selection_csv", lambda s, d: files.selection_rows(events(s, d), Rect(0, 0, WIDTH, 1 << 30), "rgb", "srgb255"), f"WITH {EVENTS} SELECT x, y, 'srgb255' AS mode, 'RGB' AS display, {', '.join(f'({s255(D[c])})::VARCHAR AS {c}' for c in 'rgb')} FROM px")
+add("css_color", lambda s, d: pick.css_color(nonfinite(s, d), "rgb"), f"WITH {NONFINITE} SELECT image_id, y, x, concat('rgb(', concat_ws(' ', {', '.join(s255(D[c]) for c in 'rgb')}), ')') AS css FROM px")
+
+
+def _image_pickers(s: SparkSession, d: str) -> DataFrame:
+    """A picker for every hundredth event, dealt to images of 500."""
+    e = s.read.parquet(f"{d}/events.parquet").filter("event_id % 100 = 0")
+    picker = F.expr("named_struct('picker_id', CAST(event_id div 100 AS int), 'x', CAST(event_id % 50 AS int), 'y', CAST((event_id % 500) div 50 AS int), 'color', '#ff365e')")
+    return e.groupBy(F.expr("CAST(event_id div 500 AS string)").alias("image_id")).agg(F.collect_list(picker).alias("pickers"))
+
+
+_ALL_PICKERS = "k AS (SELECT (event_id // 500)::VARCHAR AS image_id, (event_id // 100)::INTEGER AS picker_id, (event_id % 50)::INTEGER AS x, ((event_id % 500) // 50)::INTEGER AS y, '#ff365e' AS color FROM events WHERE event_id % 100 = 0)"
+add("all_pickers", lambda s, d: pick.of_images(_image_pickers(s, d)), f"WITH {_ALL_PICKERS} SELECT * FROM k")
+add("picker_remove", lambda s, d: pick.cleared(pick.removed(pick.of_images(_image_pickers(s, d)), 0, 3), "1"), f"WITH {_ALL_PICKERS} SELECT * FROM k WHERE picker_id NOT IN (0, 3) AND image_id <> '1'")
+add("picker_largest_id", lambda s, d: pick.largest_id(pick.of_images(_image_pickers(s, d))), f"WITH {_ALL_PICKERS} SELECT max(picker_id) AS picker_id FROM k")
+
+
+def _generated_pickers(s: SparkSession, d: str) -> DataFrame:
+    """Two generated images of a catalog, joined to pickers by their ids."""
+    catalog = Catalog(s)
+    catalog.generate("it's one", 64, 48, r="u", g="v")
+    catalog.generate("two", 32, 24, r="1 - u", b="v")
+    both = select.append(*catalog.frames.values())
+    pickers = s.createDataFrame([(1, "it's one", 3, 2), (2, "two", 3, 2), (3, "two", 31, 23)], "picker_id int, image_id string, x int, y int")
+    return pick.picker_values(both, pickers, "rgba")
+
+
+add("generated_pickers", lambda s, d: rounded(_generated_pickers(s, d)), f"SELECT picker_id, image_id, x, y, {s6('r::FLOAT', 'r')}, {s6('g::FLOAT', 'g')}, {s6('b::FLOAT', 'b')}, {s6('1', 'a')} FROM (VALUES (1::INTEGER, 'it''s one', 3::INTEGER, 2::INTEGER, 3.5::DOUBLE / 64, 2.5::DOUBLE / 48, 0::DOUBLE), (2, 'two', 3, 2, 1 - 3.5::DOUBLE / 32, 0, 2.5::DOUBLE / 24), (3, 'two', 31, 23, 1 - 31.5::DOUBLE / 32, 0, 23.5::DOUBLE / 24)) t(picker_id, image_id, x, y, r, g, b)")
+
+
+def _points(s: SparkSession, d: str) -> DataFrame:
+    e = s.read.parquet(f"{d}/events.parquet")
+    return e.select(F.lit("events").alias("image_id"), F.expr("(event_id % 10) / 9D").alias("u"), F.expr("(user_id % 8) / 8D").alias("v"))
+
+
+add("sampled_points", lambda s, d: (lambda px: rounded(stencil.sampled(_points(s, d), px, *_size(px))))(events(s, d)), RESAMPLE.replace("grid AS (SELECT (k // 30)::INTEGER AS y, (k % 30)::INTEGER AS x FROM range(600) t(k))", "grid AS (SELECT event_id, (event_id % 10) / 9::DOUBLE AS u, (user_id % 8) / 8::DOUBLE AS v FROM events)").replace("SELECT y, x, h, w", "SELECT event_id, u, v, h, w").replace("(x + 0.5::DOUBLE) / 30", "u").replace("(y + 0.5::DOUBLE) / 20", "v").replace("SELECT y, x, least", "SELECT event_id, u, v, least").replace("SELECT p.image_id, c.y, c.x,", "SELECT image_id, u, v, r, g, b, a FROM (SELECT p.image_id, event_id, " + s6("u", "u") + ", " + s6("v", "v") + ",") + ")")
 add("share_roundtrip", lambda s, d: s.createDataFrame([tuple(share.decode(share.encode(64, 32, "r = u; é")).values())], "width int, height int, code string"), "SELECT 64::INTEGER AS width, 32::INTEGER AS height, 'r = u; é' AS code")

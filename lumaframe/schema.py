@@ -59,6 +59,12 @@ def check_size(width: int, height: int, limit: int | None = MATRIX_PIXELS) -> No
         raise ValueError(f"Value Matrix is limited to {limit:,} pixels.")
 
 
+def check_file_size(width: int, height: int) -> None:
+    """Raise for sizes of files that one task shouldn't decode; asked before anything is unpacked."""
+    if width < 1 or height < 1 or width * height > PROGRAM_PIXELS:
+        raise ValueError(f"{width} x {height} is outside of 1 to {PROGRAM_PIXELS} pixels.")
+
+
 def check_encoding(encoding: str | None) -> str:
     found = str(encoding or "linear").lower()
     if found not in ENCODINGS:

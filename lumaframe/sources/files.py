@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumaframe.functions import color
-from lumaframe.functions.text import file_kind, save_formats
+from lumaframe.functions.text import file_kind, mode_label, save_formats
 from lumaframe.operators.display import file_bytes
-from lumaframe.schema import CHANNELS
+from lumaframe.operators.pick import pixel_text
+from lumaframe.operators.select import weighted
+from lumaframe.schema import CHANNELS, Rect, channels_of, check_file_size, sizes
 from lumaframe.sources import hdr, png
 
 #: Rows of pixels that a task gives at a time.
@@ -92,11 +94,17 @@ def read_raster(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def encoded_files(pixels: DataFrame, kind: str, source_format: str = "values") -> DataFrame:
-    """(image_id, content) of each image as png, hdr or exr. One image is one group, as it is one file."""
-    if kind not in save_formats(source_format):
+    """(image_id, content) of each image as png, hdr, exr or exr-zip. One image is one group, as it is one file.
+
+    Sizes are looked up before anything is gathered: an image of more than PROGRAM_PIXELS raises.
+    """
+    if kind.removesuffix("-zip") not in save_formats(source_format):
         raise ValueError(f"{source_format} images can't be saved as {kind}.")
-    if kind not in ("png", "hdr", "exr"):
+    if kind not in ("png", "hdr", "exr", "exr-zip"):
         raise ValueError(f"There is no encoder for {kind}.")
+    largest = sizes(pixels).orderBy(F.desc(F.col("width").cast("long") * F.col("height"))).first()
+    if largest:
+        check_file_size(largest["width"], largest["height"])
     if kind == "png":
         values = file_bytes(pixels)
     elif kind == "hdr":
@@ -106,14 +114,21 @@ def encoded_files(pixels: DataFrame, kind: str, source_format: str = "values") -
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         h, w = int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1
-        image = np.zeros((h, w, 4), np.float32 if kind == "exr" else np.uint8)
+        image = np.zeros((h, w, 4), np.uint8 if kind in ("png", "hdr") else np.float32)
         image[pdf["y"], pdf["x"]] = pdf[list(CHANNELS)].to_numpy(image.dtype)
-        content = {"png": png.encode, "hdr": hdr.encode_rgbe, "exr": hdr.encode_exr}[kind](image)
+        content = {"png": png.encode, "hdr": hdr.encode_rgbe, "exr": hdr.encode_exr, "exr-zip": lambda v: hdr.encode_exr(v, hdr.ZIP)}[kind](image)
         return pd.DataFrame({"image_id": [pdf["image_id"].iloc[0]], "content": [content]})
 
     return values.groupBy("image_id").applyInPandas(run, FILES)
 
 
+def selection_rows(pixels: DataFrame, rect: Rect, mode: str = "rgba", encoding: str = "linear") -> DataFrame:
+    """(x, y, mode, display, channels...) of the pixels in rect, which count from the image's corner; values as text."""
+    cells = [pixel_text(color.encode(weighted(mode, c), encoding, c == "a"), encoding).alias(c) for c in channels_of(mode)]
+    inside = pixels.filter(F.col("x").between(rect.x, rect.x + rect.width - 1) & F.col("y").between(rect.y, rect.y + rect.height - 1))
+    return inside.select("x", "y", F.lit(encoding).alias("mode"), mode_label(F.lit(mode)).alias("display"), *cells)
+
+
 def write_selection_csv(rows: DataFrame, path: str) -> None:
     """rows(x, y, mode, display, channels...) as one CSV file with a header, quotes doubled."""
     rows.orderBy("y", "x").coalesce(1).write.csv(path, header=True, escape='"')

@@ -1,13 +1,19 @@
-"""Radiance RGBE and uncompressed scanline OpenEXR, as float32 arrays (height, width, 4)."""
+"""Radiance RGBE and scanline OpenEXR (uncompressed, RLE, ZIPS, ZIP), as float32 arrays (height, width, 4)."""
 
 from __future__ import annotations
 
 import re
 import struct
+import zlib
 
 import numpy as np
 
+from lumaframe.schema import check_file_size
+
 EXR_MAGIC = 20000630
+# Numbers of the compressions, and the scanlines of a block of each.
+NONE, RLE, ZIPS, ZIP = 0, 1, 2, 3
+BLOCK_LINES = {NONE: 1, RLE: 1, ZIPS: 1, ZIP: 16}
 
 
 def decode_rgbe(content: bytes) -> np.ndarray:
@@ -18,6 +24,7 @@ def decode_rgbe(content: bytes) -> np.ndarray:
     if not found:
         raise ValueError("Radiance file has no size, or an orientation that isn't supported.")
     height, width, at = int(found[1]), int(found[2]), found.end()
+    check_file_size(width, height)
     out = np.zeros((height, width, 4), np.uint8)
     for y in range(height):
         head = content[at : at + 4]
@@ -65,43 +72,92 @@ def _exr_header(content: bytes) -> tuple[dict[str, bytes], int]:
     return out, at + 1
 
 
+def _run_lengths(data: bytes) -> bytes:
+    """Runs: a count n and a byte for n + 1 of it, or -n and n bytes."""
+    out, at = [], 0
+    while at < len(data):
+        n = data[at]
+        if n < 128:
+            out.append(data[at + 1 : at + 2] * (n + 1))
+            at += 2
+        else:
+            out.append(data[at + 1 : at + 257 - n])
+            at += 257 - n
+    return b"".join(out)
+
+
+def _unpacked(data: bytes, compression: int, size: int) -> bytes:
+    """A block's bytes. Packed ones hold differences from byte to byte, of all bytes at even places and then those at odd ones."""
+    if compression == NONE or len(data) == size:
+        return data
+    steps = np.frombuffer(_run_lengths(data) if compression == RLE else zlib.decompressobj().decompress(data, size), np.uint8).astype(np.int64)
+    if len(steps) != size:
+        raise ValueError("OpenEXR block is damaged.")
+    steps[1:] -= 128
+    values, out = (np.cumsum(steps) & 255).astype(np.uint8), np.zeros(size, np.uint8)
+    out[0::2], out[1::2] = values[: (size + 1) // 2], values[(size + 1) // 2 :]
+    return out.tobytes()
+
+
+def _packed(data: bytes) -> bytes:
+    """The other way round, by ZIP; data itself if it doesn't get smaller."""
+    v = np.frombuffer(data, np.uint8)
+    values = np.concatenate((v[0::2], v[1::2])).astype(np.int64)
+    steps = values.copy()
+    steps[1:] = values[1:] - values[:-1] + 128
+    packed = zlib.compress((steps & 255).astype(np.uint8).tobytes())
+    return packed if len(packed) < len(data) else data
+
+
 def decode_exr(content: bytes) -> np.ndarray:
-    """Half, float and uint channels R, G, B, A or Y; other names are ignored."""
+    """Half, float and uint channels R, G, B, A or Y of a scanline file; other names are ignored."""
     header, at = _exr_header(content)
-    if header["compression"][0] != 0:
-        raise ValueError("Compressed OpenEXR files are not supported.")
+    compression = header["compression"][0]
+    if compression not in BLOCK_LINES:
+        raise ValueError(f"OpenEXR compression {compression} is not supported.")
     x0, y0, x1, y1 = struct.unpack("<4i", header["dataWindow"])
     width, height = x1 - x0 + 1, y1 - y0 + 1
+    check_file_size(width, height)
     channels, k, raw = [], 0, header["channels"]
     while raw[k] != 0:
         end = raw.index(b"\0", k)
-        channels.append((raw[k:end].decode(), ("<u4", "<f2", "<f4")[struct.unpack("<i", raw[end + 1 : end + 5])[0]]))
+        kind, steps = struct.unpack("<i", raw[end + 1 : end + 5])[0], struct.unpack("<2i", raw[end + 9 : end + 17])
+        if steps != (1, 1):
+            raise ValueError("OpenEXR channels of fewer samples are not supported.")
+        channels.append((raw[k:end].decode(), ("<u4", "<f2", "<f4")[kind]))
         k = end + 17
     pixels = np.zeros((height, width, 4), np.float32)
     pixels[..., 3] = 1
-    at += 8 * height
-    for _ in range(height):
-        y, _ = struct.unpack("<iI", content[at : at + 8])
-        at += 8
-        for name, kind in channels:
-            row = np.frombuffer(content, kind, width, at).astype(np.float32)
-            at += width * int(kind[-1])
-            if name == "Y":
-                pixels[y - y0, :, :3] = row[:, None]
-            elif name in ("R", "G", "B", "A"):
-                pixels[y - y0, :, "RGBA".index(name)] = row
+    line, lines = width * sum(int(kind[-1]) for _, kind in channels), BLOCK_LINES[compression]
+    at += 8 * -(-height // lines)
+    for _ in range(-(-height // lines)):
+        y, size = struct.unpack("<iI", content[at : at + 8])
+        if not y0 <= y <= y1 or at + 8 + size > len(content):
+            raise ValueError("OpenEXR data is damaged.")
+        block = _unpacked(content[at + 8 : at + 8 + size], compression, line * min(lines, y1 + 1 - y))
+        at, place = at + 8 + size, 0
+        for row in range(y - y0, min(y - y0 + lines, height)):
+            for name, kind in channels:
+                values = np.frombuffer(block, kind, width, place).astype(np.float32)
+                place += width * int(kind[-1])
+                if name == "Y":
+                    pixels[row, :, :3] = values[:, None]
+                elif name in ("R", "G", "B", "A"):
+                    pixels[row, :, "RGBA".index(name)] = values
     return pixels
 
 
-def encode_exr(pixels: np.ndarray) -> bytes:
-    """Four float channels, uncompressed; values that aren't finite are written as 0."""
+def encode_exr(pixels: np.ndarray, compression: int = NONE) -> bytes:
+    """Four float channels, uncompressed or by ZIPS or ZIP; values that aren't finite are written as 0."""
     h, w = pixels.shape[:2]
     window = struct.pack("<4i", 0, 0, w - 1, h - 1)
     channels = b"".join(c + b"\0" + struct.pack("<i4B2i", 2, 0, 0, 0, 0, 1, 1) for c in (b"A", b"B", b"G", b"R")) + b"\0"
     # The attributes that the format asks for.
-    attributes = (("channels", "chlist", channels), ("compression", "compression", b"\0"), ("dataWindow", "box2i", window), ("displayWindow", "box2i", window), ("lineOrder", "lineOrder", b"\0"), ("pixelAspectRatio", "float", struct.pack("<f", 1)), ("screenWindowCenter", "v2f", struct.pack("<2f", 0, 0)), ("screenWindowWidth", "float", struct.pack("<f", 1)))
+    attributes = (("channels", "chlist", channels), ("compression", "compression", bytes([compression])), ("dataWindow", "box2i", window), ("displayWindow", "box2i", window), ("lineOrder", "lineOrder", b"\0"), ("pixelAspectRatio", "float", struct.pack("<f", 1)), ("screenWindowCenter", "v2f", struct.pack("<2f", 0, 0)), ("screenWindowWidth", "float", struct.pack("<f", 1)))
     head = struct.pack("<II", EXR_MAGIC, 2) + b"".join(n.encode() + b"\0" + t.encode() + b"\0" + struct.pack("<I", len(v)) + v for n, t, v in attributes) + b"\0"
-    planes = np.where(np.isfinite(pixels), pixels, 0).astype("<f4")[..., ::-1].transpose(0, 2, 1)
-    size = 16 * w
-    offsets = len(head) + 8 * h + (8 + size) * np.arange(h)
-    return head + offsets.astype("<u8").tobytes() + b"".join(struct.pack("<iI", y, size) + planes[y].tobytes() for y in range(h))
+    planes, lines = np.where(np.isfinite(pixels), pixels, 0).astype("<f4")[..., ::-1].transpose(0, 2, 1), BLOCK_LINES[compression]
+    blocks = [planes[y : y + lines].tobytes() for y in range(0, h, lines)]
+    if compression != NONE:
+        blocks = [_packed(b) for b in blocks]
+    offsets = len(head) + 8 * len(blocks) + np.cumsum([0, *(8 + len(b) for b in blocks[:-1])])
+    return head + offsets.astype("<u8").tobytes() + b"".join(struct.pack("<iI", k * lines, len(b)) + b for k, b in enumerate(blocks))

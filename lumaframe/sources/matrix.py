@@ -8,6 +8,8 @@ from __future__ import annotations
 import json
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,51 +74,75 @@ def header_of(text: str) -> tuple[dict | None, list[str]]:
     return meta, [x for x in lines[3:] if x.strip()]
 
 
-def _frame(spark: SparkSession, rows: list[str], meta: dict, image_id: str) -> DataFrame:
-    channels, encoding, width = meta["channels"], meta["encoding"], meta["width"]
-    lines = spark.createDataFrame(list(enumerate(rows)), "y int, line string")
-    split = F.udf(lambda line: [[float(v) for v in c] for c in cells_of(line)], "array<array<double>>")
-    cells = lines.select("y", F.posexplode(split("line")).alias("x", "cell"))
-    bad = lambda m: F.raise_error(F.lit(m))
+def read_rows(lines: DataFrame, width: int, channels: list[int] | None = None, encoding: str = "linear", alpha_weighted: bool = False) -> DataFrame:
+    """The pixels of lines(image_id, y, line), rows of `width` cells as rows_of() writes them; channels None: one gray number a cell.
+
+    Tasks read the lines, so a table of many texts is never gathered. A row that can't be read, or of another shape, raises.
+    """
     n = 1 if channels is None else len(channels)
-    cell = F.when(F.col("x") >= width, bad("Value Matrix data does not match its dimensions.")).when(F.size("cell") != n, bad("Value Matrix cell channel count does not match its metadata.")).otherwise(F.col("cell"))
+
+    def parse(batches):
+        for pdf in batches:
+            found = [cells_of(line) for line in pdf["line"]]
+            if any(len(c) != width for c in found):
+                raise ValueError("Value Matrix data does not match its dimensions.")
+            if any(len(c) != n for row in found for c in row):
+                raise ValueError("Value Matrix cell channel count does not match its metadata.")
+            values = np.array(found, np.float64).reshape(len(found) * width, n)
+            keys = pdf[["image_id", "y"]].loc[pdf.index.repeat(width)].reset_index(drop=True)
+            yield keys.assign(x=np.tile(np.arange(width, dtype=np.int32), len(found)), **{f"c{k}": values[:, k] for k in range(n)})
+
+    cells = lines.select("image_id", F.col("y").cast("int").alias("y"), "line").mapInPandas(parse, "image_id string, y int, x int, " + ", ".join(f"c{k} double" for k in range(n)))
     out: dict[str, Column] = {}
     for k, c in enumerate(CHANNELS):
         at = 0 if channels is None and k < 3 else channels.index(k) if channels and k in channels else None
-        out[c] = F.lit(1.0 if c == "a" else 0.0) if at is None else color.decode(F.get(cell, F.lit(at)), encoding, k == 3)
-    pixels = cells.select(F.lit(image_id).alias("image_id"), "y", F.col("x").cast("int").alias("x"), *[v.cast("float").alias(c) for c, v in out.items()])
-    if meta.get("alphaWeighted") and channels and 3 in channels:
+        out[c] = F.lit(1.0 if c == "a" else 0.0) if at is None else color.decode(F.col(f"c{at}"), encoding, k == 3)
+    pixels = cells.select("image_id", "y", "x", *[v.cast("float").alias(c) for c, v in out.items()])
+    if alpha_weighted and channels and 3 in channels:
         pixels = pixels.withColumns({c: color.unpremultiply(c, "a").cast("float") for k, c in enumerate("rgb") if k in channels})
     return pixels
 
 
+def _shape(lines: DataFrame) -> tuple[int, int] | None:
+    """(cells of a row, numbers of a cell) if all lines agree on them and can be read."""
+
+    def shapes(batches):
+        for pdf in batches:
+            out = []
+            for line in pdf["line"]:
+                try:
+                    cells = cells_of(line)
+                    out += [(len(cells), n) for n in {len(c) for c in cells}] or [(0, 0)]
+                except ValueError:
+                    out.append((-1, -1))
+            yield pd.DataFrame(out, columns=["cells", "numbers"], dtype=np.int64)
+
+    found = lines.select("line").mapInPandas(shapes, "cells long, numbers long").distinct().limit(2).collect()
+    return tuple(found[0]) if len(found) == 1 and found[0]["cells"] > 0 and 1 <= found[0]["numbers"] <= 4 else None
+
+
 def read_text(spark: SparkSession, text: str, views: dict[str, DataFrame] | None = None, image_id: str = "values") -> DataFrame | None:
     """The pixels of a Value Matrix text, at most MATRIX_PIXELS of them; views: frames that internal texts refer to by token.
 
-    A text without a magic line is linear and its shape is inferred; None if it is malformed.
+    A text without a magic line is linear and its shape is inferred; None if it is malformed. Damaged rows behind a header raise when read.
     """
     meta, rows = header_of(text)
+    lines = spark.createDataFrame([(image_id, y, line) for y, line in enumerate(rows)], "image_id string, y int, line string")
     if meta is None:
-        try:
-            cells = [cells_of(r) for r in rows]
-        except ValueError:
-            return None
-        shapes = {len(c) for r in cells for c in r}
-        if not cells or len({len(r) for r in cells}) > 1 or len(shapes) != 1 or not shapes <= {1, 2, 3, 4}:
+        shape = _shape(lines)
+        if shape is None:
             return None
-        check_size(len(cells[0]), len(cells))
-        n = shapes.pop()
-        return _frame(spark, rows, {"channels": None if n == 1 else list(range(n)), "encoding": "linear", "width": len(cells[0])}, image_id)
+        check_size(shape[0], len(rows))
+        return read_rows(lines, shape[0], None if shape[1] == 1 else list(range(shape[1])))
     internal = meta.get("storage") == "internal"
     check_size(meta.get("width"), meta.get("height"), None if internal else MATRIX_PIXELS)
     if internal:
         if not views or meta.get("token") not in views:
             raise ValueError("The copied values are no longer at hand.")
         return views[meta["token"]]
-    meta |= {"channels": check_channels(meta.get("channels")), "encoding": check_encoding(meta.get("encoding"))}
-    if len(rows) != meta["height"] or any(len(cells_of(r)) != meta["width"] for r in rows):
+    if len(rows) != meta["height"]:
         raise ValueError(f"Value Matrix data does not match {meta['width']} x {meta['height']}.")
-    return _frame(spark, rows, meta, image_id)
+    return read_rows(lines, meta["width"], check_channels(meta.get("channels")), check_encoding(meta.get("encoding")), bool(meta.get("alphaWeighted")))
 
 
 def _cell(mode: str, channels: list[int], encoding: str, number_text) -> Column:

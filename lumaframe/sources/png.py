@@ -7,6 +7,8 @@ import zlib
 
 import numpy as np
 
+from lumaframe.schema import check_file_size
+
 MAGIC = b"\x89PNG\r\n\x1a\n"
 # Fixed values of the format.
 #: Samples a pixel and legal depths of each colour type.
@@ -90,8 +92,10 @@ def decode(content: bytes) -> dict:
         raise ValueError(f"Illegal PNG header: type {kind}, depth {depth}, {width} x {height}.")
     if interlaced > 1:
         raise ValueError(f"Unknown PNG interlace method: {interlaced}")
+    check_file_size(width, height)
     try:
-        raw = zlib.decompress(b"".join(data))
+        # Two bytes a sample, a filter byte a row of each pass, and no more, whatever the file unpacks to.
+        raw = zlib.decompressobj().decompress(b"".join(data), 8 * width * height + 16 * (height + 8))
     except zlib.error as e:
         raise ValueError(f"PNG data is damaged: {e}") from e
     per_pixel = TYPES[kind][0]
