@@ -25,9 +25,11 @@ def carried(docs: DataFrame, *columns: str | Column) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fresh local one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a fresh local one where it is unset and there is one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that driver and executors share.")
         found = tempfile.mkdtemp(prefix="lumaframe-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -2,7 +2,7 @@
 
 Map tasks fill a bounded memtable (digest -> surviving id, count) and flush it as sorted runs, one per digest bucket.
 Compaction merges a bucket's runs in tiers into one sorted segment of the index; it keeps one identifier per digest.
-A fixed-size Bloom filter over the digests that occur more than once tells the probing scan which texts it must ship:
+A Bloom filter over the digests that occur more than once, sized by their number, tells the probing scan which texts it must ship:
 all others are proven unique. Every hit is then compared, byte for byte, with the text of the row that stays.
 """
 
@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumaframe.llm.common import LOWER, LOWER_BYTES, UPPER, documents, materialize, partitions, small_batches, text_bytes
+from lumaframe.llm.common import LOWER, LOWER_BYTES, UPPER, discard, documents, materialize, partitions, small_batches, text_bytes
 
 #: Entries of a memtable before it is flushed (about 100 bytes each).
 MEMTABLE = 100_000
 #: Runs merged at once by compaction.
 FAN_IN = 8
-#: log2 of the filter's bits; its size (1 MB) doesn't depend on the data. Beyond its capacity more texts travel, results stay.
-FILTER_BITS = 23
+#: log2 of the filter's bits at least and at most (32 MB), and bits for each digest that repeats. Beyond that more texts travel, results stay.
+LEAST_BITS, MOST_BITS, DIGEST_BITS = 16, 28, 16
 
 RUN_SCHEMA = "bucket int, n long, digests binary, ids binary, counts binary"
 SEGMENT_SCHEMA = "digest binary, keep_id long, group_size long"
@@ -34,8 +34,8 @@ def normalise(text: bytes) -> bytes:
     return text.translate(LOWER_BYTES)
 
 
-def _filter_bits(digest: bytes) -> tuple[int, int, int]:
-    mask = (1 << FILTER_BITS) - 1
+def _filter_bits(digest: bytes, width: int) -> tuple[int, int, int]:
+    mask = (1 << width) - 1
     wide = hashlib.blake2b(digest, digest_size=12).digest()
     return tuple(int.from_bytes(wide[i : i + 4], "little") & mask for i in (0, 4, 8))
 
@@ -115,22 +115,24 @@ def build_index(docs: DataFrame, keep: str = "smallest", digest_bytes: int = 32)
     return runs.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(compact, SEGMENT_SCHEMA)
 
 
-def repeat_filter(index: DataFrame) -> np.ndarray:
-    """The Bloom filter, as bytes, over digests that occur more than once."""
+def repeat_filter(index: DataFrame) -> tuple[np.ndarray, int]:
+    """The Bloom filter over digests that occur more than once, as bytes, and log2 of its bits."""
+    repeated = index.filter("group_size > 1")
+    width = min(max(LEAST_BITS, (DIGEST_BITS * repeated.count()).bit_length()), MOST_BITS)
 
     def bits(batches):
         for b in batches:
-            at = np.array([x for d in b.column("digest").to_pylist() for x in _filter_bits(d)], np.int64)
+            at = np.array([x for d in b.column("digest").to_pylist() for x in _filter_bits(d, width)], np.int64)
             words, inverse = np.unique(at >> 6, return_inverse=True)
             masks = np.zeros(len(words), np.int64)
             np.bitwise_or.at(masks, inverse, np.left_shift(np.int64(1), at & 63))
             yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(masks)], ["word", "mask"])
 
-    found = index.filter("group_size > 1").select("digest").mapInArrow(bits, "word long, mask long")
-    rows = found.groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()  # 2^17 rows at most
-    words = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    found = repeated.select("digest").mapInArrow(bits, "word long, mask long")
+    rows = found.groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()  # 2^22 rows at most
+    words = np.zeros(1 << (width - 6), np.int64)
     words[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64)
-    return words.view(np.uint8)
+    return words.view(np.uint8), width
 
 
 def exact_groups(docs: DataFrame, keep: str = "smallest", digest_bytes: int = 32) -> DataFrame:
@@ -143,7 +145,8 @@ def exact_groups(docs: DataFrame, keep: str = "smallest", digest_bytes: int = 32
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     index = materialize(build_index(docs, keep, digest_bytes), "dedup-index")
-    maybe = spark.sparkContext.broadcast(repeat_filter(index).tobytes())
+    words, width = repeat_filter(index)
+    maybe = spark.sparkContext.broadcast(words.tobytes())
 
     def probe(batches):
         bits = np.frombuffer(maybe.value, np.uint8)
@@ -155,10 +158,11 @@ def exact_groups(docs: DataFrame, keep: str = "smallest", digest_bytes: int = 32
                 d = sha.digest()[:digest_bytes]
                 digests.append(d)
                 hexes.append(sha.hexdigest())
-                hits.append(text if all(bits[x >> 3] >> (x & 7) & 1 for x in _filter_bits(d)) else None)
+                hits.append(text if all(bits[x >> 3] >> (x & 7) & 1 for x in _filter_bits(d, width)) else None)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digests, pa.binary()), pa.array(hexes), pa.array(hits, pa.binary())], ["doc_id", "digest", "text_sha256", "hit"])
 
-    probed = docs.mapInArrow(probe, "doc_id long, digest binary, text_sha256 string, hit binary")
+    # Written once: three joins read it.
+    probed = materialize(docs.mapInArrow(probe, "doc_id long, digest binary, text_sha256 string, hit binary"), "dedup-probed")
     found = probed.join(index, "digest")
     stays = (
         probed.filter("hit IS NOT NULL").withColumnRenamed("doc_id", "keep_id")
@@ -169,6 +173,7 @@ def exact_groups(docs: DataFrame, keep: str = "smallest", digest_bytes: int = 32
         found.filter("group_size > 1").join(stays, "digest", "left").withColumn("other", F.expr("CASE WHEN stays = hit THEN NULL ELSE hit END")).drop("stays", "hit")
     )
     checked = materialize(checked, "dedup-hits")
+    discard(probed)
     decided = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("doc_id").isNull() & F.col("keep_id").isNull())
     if not checked.filter("other IS NOT NULL").limit(1).count():
         return checked.select("doc_id", "keep_id", "group_size", decided.alias("kept"), "text_sha256")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumaframe.llm.common import carried, documents, materialize
+from lumaframe.llm.common import documents, materialize
 
 LEAD, MIN_DOCS, CONSTANT = 3, 5, 60
 #: Percentage of a leaf's lines that a token needs more of to stay fixed, for each kind of template of a line.
@@ -86,7 +86,8 @@ def drop_templates(docs: DataFrame) -> DataFrame:
     """
     docs = docs.drop("n_lines", "n_dropped")
     found = recurring_lines(docs.select("doc_id", "text"))
-    keyed = carried(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    # The text travels once.
+    keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
     lines = keyed.select("doc_id", "text_hash", F.posexplode(lines_of("text")).alias("place", "line")).select("doc_id", "text_hash", "place", F.xxhash64("line").alias("line_hash"))
     gone = lines.join(found, "line_hash").groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.collect_set("place").alias("gone"))
     joined = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left").withColumn("lines", lines_of("text"))

@@ -3,7 +3,7 @@
 Distinct fingerprints are partitioned by a tree of vantage points: a node sends those within `radius` of its vantage point inward and
 those farther than radius - DISTANCE outward. By the triangle inequality every pair at DISTANCE or less then meets in at least one
 shard, with the boundary zone of each node in both. Inside a shard the same tree goes on down to small leaves, in which all pairs
-are compared. The upper tree is built from a bounded sample; the sample only shapes the shards, never the result.
+are compared. The upper tree is built from a sample that grows with the shards; the sample only shapes them, never the result.
 """
 
 from __future__ import annotations
@@ -22,8 +22,10 @@ from lumaframe.llm.components import components
 DISTANCE = 3
 SHINGLE = 3
 SEED = 42
-#: Distinct fingerprints aimed at for a shard, those of a leaf, and the sample that shapes the shards.
-SHARD, LEAF, SAMPLE = 40_000, 192, 20_000
+#: Distinct fingerprints aimed at for a shard, and those of a leaf.
+SHARD, LEAF = 40_000, 192
+#: Fingerprints that shape the shards: at least, for each shard, and at most (8 MB on the driver; beyond it shards grow, and are cut in their tasks).
+SAMPLE, SHARD_SAMPLE, MOST_SAMPLE = 20_000, 64, 1_000_000
 
 
 def fingerprint_of(text: bytes) -> int:
@@ -94,6 +96,10 @@ def build_tree(fps: np.ndarray, depth: int, distance: int):
     return vantage, radius, build_tree(fps[inner], depth - 1, distance), build_tree(fps[outer], depth - 1, distance)
 
 
+def shards_of(tree) -> int:
+    return 1 if tree is None else shards_of(tree[2]) + shards_of(tree[3])
+
+
 def route(tree, fps: np.ndarray, distance: int, shard: int = 1):
     """(shard, its fingerprints): those that lie in it and those of its boundary zones."""
     if tree is None:
@@ -142,7 +148,8 @@ def near_links(distinct: DataFrame, distance: int = DISTANCE, shard: int = SHARD
     depth = max(0, int(np.ceil(np.log2(max(n, 1) / shard)) * 1.5)) if n > shard else 0
     tree = None
     if depth:
-        sample = hashed_sample(distinct.select("fp"), "fp", SAMPLE, n).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+        size = min(max(SAMPLE, SHARD_SAMPLE * n // shard), MOST_SAMPLE)
+        sample = hashed_sample(distinct.select("fp"), "fp", size, n).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
         tree = build_tree(sample, depth, distance)
 
     def shards(batches):
@@ -170,7 +177,7 @@ def near_links(distinct: DataFrame, distance: int = DISTANCE, shard: int = SHARD
             yield close(now, parts)
 
     routed = distinct.select("fp").mapInArrow(shards, "shard long, fp long")
-    return routed.repartition(max(1, 2**depth), "shard").sortWithinPartitions("shard").mapInArrow(pairs, "u long, v long")
+    return routed.repartition(shards_of(tree), "shard").sortWithinPartitions("shard").mapInArrow(pairs, "u long, v long")
 
 
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +203,10 @@ def near_groups(docs: DataFrame, distance: int = DISTANCE, shard: int = SHARD) -
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs, all columns, with the document of smallest doc_id of each group; rows that repeat a doc_id, or have none, are one document."""
+    """docs, all columns, with the document of smallest doc_id of each group; rows that repeat a doc_id, or have none, are one document.
+
+    The rest is said at near_groups().
+    """
     stay = near_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(stay, docs["doc_id"].eqNullSafe(stay["__id"]), "left_semi")
 

@@ -35,13 +35,18 @@ SPAN, GRAM = 400, 32
 #: Window starts of an item at most, and the bytes that all its windows share.
 HALF = (SPAN - GRAM + 2) // 2
 CORE = SPAN - HALF + 1
-#: Items of one core that are sorted together; suffixes of a run; suffixes aimed at for a range; suffixes and their bytes that shape the splitters.
-HOT, RUN, RANGE, SAMPLE, SPLIT_BYTES = 20_000, 20_000, 40_000, 20_000, 32
-PLACE_BITS = 27
+#: Items of one core that are sorted together; suffixes of a run; suffixes aimed at for a range; suffixes that shape the splitters.
+HOT, RUN, RANGE, SAMPLE = 20_000, 20_000, 40_000, 20_000
+#: Bytes of a splitter: as many as equal cores have, so that a common phrase with many different continuations is cut.
+SPLIT_BYTES = CORE
+#: Windows whose anchors are found together, and the bits of a place among them.
+CHUNK, PLACE_BITS = 1 << 22, 27
 
 
 def _window_anchors(text: bytes) -> np.ndarray:
-    """The anchor of each SPAN-byte window of text."""
+    """The anchor of each SPAN-byte window of text; it depends on the window alone, so long texts are taken in pieces."""
+    if len(text) > CHUNK + SPAN - 1:
+        return np.concatenate([_window_anchors(text[k : k + CHUNK + SPAN - 1]) + k for k in range(0, len(text) - SPAN + 1, CHUNK)])
     n = len(text) - GRAM + 1
     words = np.ndarray((len(text) - 7,), "<u8", text, 0, (1,))
     h = words[:n] * np.uint64(0x9E3779B97F4A7C15)
@@ -391,25 +396,26 @@ def deduplicated(docs: DataFrame, hot: int = HOT) -> DataFrame:
     an empty table stays empty. The remaining bytes need not be valid UTF-8.
     """
     docs = docs.drop("n_bytes", "n_removed", "n_spans")
-    keyed = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("__text_hash", F.xxhash64("text"))
-    found = repeated_spans(keyed.select("doc_id", "text", F.col("__text_hash").alias("text_hash")), hot)
-    found = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
-    joined = keyed.join(found, keyed["doc_id"].eqNullSafe(found["__id"]) & (keyed["__text_hash"] == found["__hash"]), "left")
-    joined = joined.select(*docs.columns, "__spans")
     rest = [c for c in docs.columns if c != "text"]
+    text = F.coalesce("text", F.lit(""))
+    found = repeated_spans(docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_hash")), hot)
+    found = found.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "spans")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    joined = keyed.join(found, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left").select("row", "text", "spans")
 
     def run(batches):
         for b in small_batches(batches):
             texts, out, runs = text_bytes(b.column("text")), [], []
-            for text, spans in zip(texts, b.column("__spans").to_pylist(), strict=True):
+            for text, spans in zip(texts, b.column("spans").to_pylist(), strict=True):
                 kept, n = _cut(text, spans)
                 out.append(kept)
                 runs.append(n)
             sizes = np.array(list(map(len, texts)), np.int64)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(out, pa.binary()), pa.array(sizes), pa.array(sizes - np.array(list(map(len, out)), np.int64)), pa.array(runs, pa.int64())], [*rest, "text", "n_bytes", "n_removed", "n_spans"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(out, pa.binary()), pa.array(sizes), pa.array(sizes - np.array(list(map(len, out)), np.int64)), pa.array(runs, pa.int64())], ["row", "text", "n_bytes", "n_removed", "n_spans"])
 
-    schema = docs.select(*rest).schema.add("text", "binary").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
-    return joined.mapInArrow(run, schema).select(*docs.columns, "n_bytes", "n_removed", "n_spans")
+    schema = joined.select("row").schema.add("text", "binary").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
+    columns = ["text" if c == "text" else F.col(f"row.`{c}`") for c in docs.columns]
+    return joined.mapInArrow(run, schema).select(*columns, "n_bytes", "n_removed", "n_spans")
 
 
 def brute_force(texts: list[bytes]) -> list[bytes]:

@@ -178,6 +178,13 @@ def test_temperature_is_fitted():
     assert net.temperature > 1 and abs(p.mean() - y.mean()) < 0.05
 
 
+def test_quality_query_on_the_table(spark, sf):
+    got = quality.op6_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id", "left").toPandas()
+    assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count() and got["score"].between(0, 1).all() and (got["predicted"] == (got["score"] >= 0.3)).all()
+    held = got[got["held_out"] & got["quality"].notna()]
+    assert (held["predicted"] == held["quality"]).mean() > 0.85 and (got["held_out"] == [zlib.crc32(str(i).encode()) % 5 == 0 for i in got["doc_id"]]).all()
+
+
 def test_languages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     out = language_id.op8_language_id(spark, sf).join(docs.select("doc_id", "lang"), "doc_id").toPandas()

@@ -57,3 +57,12 @@ def test_drop_copies(edge_docs):
     out = exact_dedup.drop_copies(edge_docs)
     assert out.columns == edge_docs.columns
     assert sorted(r[0] for r in out.select("doc_id").collect() if r[0] is not None) == [1, 1, 2, 4, 5, 6, 8, 9, 10, 11, 12]
+
+
+def test_filter_grows_with_what_repeats(spark):
+    docs = spark.range(40_000).selectExpr("id AS doc_id", "CAST(id div 2 AS string) AS text")
+    words, width = exact_dedup.repeat_filter(exact_dedup.build_index(docs))
+    assert width == 19 and len(words) == 1 << 16
+    assert exact_dedup.repeat_filter(exact_dedup.build_index(docs.limit(0)))[1] == exact_dedup.LEAST_BITS
+    single = [hashlib.sha256(f"x{k}".encode()).digest() for k in range(2000)]
+    assert sum(all(words[x >> 3] >> (x & 7) & 1 for x in exact_dedup._filter_bits(d, width)) for d in single) < 40

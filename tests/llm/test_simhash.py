@@ -58,6 +58,22 @@ def test_links_are_exact():
     assert root == groups(fps)
 
 
+def test_query_on_the_table(spark, sf):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    assert sorted(map(tuple, simhash.op9_simhash(spark, sf).collect()), key=str) == brute(rows)
+
+
+def test_shards_stay_small_as_fingerprints_grow():
+    """A sample in proportion to the shards lets the tree go as deep as they need; a fixed one ends early."""
+    fps = np.random.default_rng(4).integers(0, 1 << 63, 60_000, dtype=np.uint64)
+    depth, largest = 12, []
+    for sample in (200, simhash.SHARD_SAMPLE * len(fps) // 2000):
+        tree = simhash.build_tree(fps[:sample], depth, 3)
+        largest.append(max(len(x) for _, x in simhash.route(tree, fps, 3)))
+        assert simhash.shards_of(tree) == len({k for k, _ in simhash.route(tree, fps, 3)})
+    assert largest[1] < 4 * 2000 and largest[1] < largest[0]
+
+
 def test_every_near_pair_meets_in_a_shard():
     fps = near_cloud(2, 1500)
     tree = simhash.build_tree(fps[::3], 4, 3)

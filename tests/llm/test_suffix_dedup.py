@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -103,3 +104,20 @@ def test_shared_windows_against_pairs(shape, rng):
     for k, (s, b) in enumerate(items):
         want = {e for j, (t, c) in enumerate(items) if j != k for e in range(sd.HALF) if sd.common_prefix(s, t) >= sd.SPAN - e and sd.common_prefix(b, c) >= e}
         assert {e for low, high in got[k] for e in range(max(low, 0), high + 1) if e < sd.HALF} == want
+
+
+def test_query_on_the_table(spark, sf):
+    rows = sorted((r["doc_id"], (r["text"] or "").encode()) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
+    left = sd.brute_force([t for _, t in rows])
+    got = sorted(tuple(r) for r in sd.op3_suffix_dedup(spark, sf).drop("n_spans").collect())
+    assert got == [(i, len(t), len(t) - len(k), hashlib.sha256(k).hexdigest()) for (i, t), k in zip(rows, left, strict=True)] and any(r[2] for r in got)
+
+
+def test_anchors_of_long_texts_in_pieces(monkeypatch):
+    text = np.random.default_rng(0).integers(97, 101, 20_000).astype(np.uint8).tobytes()
+    whole = sd._window_anchors(text)
+    for chunk in (1, 401, 5000, 20_000 - sd.SPAN + 1):
+        monkeypatch.setattr(sd, "CHUNK", chunk)
+        assert chunk == 1 or np.array_equal(sd._window_anchors(text), whole)
+    monkeypatch.setattr(sd, "CHUNK", 1)
+    assert np.array_equal(sd._window_anchors(text[:900]), whole[: 900 - sd.SPAN + 1])
