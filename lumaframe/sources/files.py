@@ -17,6 +17,8 @@ from lumaframe.operators.select import weighted
 from lumaframe.schema import CHANNELS, Rect, channels_of, check_file_size, sizes
 from lumaframe.sources import hdr, png
 
+#: Files that Spark's image source reads.
+RASTER, RASTER_GLOB = r"(?i)\.(jpe?g|gif|bmp)$", "*.{jpg,jpeg,gif,bmp,JPG,JPEG,GIF,BMP}"
 #: Rows of pixels that a task gives at a time.
 STRIP = 256
 DECODED = "image_id string, type string, source_format string, width int, height int, error string, y0 int, strip binary"
@@ -29,7 +31,7 @@ def _decode(path: str, content: bytes, kind: str) -> tuple[np.ndarray, str, str]
     if kind == "hdr":
         return hdr.decode_rgbe(content), "radiance-hdr/float", "hdr"
     if content[:8] != png.MAGIC:
-        raise ValueError("Only PNG files have a decoder of their own; read other 8-bit formats with read_raster.")
+        raise ValueError("No decoder for this format.")
     decoded = png.decode(content)
     return png.linear(decoded["pixels"]), png.type_label(decoded), "raster"
 
@@ -48,8 +50,11 @@ def _strips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def decoded(spark: SparkSession, *paths: str) -> DataFrame:
-    """Strips of the images at paths (globs allowed), one row each, or a row with the error of a file that can't be read. Empty files are left out."""
-    found = spark.read.format("binaryFile").load(list(paths)).filter("length > 0").select("path", "content", file_kind(F.col("path")).alias("kind"))
+    """Strips of the PNG, Radiance and OpenEXR files at paths (globs allowed), one row each, or a row with the error of a file that can't be read.
+
+    Empty files, and those that read_raster reads, are left out.
+    """
+    found = spark.read.format("binaryFile").load(list(paths)).filter("length > 0").filter(~F.col("path").rlike(RASTER)).select("path", "content", file_kind(F.col("path")).alias("kind"))
     return found.mapInPandas(_strips, DECODED)
 
 
@@ -65,32 +70,39 @@ PIXEL_DDL = "image_id string, y int, x int, r float, g float, b float, a float"
 
 
 def read_images(spark: SparkSession, *paths: str) -> DataFrame:
-    """The pixel table of PNG, Radiance and OpenEXR files; files that can't be read are left out (decoded() tells why)."""
-    return decoded(spark, *paths).filter("error IS NULL").select("image_id", "width", "y0", "strip").mapInPandas(_explode, PIXEL_DDL)
+    """The pixel table of all files that can be read; those that can't are left out (image_records() tells why)."""
+    own = decoded(spark, *paths).filter("error IS NULL").select("image_id", "width", "y0", "strip").mapInPandas(_explode, PIXEL_DDL)
+    return own.unionByName(read_raster(spark, *paths))
 
 
 def image_records(spark: SparkSession, *paths: str) -> DataFrame:
     """(image_id, name, width, height, type, source_format, auto_level, error) of each file."""
     rows = decoded(spark, *paths).filter("y0 = 0 OR error IS NOT NULL").drop("y0", "strip")
-    return rows.select("image_id", F.element_at(F.split("image_id", "/"), -1).alias("name"), "width", "height", "type", "source_format", F.coalesce(F.col("source_format").isin("hdr", "exr"), F.lit(False)).alias("auto_level"), "error")
+    kind = F.lower(F.regexp_extract("image_id", r"\.([^.]+)$", 1))
+    raster = _raster(spark, *paths).select("image_id", F.concat(F.lit("image/"), F.when(kind == "jpg", "jpeg").otherwise(kind), F.when(F.col("nChannels") == 4, " (RGB approximate where alpha < 1)").otherwise("")).alias("type"), F.lit("raster").alias("source_format"), "width", "height", F.lit(None).cast("string").alias("error"))
+    return rows.unionByName(raster).select("image_id", F.element_at(F.split("image_id", "/"), -1).alias("name"), "width", "height", "type", "source_format", F.coalesce(F.col("source_format").isin("hdr", "exr"), F.lit(False)).alias("auto_level"), "error")
+
+
+def _raster(spark: SparkSession, *paths: str) -> DataFrame:
+    images = spark.read.format("image").option("pathGlobFilter", RASTER_GLOB).load(list(paths))
+    return images.select(F.regexp_replace("image.origin", "^file:///", "file:/").alias("image_id"), "image.width", "image.height", "image.nChannels", "image.data")
 
 
 def read_raster(spark: SparkSession, *paths: str) -> DataFrame:
     """JPEG, GIF and BMP files by Spark's image source: 8 bits, out of sRGB. WebP and AVIF have no decoder here."""
-    images = spark.read.format("image").load(list(paths)).select("image.origin", "image.width", "image.height", "image.nChannels", "image.data")
 
     def explode(batches):
         for pdf in batches:
-            for origin, w, h, n, data in zip(pdf["origin"], pdf["width"], pdf["height"], pdf["nChannels"], pdf["data"], strict=True):
-                v = np.frombuffer(data, np.uint8).reshape(int(h), int(w), int(n))[..., : 4 if n == 4 else n]
+            for image_id, w, h, n, data in zip(pdf["image_id"], pdf["width"], pdf["height"], pdf["nChannels"], pdf["data"], strict=True):
+                v = np.frombuffer(data, np.uint8).reshape(int(h), int(w), int(n))
                 v = v[..., [2, 1, 0, *([3] if n == 4 else [])]] if n >= 3 else np.repeat(v, 3, axis=2)
                 full = np.ones((int(h), int(w), 4))
                 full[..., : v.shape[2]] = v / 255
                 v = png.linear(full)
                 y, x = np.indices(v.shape[:2])
-                yield pd.DataFrame({"image_id": origin, "y": y.ravel().astype(np.int32), "x": x.ravel().astype(np.int32)} | {c: v[..., k].ravel() for k, c in enumerate(CHANNELS)})
+                yield pd.DataFrame({"image_id": image_id, "y": y.ravel().astype(np.int32), "x": x.ravel().astype(np.int32)} | {c: v[..., k].ravel() for k, c in enumerate(CHANNELS)})
 
-    return images.mapInPandas(explode, PIXEL_DDL)
+    return _raster(spark, *paths).mapInPandas(explode, PIXEL_DDL)
 
 
 def encoded_files(pixels: DataFrame, kind: str, source_format: str = "values") -> DataFrame:

@@ -105,8 +105,51 @@ def test_folder_of_images(spark, tmp_path):
     assert np.array_equal(array(px.filter("image_id LIKE '%a.exr'"), 300, 3), v.astype(float))
     rows = {r["name"]: r for r in files.image_records(spark, str(tmp_path)).collect()}
     assert set(rows) == {"a.exr", "b.png", "c.hdr"} and rows["c.hdr"]["error"] and rows["a.exr"]["auto_level"] and not rows["b.png"]["auto_level"]
-    raster = files.read_raster(spark, str(tmp_path / "b.png"))
-    assert np.array_equal(array(raster, 2, 2), np.ones((2, 2, 4)))
+    assert files.read_raster(spark, str(tmp_path / "b.png")).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["bmp", "gif", "jpeg"])
+def test_all_raster_kinds_open_alike(spark, tmp_path, kind):
+    picture = spark._jvm.java.awt.image.BufferedImage(3, 2, 5)  # three bytes a pixel
+    picture.setRGB(1, 0, 0xFF0000)
+    spark._jvm.javax.imageio.ImageIO.write(picture, kind, spark._jvm.java.io.File(str(tmp_path / f"p.{kind}")))
+    (tmp_path / "q.png").write_bytes(png.encode(np.full((2, 2, 4), 255, np.uint8)))
+    px = files.read_images(spark, str(tmp_path)).cache()
+    assert {r["image_id"].rsplit("/", 1)[1]: r["count"] for r in px.groupBy("image_id").count().collect()} == {f"p.{kind}": 6, "q.png": 4}
+    red = array(px.filter(f"image_id LIKE '%p.{kind}'"), 2, 3)
+    assert kind == "jpeg" or red[0, 1].tolist() == [1, 0, 0, 1] and red[1, 2].tolist() == [0, 0, 0, 1]
+    rows = {r["name"]: r for r in files.image_records(spark, str(tmp_path)).collect()}
+    assert rows[f"p.{kind}"]["type"] == f"image/{kind}" and (rows[f"p.{kind}"]["width"], rows["q.png"]["width"]) == (3, 2)
+    assert {r["image_id"] for r in px.select("image_id").distinct().collect()} == {r["image_id"] for r in rows.values()}
+
+
+@pytest.mark.parametrize("compression", [hdr.ZIPS, hdr.ZIP])
+def test_packed_exr(compression):
+    v = np.linspace(0, 3, 37 * 23 * 4, dtype=np.float32).reshape(37, 23, 4)
+    v[5, 5, 0] = np.nan
+    packed = hdr.encode_exr(v, compression)
+    assert len(packed) < len(hdr.encode_exr(v)) and np.array_equal(hdr.decode_exr(packed), np.nan_to_num(v, nan=0))
+
+
+def test_exr_runs():
+    data = bytes([4, 7, 256 - 3, 1, 2, 3, 0, 9])
+    assert hdr._run_lengths(data) == bytes([7] * 5 + [1, 2, 3, 9])
+    steps = np.array([10, 130, 128, 126], np.uint8).tobytes()  # 10, 12, 12, 10: halves of 10 12 | 12 10
+    assert hdr._unpacked(bytes([256 - 4]) + steps, hdr.RLE, 4) == bytes([10, 12, 12, 10])
+    assert hdr._unpacked(steps, hdr.RLE, 4) == steps  # as long as the block: not packed
+    assert hdr._unpacked(bytes([256 - 2, 10, 130, 5, 128]), hdr.RLE, 8) == bytes([10, 12] + [12, 12] * 3)
+
+
+def test_sizes_are_asked_from_the_header():
+    import struct
+    import zlib
+
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    wide = png.MAGIC + chunk(b"IHDR", struct.pack(">IIBBBBB", 10_000, 10_000, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"")) + chunk(b"IEND", b"")
+    exr = hdr.encode_exr(np.zeros((1, 1, 4), np.float32)).replace(struct.pack("<4i", 0, 0, 0, 0), struct.pack("<4i", 0, 0, 9999, 9999))
+    for decode, content in ((png.decode, wide), (hdr.decode_exr, exr), (hdr.decode_rgbe, b"#?RADIANCE\n\n-Y 10000 +X 10000\n")):
+        with pytest.raises(ValueError, match="pixels"):
+            decode(content)
 
 
 def test_files_of_frames(spark):
