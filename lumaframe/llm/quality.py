@@ -190,9 +190,13 @@ class Network:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Network]:
-    """Word vectors of all docs(doc_id, text), and a network fitted on at most LABELLED rows of labels(doc_id, quality) that aren't held out."""
+    """Word vectors of all docs(doc_id, text), and a network fitted on at most LABELLED rows of labels(doc_id, quality) that aren't held out.
+
+    Of rows that repeat a doc_id, and of labels that do, one counts (the label 1). Rows without doc_id or label teach nothing; labels may be
+    of any number type. Without labels, or with one kind alone, every score is their rate. Long texts count whole.
+    """
     vectors = word_vectors(context_vectors(docs))
-    known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(~held_out("doc_id", 5, 0)).groupBy("doc_id").agg(F.max("quality").alias("label"))
+    known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(~held_out("doc_id", 5, 0)).groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("label"))
     chosen = hashed_sample(known, "doc_id", LABELLED)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
@@ -210,7 +214,10 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Network]:
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, Network]) -> DataFrame:
-    """docs, all columns, with score (double) added; a column of that name is replaced. Null text is empty and scores as a document without words."""
+    """docs, all columns, with score (double) added; a column of that name is replaced.
+
+    Null text is empty and scores as a document without words. Long texts are read whole; equal texts score alike; an empty table stays empty.
+    """
     docs = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])

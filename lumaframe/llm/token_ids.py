@@ -307,7 +307,11 @@ def op4_token_ids(spark: SparkSession, sf_dir: str, tokenizer: str | None = None
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of docs, read back from a dataset written to the shared folder."""
+    """(doc_id, start, n_tokens, ids_crc32) of docs, read back from a dataset written to the shared folder.
+
+    Null and empty texts are the end id alone; long texts are encoded whole. Rows that repeat a doc_id stand next to each other, those
+    without one come first. An empty table gives no rows; other columns are ignored.
+    """
     path = new_path(docs.sparkSession, "token-dataset")
     write_ids(docs, path, tokenizer, end_id)
     return read_ids(docs.sparkSession, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
