@@ -1,6 +1,9 @@
 """The corpus pipeline: toxicity filter, near-dedup, decontamination, mixing of sources, token ids.
 
-Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; docs has the columns of documents.
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; docs has the columns of documents, and others that docs
+may have stay as they are. Null texts count as empty: they aren't toxic, are near copies of each other, hold no benchmark window, take no
+words of the mix and give the end id alone. Long texts count whole. Rows that repeat a doc_id are one document when copies are dropped and
+rows of their own elsewhere. Ties between near copies go to the smallest doc_id. An empty table stays empty in every stage.
 """
 
 from __future__ import annotations
