@@ -11,8 +11,9 @@ from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumaframe.operators import generate, select, stencil
+from lumaframe.operators import generate, pick, select, stencil
 from lumaframe.operators.aggregate import image_range
+from lumaframe.plans import share
 from lumaframe.schema import COPY_PIXELS, PORTABLE_PIXELS, Rect
 from lumaframe.sources import files, matrix
 
@@ -42,7 +43,11 @@ class Image:
 
 
 class ProgramError(ValueError):
-    """A program's text can't be used; the image keeps the last result."""
+    """A program's text can't be used; the image keeps the last result. channel: whose expression it is; place: where in it, counted from 0, or None."""
+
+    def __init__(self, message: str, channel: str | None = None, place: int | None = None):
+        super().__init__(message)
+        self.channel, self.place = channel, place
 
 
 class Catalog:
@@ -79,24 +84,49 @@ class Catalog:
 
     def generate(self, image_id: str, width: int, height: int, **channels: str) -> None:
         """An image computed from column expressions over u, v, x, y."""
-        self.add(image_id, self._checked(lambda: self._generated(width, height, channels)), Image(image_id, width, height, {"kind": "generated", "channels": channels}, "glsl"))
+        self.add(image_id, self._checked(lambda some: self._generated(width, height, some), channels), Image(image_id, width, height, {"kind": "generated", "channels": channels}, "glsl"))
+
+    def open_link(self, image_id: str, link: str) -> bool:
+        """The image of a shared program; False if the link holds none."""
+        state = share.decode(link)
+        if state:
+            self.generate(image_id, state["width"], state["height"], **share.channels_of_code(state["code"]))
+        return state is not None
+
+    def link_of(self, image_id: str) -> str:
+        """The link of a generated image."""
+        image = self.images[image_id]
+        return share.encode(image.width, image.height, share.code_of(image.source["channels"]))
+
+    def pickers(self) -> DataFrame:
+        """(image_id, picker_id, x, y, color) of all images."""
+        rows = [(k, [(p["picker_id"], p["x"], p["y"], p.get("color")) for p in image.pickers]) for k, image in self.images.items()]
+        return pick.of_images(self.spark.createDataFrame(rows, "image_id string, pickers array<struct<picker_id int, x int, y int, color string>>"))
 
     def _generated(self, width: int, height: int, channels: dict[str, str]) -> DataFrame:
         return generate.canvas(self.spark, width, height).selectExpr("image_id", "y", "x", *[f"CAST({channels.get(c, '1' if c == 'a' else '0')} AS float) AS {c}" for c in "rgba"])
 
-    def _checked(self, build: Callable[[], DataFrame]) -> DataFrame:
-        try:
-            frame = build()
-            frame.schema  # noqa: B018  analysis happens here, without a job
-        except (AnalysisException, ParseException) as e:
-            raise ProgramError(f"{e.getCondition()}: {e}") from e
-        return frame
+    def _checked(self, build: Callable[[dict[str, str]], DataFrame], channels: dict[str, str]) -> DataFrame:
+        """The frame of channels; analysis happens here, without a job. If it fails, each channel is tried alone, to say which it is."""
+        for part in (channels, *({c: e} for c, e in channels.items())):
+            try:
+                frame = build(part)
+                frame.schema  # noqa: B018
+                if part is channels:
+                    return frame
+            except (AnalysisException, ParseException) as e:
+                if part is channels and len(part) > 1:
+                    error = e
+                    continue
+                found = re.search(r"line 1, pos (\d+)", str(e))
+                raise ProgramError(f"{e.getCondition()}: {e}", next(iter(part), None), int(found[1]) if found else None) from e
+        raise ProgramError(f"{error.getCondition()}: {error}") from error
 
     def program(self, image_id: str, **channels: str) -> None:
         """Show the image through column expressions; on an error the last result stays and the text is kept apart."""
         image = self.images[image_id]
         image.program = {"tried": channels, "worked": (image.program or {}).get("worked")}
-        frame = self._checked(lambda: stencil.mapped(self.originals[image_id], **channels))
+        frame = self._checked(lambda some: stencil.mapped(self.originals[image_id], **some), channels)
         image.program["worked"] = channels
         self._replace(image_id, frame)
 

@@ -8,7 +8,7 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lumaframe.schema import PROGRAM_PIXELS, SHARE_CHARS, SHARE_CODE_CHARS
+from lumaframe.schema import CHANNELS, PROGRAM_PIXELS, SHARE_CHARS, SHARE_CODE_CHARS
 
 PREFIX = "#glsl="
 
@@ -45,6 +45,24 @@ def decode(link: str) -> dict | None:
         raise ValueError(f"Could not read shared program link: {e}") from e
 
 
+def code_of(channels: dict[str, str]) -> str:
+    """The text of a program of column expressions, a line for each channel."""
+    return "\n".join(f"{c} = {e}" for c, e in channels.items())
+
+
+def channels_of_code(code: str) -> dict[str, str]:
+    """The expressions of a text of such lines; other texts raise."""
+    out = {}
+    for n, line in enumerate(code.splitlines(), 1):
+        name, sign, expression = line.partition("=")
+        if not line.strip():
+            continue
+        if not sign or name.strip() not in CHANNELS or name.strip() in out or not expression.strip():
+            raise ValueError(f"Line {n} is no `channel = expression`.")
+        out[name.strip()] = expression.strip()
+    return out
+
+
 def base64url(c: Column) -> Column:
     """Text as base64url without padding."""
     return F.rtrim(F.translate(F.base64(F.encode(c, "UTF-8")), "+/\r\n", "-_"), F.lit("="))

@@ -33,7 +33,7 @@ def _decode(path: str, content: bytes, kind: str) -> tuple[np.ndarray, str, str]
     if content[:8] != png.MAGIC:
         raise ValueError("No decoder for this format.")
     decoded = png.decode(content)
-    return png.linear(decoded["pixels"]), png.type_label(decoded), "raster"
+    return png.linear(decoded["pixels"]), f"{png.type_label(decoded)} {png.transfer_text(decoded)}".rstrip(), "raster"
 
 
 def _strips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

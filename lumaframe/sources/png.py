@@ -130,6 +130,14 @@ def type_label(decoded: dict) -> str:
     return f"png/{NAMES[decoded['color_type']]}{decoded['depth']}"
 
 
+def transfer_text(decoded: dict) -> str:
+    """What the file says of its transfer and is ignored, as functions.text.transfer_note says it."""
+    if decoded["has_icc"]:
+        return "(iCCP ignored)"
+    gamma = decoded["gamma"]
+    return f"(gAMA {gamma:.4f} ignored)" if gamma is not None and abs(gamma - 0.45455) > 0.02 else ""
+
+
 def linear(pixels: np.ndarray) -> np.ndarray:
     """RGB out of sRGB; alpha stays."""
     v = pixels.astype(np.float64)

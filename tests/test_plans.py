@@ -58,6 +58,23 @@ def test_catalog(spark, tmp_path):
         c.paste("bad", "not values")
 
 
+def test_names_links_and_errors(spark):
+    c = Catalog(spark)
+    c.generate("it's", 8, 4, r="u", g="v")
+    assert c.open_link("two", c.link_of("it's")) and not c.open_link("three", "#other")
+    assert {r["image_id"] for f in c.frames.values() for r in f.select("image_id").distinct().collect()} == {"it's", "two"}
+    assert np.array_equal(array(c.frames["it's"], 4, 8), array(c.frames["two"], 4, 8))
+    c.images["two"].pickers.append({"picker_id": 3, "x": 1, "y": 2, "color": "#ff365e"})
+    assert [tuple(r) for r in c.pickers().collect()] == [("two", 3, 1, 2, "#ff365e")]
+    for text, place in (("u + + )", 6), ("missing * 2", None)):
+        with pytest.raises(ProgramError) as e:
+            c.program("two", r="u", g=text)
+        assert e.value.channel == "g" and (place is None or e.value.place == place)
+    for code in ("q = 1", "r", "r = 1\nr = 2"):
+        with pytest.raises(ValueError):
+            share.channels_of_code(code)
+
+
 def test_watched_folder(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.exr").write_bytes(hdr.encode_exr(np.ones((2, 2, 4), np.float32)))

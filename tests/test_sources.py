@@ -131,6 +131,11 @@ def test_packed_exr(compression):
     assert len(packed) < len(hdr.encode_exr(v)) and np.array_equal(hdr.decode_exr(packed), np.nan_to_num(v, nan=0))
 
 
+@pytest.mark.parametrize(("gamma", "has_icc", "note"), [(None, False, ""), (0.45455, False, ""), (1.0, False, "(gAMA 1.0000 ignored)"), (1.0, True, "(iCCP ignored)")])
+def test_transfer_text(gamma, has_icc, note):
+    assert png.transfer_text({"gamma": gamma, "has_icc": has_icc}) == note
+
+
 def test_exr_runs():
     data = bytes([4, 7, 256 - 3, 1, 2, 3, 0, 9])
     assert hdr._run_lengths(data) == bytes([7] * 5 + [1, 2, 3, 9])
