@@ -55,6 +55,7 @@ def csv_cell(c: Column | str) -> Column:
 
 def mode_label(c: Column) -> Column:
     """The text that names a display mode."""
+    # The names.
     return F.when(c == "rgb", "RGB").when(c == "rgba", "RGBA (RGB x alpha)").otherwise(F.upper(c))
 
 

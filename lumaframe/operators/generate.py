@@ -12,7 +12,7 @@ from lumaframe.schema import PROGRAM_PIXELS
 def canvas(spark: SparkSession, width: int, height: int, image_id: str = "generated") -> DataFrame:
     """(image_id, y, x, u, v): every pixel of an image, with its centre in 0..1 from the top left."""
     if width * height > PROGRAM_PIXELS:
-        raise ValueError(f"Programs are limited to {PROGRAM_PIXELS} pixels.")
+        raise ValueError(f"A program may have {PROGRAM_PIXELS} pixels at most.")
     grid = spark.range(width * height).select(F.lit(image_id).alias("image_id"), F.expr(f"cast(id div {width} AS int)").alias("y"), F.expr(f"cast(id % {width} AS int)").alias("x"))
     return grid.withColumns({"u": (F.col("x") + 0.5) / width, "v": (F.col("y") + 0.5) / height})
 

@@ -85,7 +85,7 @@ def resampled(pixels: DataFrame, width: int, height: int, to_width: int, to_heig
     """The image at another size, bilinear."""
     for w, h in ((width, height), (to_width, to_height)):
         if w * h > PROGRAM_PIXELS:
-            raise ValueError(f"Programs are limited to {PROGRAM_PIXELS} pixels.")
+            raise ValueError(f"A program may have {PROGRAM_PIXELS} pixels at most.")
     rows = pixels.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(to_height - 1))).alias("y"))
     points = rows.select("image_id", "y", F.explode(F.sequence(F.lit(0), F.lit(to_width - 1))).alias("x"))
     points = points.withColumns({"u": (F.col("x") + 0.5) / to_width, "v": (F.col("y") + 0.5) / to_height})
@@ -118,7 +118,7 @@ def applied(pixels: DataFrame, program: Callable[[np.ndarray], np.ndarray]) -> D
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         h, w = int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1
         if h * w > PROGRAM_PIXELS:
-            raise ValueError(f"Programs are limited to {PROGRAM_PIXELS} pixels.")
+            raise ValueError(f"A program may have {PROGRAM_PIXELS} pixels at most.")
         image = np.zeros((h, w, 4), np.float32)
         image[pdf["y"], pdf["x"]] = pdf[list(CHANNELS)].to_numpy(np.float32)
         out = np.asarray(program(image), np.float32)

@@ -17,9 +17,9 @@ def check(state) -> dict:
     ok = isinstance(state, dict) and state.get("v") == 1 and isinstance(state.get("c"), str)
     size = [state.get(k) for k in "wh"] if ok else []
     if not ok or not all(isinstance(n, int) and not isinstance(n, bool) and n >= 1 for n in size) or size[0] * size[1] > PROGRAM_PIXELS:
-        raise ValueError("Invalid shared program settings.")
+        raise ValueError("These are not the settings of a program.")
     if len(state["c"]) > SHARE_CODE_CHARS:
-        raise ValueError("Shared program code is too long.")
+        raise ValueError("The program is too long for a link.")
     return {"width": size[0], "height": size[1], "code": state["c"]}
 
 
@@ -28,7 +28,7 @@ def encode(width: int, height: int, code: str) -> str:
     text = json.dumps({"v": 1, "w": width, "h": height, "c": code}, separators=(",", ":"), ensure_ascii=False)
     packed = base64.urlsafe_b64encode(text.encode()).decode().rstrip("=")
     if len(packed) > SHARE_CHARS:
-        raise ValueError("Shared program link is too long.")
+        raise ValueError("The link gets too long.")
     return PREFIX + packed
 
 
@@ -42,7 +42,7 @@ def decode(link: str) -> dict | None:
         text = base64.b64decode(packed + "=" * (-len(packed) % 4), altchars=b"-_", validate=True).decode("utf-8")
         return check(json.loads(text))
     except ValueError as e:
-        raise ValueError(f"Could not read shared program link: {e}") from e
+        raise ValueError(f"The link can't be read: {e}") from e
 
 
 def code_of(channels: dict[str, str]) -> str:

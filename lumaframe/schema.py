@@ -48,15 +48,15 @@ class Rect:
 def channels_of(mode: str) -> tuple[str, ...]:
     """The channels that a display mode shows."""
     if mode not in MODES:
-        raise ValueError(f"Unknown channel mode: {mode}")
+        raise ValueError(f"There is no display mode {mode!r}.")
     return CHANNELS if mode == "rgba" else ("r", "g", "b") if mode == "rgb" else (mode,)
 
 
 def check_size(width: int, height: int, limit: int | None = MATRIX_PIXELS) -> None:
     if not all(isinstance(n, int) and not isinstance(n, bool) and n >= 1 for n in (width, height)):
-        raise ValueError("Value Matrix dimensions must be positive integers.")
+        raise ValueError("Width and height have to be whole numbers from 1 on.")
     if limit and width * height > limit:
-        raise ValueError(f"Value Matrix is limited to {limit:,} pixels.")
+        raise ValueError(f"A text may hold {limit} pixels at most.")
 
 
 def check_file_size(width: int, height: int) -> None:
@@ -68,22 +68,22 @@ def check_file_size(width: int, height: int) -> None:
 def check_encoding(encoding: str | None) -> str:
     found = str(encoding or "linear").lower()
     if found not in ENCODINGS:
-        raise ValueError(f"Unknown Value Matrix encoding: {encoding}")
+        raise ValueError(f"There is no encoding {encoding!r}.")
     return found
 
 
 def check_channels(channels) -> list[int]:
     """Channel numbers of 1 to 4 different letters or numbers."""
     if not isinstance(channels, (list, tuple)) or not 1 <= len(channels) <= 4:
-        raise ValueError("Value Matrix channels are invalid.")
+        raise ValueError("A list of one to four channels is asked for.")
     found = []
     for c in channels:
         k = c if isinstance(c, int) and 0 <= c <= 3 else "RGBA".find(str(c or "").upper()) if len(str(c)) == 1 else -1
         if k < 0:
-            raise ValueError(f"Unknown Value Matrix channel: {c}")
+            raise ValueError(f"There is no channel {c!r}.")
         found.append(k)
     if len(set(found)) < len(found):
-        raise ValueError("Value Matrix channels must be unique.")
+        raise ValueError("A channel stands twice in the list.")
     return found
 
 

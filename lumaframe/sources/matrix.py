@@ -36,19 +36,19 @@ def number(text: str) -> float:
     if re.fullmatch(r"0[xX][0-9a-fA-F]+|0[oO][0-7]+|0[bB][01]+", t):
         return float(int(t, 0))
     if not _NUMBER.fullmatch(t):
-        raise ValueError(f"Invalid Value Matrix number: {text}")
+        raise ValueError(f"{text!r} is no number.")
     return float(t)
 
 
 def cells_of(row: str) -> list[list[float]]:
     """The cells of a row of text; empty cells don't count."""
     if "…" in row or "..." in row:
-        raise ValueError("Value Matrix previews cannot be read.")
+        raise ValueError("The text is shortened and lacks values.")
     depth, cells, cell = 0, [], ""
     for c in row + ",":
         depth += (c == "(") - (c == ")")
         if depth not in (0, 1):
-            raise ValueError("Value Matrix row has unbalanced parentheses.")
+            raise ValueError("A row opens or closes a parenthesis too many.")
         if c == "," and not depth:
             if cell.strip():
                 cells.append(cell.strip())
@@ -56,7 +56,7 @@ def cells_of(row: str) -> list[list[float]]:
         else:
             cell += c
     if depth:
-        raise ValueError("Value Matrix row has unbalanced parentheses.")
+        raise ValueError("A row opens or closes a parenthesis too many.")
     return [[number(x) for x in c.removeprefix("(").removesuffix(")").split(",")] for c in cells]
 
 
@@ -66,11 +66,11 @@ def header_of(text: str) -> tuple[dict | None, list[str]]:
     if not is_matrix_text(text):
         return None, [x for x in lines if x.strip()]
     if len(lines) < 3 or not _MAGIC_START.fullmatch(lines[0].strip()) or lines[2].strip() != "data:":
-        raise ValueError("Value Matrix header is incomplete.")
+        raise ValueError("The text has to begin with the magic line, a line of JSON and `data:`.")
     try:
         meta = json.loads(lines[1])
     except ValueError as e:
-        raise ValueError("Value Matrix metadata is not valid JSON.") from e
+        raise ValueError("The second line is no JSON.") from e
     return meta, [x for x in lines[3:] if x.strip()]
 
 
@@ -85,9 +85,9 @@ def read_rows(lines: DataFrame, width: int, channels: list[int] | None = None, e
         for pdf in batches:
             found = [cells_of(line) for line in pdf["line"]]
             if any(len(c) != width for c in found):
-                raise ValueError("Value Matrix data does not match its dimensions.")
+                raise ValueError("A row has another number of cells than the width says.")
             if any(len(c) != n for row in found for c in row):
-                raise ValueError("Value Matrix cell channel count does not match its metadata.")
+                raise ValueError("A cell has another number of values than there are channels.")
             values = np.array(found, np.float64).reshape(len(found) * width, n)
             keys = pdf[["image_id", "y"]].loc[pdf.index.repeat(width)].reset_index(drop=True)
             yield keys.assign(x=np.tile(np.arange(width, dtype=np.int32), len(found)), **{f"c{k}": values[:, k] for k in range(n)})
@@ -141,7 +141,7 @@ def read_text(spark: SparkSession, text: str, views: dict[str, DataFrame] | None
             raise ValueError("The copied values are no longer at hand.")
         return views[meta["token"]]
     if len(rows) != meta["height"]:
-        raise ValueError(f"Value Matrix data does not match {meta['width']} x {meta['height']}.")
+        raise ValueError(f"There are {len(rows)} rows of data where {meta['height']} are due.")
     return read_rows(lines, meta["width"], check_channels(meta.get("channels")), check_encoding(meta.get("encoding")), bool(meta.get("alphaWeighted")))
 
 
@@ -166,6 +166,7 @@ def preview(pixels: DataFrame, width: int, height: int, channels=(0, 1, 2, 3), e
     if width > columns:
         lines = lines.withColumn("line", F.concat("line", F.lit("…,")))
     if width > columns or height > rows:
+        # Fixed value: the text of the last row.
         note = f"… Preview: first {min(columns, width)} x {min(rows, height)} of {width} x {height}. Copy Matrix copies all values."
         lines = lines.unionByName(lines.select("image_id").distinct().select("image_id", F.lit(min(rows, height)).alias("y"), F.lit(note).alias("line")))
     return lines
@@ -178,7 +179,7 @@ def write_text(pixels: DataFrame, width: int, height: int, channels=(0, 1, 2, 3)
     meta = {"width": width, "height": height, "channels": ["RGBA"[k] for k in found], "encoding": check_encoding(encoding), "alphaWeighted": mode == "rgba", "name": (name or "copied values")[:240], "type": (type_ or "clipboard-values/linear")[:120]}
     rows = rows_of(pixels, channels, encoding, mode).orderBy("y").select("line").collect()
     if len(rows) != height:
-        raise ValueError("Value Matrix pixel data does not match its dimensions.")
+        raise ValueError("Rows of the image are missing.")
     return "\n".join([magic, json.dumps(meta, separators=(",", ":"), ensure_ascii=False), "data:", *(r[0] for r in rows)])
 
 
