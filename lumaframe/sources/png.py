@@ -30,21 +30,49 @@ def chunks(content: bytes):
             return
 
 
+#: Consecutive lines of the two filters that look left and up from which diagonals pay.
+DIAGONAL = 16
+
+
+def _mean_and_paeth(lines: np.ndarray, kinds: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
+    """Lines of filters 3 and 4 to bytes, a diagonal of pixels at a time: each needs only the two diagonals before."""
+    h, size = lines.shape
+    w = -(-size // step)
+    data, out = np.zeros((h, w * step), np.int16), np.zeros((h + 1, w + 1, step), np.int16)
+    data[:, :size] = lines
+    data = data.reshape(h, w, step)
+    out[0, 1:].reshape(-1)[:size] = above
+    for t in range(h + w - 1):
+        y = np.arange(max(0, t - w + 1), min(h, t + 1))
+        x = t - y
+        a, b, c = out[y + 1, x], out[y, x + 1], out[y, x]
+        pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+        paeth = np.where((pa <= pb) & (pa <= pc), a, np.where(pb <= pc, b, c))
+        out[y + 1, x + 1] = (data[y, x] + np.where(kinds[y, None] == 3, a + b >> 1, paeth)) & 255
+    return out[1:, 1:].reshape(h, -1)[:, :size].astype(np.uint8)
+
+
 def _rows(raw: bytes, height: int, size: int, step: int) -> np.ndarray:
     """Filtered lines to bytes; step: bytes of a pixel, one at least."""
     if len(raw) < height * (size + 1):
         raise ValueError("PNG image data is too short.")
     lines = np.frombuffer(raw, np.uint8, height * (size + 1)).reshape(height, size + 1)
-    out, above = np.zeros((height, size), np.uint8), np.zeros(size, np.uint8)
-    for y in range(height):
-        kind, line = int(lines[y, 0]), lines[y, 1:].copy()
+    kinds, out, above, y = lines[:, 0], np.zeros((height, size), np.uint8), np.zeros(size, np.uint8), 0
+    while y < height:
+        kind, line, n = int(kinds[y]), lines[y, 1:].copy(), 1
         if kind == 1:
             for k in range(step):
                 line[k::step] = np.cumsum(line[k::step], dtype=np.uint8)
         elif kind == 2:
             line += above
         elif kind in (3, 4):
-            cur, up = line.tolist(), above.tolist()
+            other = np.flatnonzero((kinds[y:] != 3) & (kinds[y:] != 4))
+            n = int(other[0]) if len(other) else height - y
+            if n >= DIAGONAL:
+                out[y : y + n] = _mean_and_paeth(lines[y : y + n, 1:], kinds[y : y + n], above, step)
+                above, y = out[y + n - 1], y + n
+                continue
+            cur, up, n = line.tolist(), above.tolist(), 1
             for k in range(size):
                 a, b = (cur[k - step] if k >= step else 0), up[k]
                 if kind == 3:
@@ -57,6 +85,7 @@ def _rows(raw: bytes, height: int, size: int, step: int) -> np.ndarray:
         elif kind:
             raise ValueError(f"Unknown PNG filter: {kind}")
         out[y] = above = line
+        y += n
     return out
 
 

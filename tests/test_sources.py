@@ -136,6 +136,17 @@ def test_transfer_text(gamma, has_icc, note):
     assert png.transfer_text({"gamma": gamma, "has_icc": has_icc}) == note
 
 
+@pytest.mark.parametrize("step", [1, 3, 4, 8])
+def test_png_diagonals_equal_single_lines(monkeypatch, step):
+    rng = np.random.default_rng(step)
+    lines = rng.integers(0, 256, (60, 37 * step + 1), dtype=np.uint8)
+    lines[:, 0] = rng.choice([0, 1, 2, 3, 4], 60, p=[0.02, 0.02, 0.02, 0.47, 0.47])
+    lines[20:50, 0] = rng.choice([3, 4], 30)
+    fast = png._rows(lines.tobytes(), 60, 37 * step, step)
+    monkeypatch.setattr(png, "DIAGONAL", 1000)
+    assert np.array_equal(fast, png._rows(lines.tobytes(), 60, 37 * step, step))
+
+
 def test_exr_runs():
     data = bytes([4, 7, 256 - 3, 1, 2, 3, 0, 9])
     assert hdr._run_lengths(data) == bytes([7] * 5 + [1, 2, 3, 9])
