@@ -103,13 +103,14 @@ def train(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
     rows in a task; a piece reaches the driver as 2^BITS bits.
     """
     known = docs.filter("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").filter(~held_out("doc_id", 3, 1))
-    known = known.select("doc_id", "lang", "text", F.greatest(F.ceil(F.octet_length("text") / PIECE), F.lit(1)).cast("int").alias("pieces"))
+    known = known.select("doc_id", "lang", "text", F.xxhash64("text").alias("hash"), F.greatest(F.ceil(F.octet_length("text") / PIECE), F.lit(1)).cast("int").alias("pieces"))
     share = (F.lit(1.2 * PER_LANGUAGE * (1 << 30)) / F.sum("pieces")).cast("long").alias("most")
     shares = materialize(known.groupBy(F.col("lang").alias("name")).agg(share), "languages")
-    cut = known.select("doc_id", "lang", "text", "pieces", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("k"))
-    cut = cut.withColumn("place", F.xxhash64("doc_id", "text", "k")).join(shares, F.col("lang") == F.col("name")).filter(F.pmod("place", F.lit(1 << 30)) < F.col("most"))
     size = F.greatest(F.ceil(F.octet_length("text") / F.col("pieces")), F.lit(1)).cast("int")
-    cut = cut.select("lang", "place", size.alias("starts"), F.substring(F.encode("text", "UTF-8"), F.col("k") * size + 1, size + SPECTRUM - 1).alias("piece"))
+    # Pieces are chosen by their numbers, so that a long text isn't copied for each.
+    chosen = F.filter(F.sequence(F.lit(0), F.col("pieces") - 1), lambda k: F.pmod(F.xxhash64("doc_id", "hash", k), F.lit(1 << 30)) < F.col("most"))
+    cut = F.transform(chosen, lambda k: F.struct(F.xxhash64("doc_id", "hash", k).alias("place"), F.substring(F.encode("text", "UTF-8"), k * size + 1, size + SPECTRUM - 1).alias("piece")))
+    cut = known.join(shares, F.col("lang") == F.col("name")).select("lang", size.alias("starts"), F.explode(cut).alias("p")).select("lang", "starts", "p.place", "p.piece")
 
     def run(batches):
         for b in small_batches(batches):
