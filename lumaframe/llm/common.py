@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: bytes.translate table that lower-cases A-Z only.
@@ -24,6 +25,14 @@ def carried(docs: DataFrame, *columns: str | Column) -> DataFrame:
     return docs.select(*columns, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
 
+def integer_ids(docs: DataFrame) -> DataFrame:
+    """docs, if its doc_id is of an integer type; operators that keep ids in numpy take no others."""
+    kind = docs.schema["doc_id"].dataType
+    if not isinstance(kind, T.IntegralType | T.NullType):
+        raise ValueError(f"doc_id must be an integer; it is {kind.simpleString()}")
+    return docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a fresh local one where it is unset and there is one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

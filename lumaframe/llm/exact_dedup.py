@@ -115,10 +115,9 @@ def build_index(docs: DataFrame, keep: str = "smallest", digest_bytes: int = 32)
     return runs.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(compact, SEGMENT_SCHEMA)
 
 
-def repeat_filter(index: DataFrame) -> tuple[np.ndarray, int]:
-    """The Bloom filter over digests that occur more than once, as bytes, and log2 of its bits."""
-    repeated = index.filter("group_size > 1")
-    width = min(max(LEAST_BITS, (DIGEST_BITS * repeated.count()).bit_length()), MOST_BITS)
+def digest_filter(digests: DataFrame) -> tuple[np.ndarray, int]:
+    """A Bloom filter over digests(digest), as bytes, and log2 of its bits, sized by their number."""
+    width = min(max(LEAST_BITS, (DIGEST_BITS * digests.count()).bit_length()), MOST_BITS)
 
     def bits(batches):
         for b in batches:
@@ -128,13 +127,18 @@ def repeat_filter(index: DataFrame) -> tuple[np.ndarray, int]:
             np.bitwise_or.at(masks, inverse, np.left_shift(np.int64(1), at & 63))
             yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(masks)], ["word", "mask"])
 
-    found = repeated.select("digest").mapInArrow(bits, "word long, mask long")
+    found = digests.select("digest").mapInArrow(bits, "word long, mask long")
     rows = found.groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()  # 2^22 rows at most
     words = np.zeros(1 << (width - 6), np.int64)
     words[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64)
     return words.view(np.uint8), width
 
 
+def repeat_filter(index: DataFrame) -> tuple[np.ndarray, int]:
+    """The filter over digests that occur more than once."""
+    return digest_filter(index.filter("group_size > 1"))
+
+
 def exact_groups(docs: DataFrame, keep: str = "smallest", digest_bytes: int = 32) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumaframe.llm import decontaminate, exact_dedup, language_id, line_templates, mixing, quality, simhash, suffix_dedup, token_ids, toxicity
+from lumaframe.llm import decontaminate, exact_dedup, language_id, lexical_search, line_templates, mixing, quality, simhash, spelling_variants, suffix_dedup, token_counts, token_ids, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": language_id.op8_language_id,
     "op9_simhash": simhash.op9_simhash,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_lexical_search": lexical_search.op11_lexical_search,
+    "op12_token_counts": token_counts.op12_token_counts,
+    "op13_spelling_variants": spelling_variants.op13_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -26,4 +29,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_line_templates": line_templates.OP5_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
+    "op11_lexical_search": lexical_search.OP11_SQL,
+    "op13_spelling_variants": spelling_variants.OP13_SQL,
 }
