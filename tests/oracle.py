@@ -4,11 +4,12 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 
 
 def rows(frame):
     def plain(v):
-        if v is None or (isinstance(v, float) and math.isnan(v)):
+        if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
             return "null"
         if hasattr(v, "tolist"):
             v = v.tolist()
