@@ -111,10 +111,12 @@ def near_pairs(words: DataFrame) -> DataFrame:
             at = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
             yield pa.RecordBatch.from_arrays([pa.array([k for some in keys for k in some], pa.string()), b.column("word").take(at), b.column("n").take(at)], ["key", "word", "n"])
 
-    keys = materialize(words.mapInArrow(keyed, "key string, word string, n long"), "spelling-keys")
+    # Keys are compared by their hashes; what meets by chance fails the verification.
+    keys = materialize(words.mapInArrow(keyed, "key string, word string, n long").select(F.xxhash64("key").alias("key"), "word", "n"), "spelling-keys")
     other = keys.select("key", F.col("word").alias("other"), F.col("n").alias("other_n"))
     met = keys.join(other, "key").filter((F.col("word") < F.col("other")) & (F.abs(F.length("word") - F.length("other")) <= 1))
-    pairs = met.filter(F.levenshtein("word", "other", 1) == 1).select("word", "n", "other", "other_n").dropDuplicates(["word", "other"])
+    pairs = materialize(met.filter(F.levenshtein("word", "other", 1) == 1).select("word", "n", "other", "other_n").dropDuplicates(["word", "other"]), "spelling-pairs")
+    discard(keys)
     return pairs.unionByName(pairs.select(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n")))
 
 
