@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from lumaframe.operators import generate, pick, select, stencil
 from lumaframe.operators.aggregate import image_range
 from lumaframe.plans import share
+from lumaframe.programs import run
+from lumaframe.programs.text import ShaderError
 from lumaframe.schema import COPY_PIXELS, PORTABLE_PIXELS, Rect
 from lumaframe.sources import files, matrix
 
@@ -42,12 +44,19 @@ class Image:
     program: dict | None = None
 
 
+#: What a link shows whose own program can't be used.
+DEFAULT_TEXT = "outputColor = vec4(uv, 0.0, 1.0);"
+
+
 class ProgramError(ValueError):
-    """A program's text can't be used; the image keeps the last result. channel: whose expression it is; place: where in it, counted from 0, or None."""
+    """A program can't be used; the image keeps the last result.
 
-    def __init__(self, message: str, channel: str | None = None, place: int | None = None):
+    Of column expressions, channel says whose it is and place where in it, counted from 0; of a program's text, line and column say where, counted from 1.
+    """
+
+    def __init__(self, message: str, channel: str | None = None, place: int | None = None, line: int | None = None, column: int | None = None):
         super().__init__(message)
-        self.channel, self.place = channel, place
+        self.channel, self.place, self.line, self.column = channel, place, line, column
 
 
 class Catalog:
@@ -83,20 +92,34 @@ class Catalog:
         self.add(image_id, pixels, Image("pasted values", size["w"], size["h"], {"kind": "embedded"}, "values", auto_level=span["low"] < 0 or span["high"] > 1))
 
     def generate(self, image_id: str, width: int, height: int, **channels: str) -> None:
-        """An image computed from column expressions over u, v, x, y."""
+        """An image computed from column expressions over u, v, x, y, or from a program's `text`."""
         self.add(image_id, self._checked(lambda some: self._generated(width, height, some), channels), Image(image_id, width, height, {"kind": "generated", "channels": channels}, "glsl"))
 
     def open_link(self, image_id: str, link: str) -> bool:
-        """The image of a shared program; False if the link holds none."""
+        """The image of a shared program; False if the link holds none.
+
+        A text that can't be used is kept for the editor and the image's own link, with the error beside it; the image then shows DEFAULT_TEXT.
+        """
         state = share.decode(link)
-        if state:
-            self.generate(image_id, state["width"], state["height"], **share.channels_of_code(state["code"]))
-        return state is not None
+        if not state:
+            return False
+        code, size = state["code"], (state["width"], state["height"])
+        try:
+            channels = share.channels_of_code(code)
+        except ValueError:
+            channels = {"text": code}
+        try:
+            self.generate(image_id, *size, **channels)
+        except ProgramError as e:
+            self.generate(image_id, *size, text=DEFAULT_TEXT)
+            self.images[image_id].program = {"tried": channels, "worked": None, "error": str(e)}
+        return True
 
     def link_of(self, image_id: str) -> str:
-        """The link of a generated image."""
+        """The link of a generated image, of the text tried last."""
         image = self.images[image_id]
-        return share.encode(image.width, image.height, share.code_of(image.source["channels"]))
+        channels = (image.program or {}).get("tried") or image.source["channels"]
+        return share.encode(image.width, image.height, channels["text"] if "text" in channels else share.code_of(channels))
 
     def pickers(self) -> DataFrame:
         """(image_id, picker_id, x, y, color) of all images."""
@@ -104,6 +127,8 @@ class Catalog:
         return pick.of_images(self.spark.createDataFrame(rows, "image_id string, pickers array<struct<picker_id int, x int, y int, color string>>"))
 
     def _generated(self, width: int, height: int, channels: dict[str, str]) -> DataFrame:
+        if "text" in channels:
+            return run.generated(self.spark, channels["text"], width, height)
         return generate.canvas(self.spark, width, height).selectExpr("image_id", "y", "x", *[f"CAST({channels.get(c, '1' if c == 'a' else '0')} AS float) AS {c}" for c in "rgba"])
 
     def _checked(self, build: Callable[[dict[str, str]], DataFrame], channels: dict[str, str]) -> DataFrame:
@@ -114,6 +139,8 @@ class Catalog:
                 frame.schema  # noqa: B018
                 if part is channels:
                     return frame
+            except ShaderError as e:
+                raise ProgramError(str(e), line=e.line, column=e.column) from e
             except (AnalysisException, ParseException) as e:
                 if part is channels and len(part) > 1:
                     error = e
@@ -123,10 +150,11 @@ class Catalog:
         raise ProgramError(f"{error.getCondition()}: {error}") from error
 
     def program(self, image_id: str, **channels: str) -> None:
-        """Show the image through column expressions; on an error the last result stays and the text is kept apart."""
+        """Show the image through column expressions or a program's `text`; on an error the last result stays and the text is kept apart."""
         image = self.images[image_id]
         image.program = {"tried": channels, "worked": (image.program or {}).get("worked")}
-        frame = self._checked(lambda some: stencil.mapped(self.originals[image_id], **some), channels)
+        shown = lambda some: run.shade(self.originals[image_id], some["text"]) if "text" in some else stencil.mapped(self.originals[image_id], **some)
+        frame = self._checked(shown, channels)
         image.program["worked"] = channels
         self._replace(image_id, frame)
 
