@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,17 +80,69 @@ def image_records(spark: SparkSession, *paths: str) -> DataFrame:
     """(image_id, name, width, height, type, source_format, auto_level, error) of each file."""
     rows = decoded(spark, *paths).filter("y0 = 0 OR error IS NOT NULL").drop("y0", "strip")
     kind = F.lower(F.regexp_extract("image_id", r"\.([^.]+)$", 1))
-    raster = _raster(spark, *paths).select("image_id", F.concat(F.lit("image/"), F.when(kind == "jpg", "jpeg").otherwise(kind), F.when(F.col("nChannels") == 4, " (RGB approximate where alpha < 1)").otherwise("")).alias("type"), F.lit("raster").alias("source_format"), "width", "height", F.lit(None).cast("string").alias("error"))
+    raster = _raster(spark, *paths).select("image_id", F.concat(F.lit("image/"), F.when(kind == "jpg", "jpeg").otherwise(kind), F.when(F.col("nChannels") == 4, " (RGB approximate where alpha < 1)").otherwise("")).alias("type"), F.lit("raster").alias("source_format"), "width", "height", "error")
+    raster = raster.select("image_id", *[F.when(F.isnull("error"), F.col(c)).alias(c) for c in ("type", "source_format", "width", "height")], "error")
     return rows.unionByName(raster).select("image_id", F.element_at(F.split("image_id", "/"), -1).alias("name"), "width", "height", "type", "source_format", F.coalesce(F.col("source_format").isin("hdr", "exr"), F.lit(False)).alias("auto_level"), "error")
 
 
+def raster_size(head: bytes) -> tuple[int, int] | None:
+    """(width, height) that the first bytes of a JPEG, GIF or BMP file tell; None where they tell none."""
+    if head[:4] == b"GIF8" and len(head) >= 10:
+        return struct.unpack_from("<HH", head, 6)
+    if head[:2] == b"BM" and len(head) >= 26:
+        width, height = struct.unpack_from("<HH" if struct.unpack_from("<I", head, 14)[0] == 12 else "<ii", head, 18)
+        return width, abs(height)
+    at = 2
+    while head[:2] == b"\xff\xd8" and at + 9 <= len(head) and head[at] == 0xFF:
+        kind, size = head[at + 1], struct.unpack_from(">H", head, at + 2)[0]
+        # Frame headers are C0 to CF, but for tables (C4), reserved (C8) and arithmetic conditioning (CC).
+        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+            return struct.unpack_from(">HH", head, at + 5)[::-1]
+        at += 1 if kind == 0xFF else 2 + size
+    return None
+
+
+def _headers(spark: SparkSession, *paths: str) -> DataFrame:
+    """(path, header_error) of the JPEG, GIF and BMP files: why one can't be opened, by its first bytes, or null."""
+
+    def run(batches):
+        for pdf in batches:
+            errors = []
+            for content in pdf["content"]:
+                try:
+                    size = raster_size(bytes(content))
+                    if not size or min(size) < 1:
+                        raise ValueError("The file is damaged, or no JPEG, GIF or BMP file.")
+                    check_file_size(*size)
+                    errors.append(None)
+                except (ValueError, struct.error) as e:
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pd.DataFrame({"path": pdf["path"], "header_error": errors})
+
+    found = spark.read.format("binaryFile").option("pathGlobFilter", RASTER_GLOB).load(list(paths)).filter("length > 0")
+    return found.select("path", "content").mapInPandas(run, "path string, header_error string")
+
+
 def _raster(spark: SparkSession, *paths: str) -> DataFrame:
-    images = spark.read.format("image").option("pathGlobFilter", RASTER_GLOB).load(list(paths))
-    return images.select(F.regexp_replace("image.origin", "^file:///", "file:/").alias("image_id"), "image.width", "image.height", "image.nChannels", "image.data")
+    """(image_id, width, height, nChannels, data, error) of the JPEG, GIF and BMP files. Those whose header is wrong or too large never reach the decoder."""
+    load = lambda some: spark.read.format("image").option("pathGlobFilter", RASTER_GLOB).load(some)
+    headers = _headers(spark, *paths)
+    refused = headers.filter("header_error IS NOT NULL").select("path", "header_error").persist()
+    one_slash = F.regexp_replace("path", "^file:///", "file:/")
+    if refused.limit(1).count():
+        # The image source takes paths, not rows: the good ones are named to it, as its own listing would.
+        good = [r["path"] for r in headers.filter("header_error IS NULL").select("path").collect()]
+        images = load(good) if good else load(list(paths)).limit(0)
+    else:
+        images = load(list(paths))
+    damaged = F.when(F.col("image.height") < 1, "ValueError: The file is damaged.").alias("error")
+    read = images.select(F.regexp_replace("image.origin", "^file:///", "file:/").alias("image_id"), "image.width", "image.height", "image.nChannels", "image.data", damaged)
+    absent = [F.lit(None).cast(t).alias(c) for c, t in (("width", "int"), ("height", "int"), ("nChannels", "int"), ("data", "binary"))]
+    return read.unionByName(refused.select(one_slash.alias("image_id"), *absent, F.col("header_error").alias("error")))
 
 
 def read_raster(spark: SparkSession, *paths: str) -> DataFrame:
-    """JPEG, GIF and BMP files by Spark's image source: 8 bits, out of sRGB. WebP and AVIF have no decoder here."""
+    """JPEG, GIF and BMP files by Spark's image source: 8 bits, out of sRGB. Damaged and oversized ones are left out. WebP and AVIF have no decoder here."""
 
     def explode(batches):
         for pdf in batches:
@@ -102,7 +155,7 @@ def read_raster(spark: SparkSession, *paths: str) -> DataFrame:
                 y, x = np.indices(v.shape[:2])
                 yield pd.DataFrame({"image_id": image_id, "y": y.ravel().astype(np.int32), "x": x.ravel().astype(np.int32)} | {c: v[..., k].ravel() for k, c in enumerate(CHANNELS)})
 
-    return _raster(spark, *paths).mapInPandas(explode, PIXEL_DDL)
+    return _raster(spark, *paths).filter("error IS NULL").drop("error").mapInPandas(explode, PIXEL_DDL)
 
 
 def encoded_files(pixels: DataFrame, kind: str, source_format: str = "values") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -16,19 +17,36 @@ NONE, RLE, ZIPS, ZIP = 0, 1, 2, 3
 BLOCK_LINES = {NONE: 1, RLE: 1, ZIPS: 1, ZIP: 16}
 
 
-def decode_rgbe(content: bytes) -> np.ndarray:
-    """Flat or run-length coded scanlines, top to bottom."""
-    if not content.startswith((b"#?RADIANCE", b"#?RGBE")):
+def rgbe_size(head: bytes) -> tuple[int, int, int]:
+    """(width, height, bytes of the header) of a file that begins so."""
+    if not head.startswith((b"#?RADIANCE", b"#?RGBE")):
         raise ValueError("Not a Radiance file.")
-    found = re.search(rb"\n\n-Y (\d+) \+X (\d+)\n", content)
+    found = re.search(rb"\n\n-Y (\d+) \+X (\d+)\n", head)
     if not found:
         raise ValueError("Radiance file has no size, or an orientation that isn't supported.")
-    height, width, at = int(found[1]), int(found[2]), found.end()
+    return int(found[2]), int(found[1]), found.end()
+
+
+def rgbe_values(rgbe: np.ndarray) -> np.ndarray:
+    """float32 (..., 4) of uint8 (..., 4): three mantissas and an exponent."""
+    exponent = rgbe[..., 3].astype(np.int64)
+    pixels = np.ones(rgbe.shape, np.float32)
+    pixels[..., :3] = np.where(exponent[..., None] > 0, np.ldexp(rgbe[..., :3].astype(np.float64), exponent[..., None] - 136), 0)
+    return pixels
+
+
+def _coded(line: bytes, width: int) -> bool:
+    """Whether a scanline that begins so is run-length coded."""
+    return 8 <= width < 32768 and len(line) >= 4 and line[0] == line[1] == 2 and line[2] << 8 | line[3] == width
+
+
+def decode_rgbe(content: bytes) -> np.ndarray:
+    """Flat or run-length coded scanlines, top to bottom."""
+    width, height, at = rgbe_size(content)
     check_file_size(width, height)
     out = np.zeros((height, width, 4), np.uint8)
     for y in range(height):
-        head = content[at : at + 4]
-        if not (8 <= width < 32768 and len(head) == 4 and head[0] == head[1] == 2 and head[2] << 8 | head[3] == width):
+        if not _coded(content[at : at + 4], width):
             flat = np.frombuffer(content, np.uint8, 4 * width, at) if len(content) >= at + 4 * width else None
             if flat is None:
                 raise ValueError("Radiance data is too short.")
@@ -45,10 +63,7 @@ def decode_rgbe(content: bytes) -> np.ndarray:
                     out[y, x : x + n - 128, c], at, x = content[at + 1], at + 2, x + n - 128
                 else:
                     out[y, x : x + n, c], at, x = np.frombuffer(content, np.uint8, n, at + 1), at + 1 + n, x + max(n, 1)
-    exponent = out[..., 3].astype(np.int64)
-    pixels = np.ones((height, width, 4), np.float32)
-    pixels[..., :3] = np.where(exponent[..., None] > 0, np.ldexp(out[..., :3].astype(np.float64), exponent[..., None] - 136), 0)
-    return pixels
+    return rgbe_values(out)
 
 
 def encode_rgbe(rgbe: np.ndarray) -> bytes:
@@ -109,15 +124,41 @@ def _packed(data: bytes) -> bytes:
     return packed if len(packed) < len(data) else data
 
 
-def decode_exr(content: bytes) -> np.ndarray:
-    """Half, float and uint channels R, G, B, A or Y of a scanline file; other names are ignored."""
-    header, at = _exr_header(content)
+@dataclass(frozen=True)
+class ExrLayout:
+    """What the header of a scanline file says, and where its blocks begin."""
+
+    width: int
+    height: int
+    y0: int
+    compression: int
+    #: Names and numpy types of the channels, in the order of the file.
+    channels: tuple[tuple[str, str], ...]
+    offsets: tuple[int, ...]
+    #: Bytes of header and offsets.
+    size: int
+
+    @property
+    def lines(self) -> int:
+        return BLOCK_LINES[self.compression]
+
+    @property
+    def line_bytes(self) -> int:
+        return self.width * sum(int(kind[-1]) for _, kind in self.channels)
+
+
+def exr_layout(head: bytes, limited: bool = False) -> ExrLayout:
+    """The layout of a file that begins with these bytes; IndexError or struct.error where they end too early. With `limited` a file of too many pixels raises."""
+    header, at = _exr_header(head)
     compression = header["compression"][0]
     if compression not in BLOCK_LINES:
         raise ValueError(f"OpenEXR compression {compression} is not supported.")
     x0, y0, x1, y1 = struct.unpack("<4i", header["dataWindow"])
     width, height = x1 - x0 + 1, y1 - y0 + 1
-    check_file_size(width, height)
+    if width < 1 or height < 1:
+        raise ValueError("OpenEXR file has no pixels.")
+    if limited:
+        check_file_size(width, height)
     channels, k, raw = [], 0, header["channels"]
     while raw[k] != 0:
         end = raw.index(b"\0", k)
@@ -126,24 +167,42 @@ def decode_exr(content: bytes) -> np.ndarray:
             raise ValueError("OpenEXR channels of fewer samples are not supported.")
         channels.append((raw[k:end].decode(), ("<u4", "<f2", "<f4")[kind]))
         k = end + 17
-    pixels = np.zeros((height, width, 4), np.float32)
+    n = -(-height // BLOCK_LINES[compression])
+    return ExrLayout(width, height, y0, compression, tuple(channels), struct.unpack_from(f"<{n}Q", head, at), at + 8 * n)
+
+
+def exr_block(layout: ExrLayout, content: bytes, at: int) -> tuple[int, np.ndarray, int]:
+    """(first line counted from 0, its pixels (lines, width, 4), bytes read) of the block at a place of content."""
+    y, size = struct.unpack_from("<iI", content, at)
+    y -= layout.y0
+    if not 0 <= y < layout.height or at + 8 + size > len(content):
+        raise ValueError("OpenEXR data is damaged.")
+    lines = min(layout.lines, layout.height - y)
+    block = _unpacked(content[at + 8 : at + 8 + size], layout.compression, layout.line_bytes * lines)
+    if len(block) < layout.line_bytes * lines:
+        raise ValueError("OpenEXR block is damaged.")
+    rows = np.frombuffer(block, np.uint8, layout.line_bytes * lines).reshape(lines, layout.line_bytes)
+    pixels, place = np.zeros((lines, layout.width, 4), np.float32), 0
     pixels[..., 3] = 1
-    line, lines = width * sum(int(kind[-1]) for _, kind in channels), BLOCK_LINES[compression]
-    at += 8 * -(-height // lines)
-    for _ in range(-(-height // lines)):
-        y, size = struct.unpack("<iI", content[at : at + 8])
-        if not y0 <= y <= y1 or at + 8 + size > len(content):
-            raise ValueError("OpenEXR data is damaged.")
-        block = _unpacked(content[at + 8 : at + 8 + size], compression, line * min(lines, y1 + 1 - y))
-        at, place = at + 8 + size, 0
-        for row in range(y - y0, min(y - y0 + lines, height)):
-            for name, kind in channels:
-                values = np.frombuffer(block, kind, width, place).astype(np.float32)
-                place += width * int(kind[-1])
-                if name == "Y":
-                    pixels[row, :, :3] = values[:, None]
-                elif name in ("R", "G", "B", "A"):
-                    pixels[row, :, "RGBA".index(name)] = values
+    for name, kind in layout.channels:
+        n = layout.width * int(kind[-1])
+        values = np.ascontiguousarray(rows[:, place : place + n]).view(kind).astype(np.float32)
+        place += n
+        if name == "Y":
+            pixels[..., :3] = values[..., None]
+        elif name in ("R", "G", "B", "A"):
+            pixels[..., "RGBA".index(name)] = values
+    return y, pixels, 8 + size
+
+
+def decode_exr(content: bytes) -> np.ndarray:
+    """Half, float and uint channels R, G, B, A or Y of a scanline file; other names are ignored."""
+    layout = exr_layout(content, limited=True)
+    pixels, at = np.zeros((layout.height, layout.width, 4), np.float32), layout.size
+    for _ in layout.offsets:
+        y, part, read = exr_block(layout, content, at)
+        pixels[y : y + len(part)] = part
+        at += read
     return pixels
 
 
