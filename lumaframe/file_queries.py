@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lumaframe.queries import EVENTS, TILES, WIDTH, events, rounded, s6, tiles
 from lumaframe.queries import ORACLE_SQL as RASTER_SQL
 from lumaframe.schema import CHANNELS, Rect
-from lumaframe.sources import files
+from lumaframe.sources import files, matrix
 from lumaframe.sources.datasource import register, save_selection_csv
 from lumaframe.storage import scratch_path
 
@@ -76,3 +76,24 @@ def _csv_lines(s: SparkSession, d: str) -> DataFrame:
 
 _CELLS = RASTER_SQL["selection_csv"]
 add("selection_csv_parts", _csv_lines, f"SELECT 0::BIGINT AS line, 'x,y,mode,display,r,g,b' AS value UNION ALL SELECT (y * {WIDTH} + x + 1)::BIGINT, concat_ws(',', x, y, mode, display, r, g, b) FROM ({_CELLS})")
+
+
+def _texts(s: SparkSession, d: str, damaged: bool = False, **options) -> str:
+    """The folder of all tiles as matrix texts; with `damaged` every third one lacks its end."""
+    register(s)
+    folder = scratch_path(s, "matrix-texts")
+    texts = matrix.texts_of(tiles(s, d), **options)
+    if damaged:
+        cut = F.expr("substring(content, 1, length(content) - 40)")
+        texts = texts.withColumn("content", F.when(F.col("image_id").cast("int") % 3 == 0, cut).otherwise(F.col("content")))
+    texts.write.format("image-files").option("suffix", ".txt").mode("append").save(folder)
+    return folder
+
+
+add("matrix_files", lambda s, d: rounded(_named(matrix.read_matrix_files(s, _texts(s, d)))), f"WITH {TILES} SELECT image_id, y, x, {_ALL} FROM px")
+add("matrix_files_plain", lambda s, d: rounded(_named(matrix.read_matrix_files(s, _texts(s, d, channels=(0, 1, 2), header=False)))), f"WITH {TILES} SELECT image_id, y, x, {', '.join(s6(c, c) for c in 'rgb')}, {s6('1', 'a')} FROM px")
+add(
+    "matrix_file_records",
+    lambda s, d: _named(matrix.matrix_records(s, _texts(s, d, damaged=True))).select("image_id", "width", "height", F.size("channels").cast("long").alias("channels"), F.isnull("error").alias("good")),
+    f"WITH {TILES} SELECT image_id, CASE WHEN image_id::INTEGER % 3 <> 0 THEN (max(x) + 1)::INTEGER END AS width, CASE WHEN image_id::INTEGER % 3 <> 0 THEN (max(y) + 1)::INTEGER END AS height, CASE WHEN image_id::INTEGER % 3 = 0 THEN NULL ELSE 4 END::BIGINT AS channels, image_id::INTEGER % 3 <> 0 AS good FROM px GROUP BY image_id",
+)
