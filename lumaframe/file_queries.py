@@ -49,6 +49,7 @@ def add(name: str, query: Query, sql: str) -> None:
 #: One file of all events; a task reads 16 KB of it.
 add("exr_source", _read(events, "exr", ".exr", 1 << 14), f"WITH {EVENTS} SELECT image_id, y, x, {_ALL} FROM px")
 add("exr_source_zip", _read(events, "exr-zip", ".exr", 1 << 12), f"WITH {EVENTS} SELECT image_id, y, x, {_ALL} FROM px")
+add("exr_source_piz", _read(events, "exr-piz", ".exr", 1 << 13), f"WITH {EVENTS} SELECT image_id, y, x, {_ALL} FROM px")
 #: The lower half of each tile: the blocks of lines above aren't read.
 add("exr_source_lines", _read(tiles, "exr", ".exr", 1 << 20, "y >= 5"), f"WITH {TILES} SELECT image_id, y, x, {_ALL} FROM px WHERE y >= 5")
 def _hdr_sql() -> str:

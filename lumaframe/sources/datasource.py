@@ -5,7 +5,7 @@
     files.encoded_files(pixels, "exr-zip").write.format("image-files").option("suffix", ".exr").mode("append").save(folder)
     lines.write.format("ordered-lines").option("header", "x,y").mode("append").save(folder)
 
-A large OpenEXR file is read by several tasks, each with the blocks of lines that its offset table names, and a large Radiance file of flat
+A large OpenEXR file is read by several tasks, each with the blocks of lines or rows of tiles that its offset table names, and a large Radiance file of flat
 lines likewise; small files share tasks. Filters on y and image_id reach the source: blocks without a line that is asked for are neither
 read nor unpacked. Tasks open files by pyarrow, so paths are local or of a store that it knows (hdfs, s3, gs, abfs); read_images() takes all that Spark reads.
 """
@@ -132,7 +132,7 @@ class PixelReader(DataSourceReader):
         with system.open_input_file(place) as file:
             if kind == "exr":
                 layout = _layout(file, size)
-                n, lines, height = len(layout.offsets), layout.lines, layout.height
+                n, lines, height = len(layout.offsets) // layout.across, layout.lines, layout.height
             else:
                 flat = _flat(file, size)
                 if not flat:
@@ -156,17 +156,17 @@ class PixelReader(DataSourceReader):
         with system.open_input_file(place) as file:
             if kind == "exr":
                 layout = _layout(file, size)
-                n, lines = len(layout.offsets), layout.lines
+                n, lines = len(layout.offsets) // layout.across, layout.lines
                 first, end = max(first, self.low // lines), min(n if end is None else end, -(-self.high // lines))
                 # Blocks needn't lie in the order of their lines, and each says how long it is.
-                for k in range(first, end):
+                for k in range(first * layout.across, end * layout.across):
                     at = layout.offsets[k]
                     file.seek(at)
-                    head = file.read(8)
-                    if len(head) < 8 or at < layout.size:
+                    head = file.read(layout.head)
+                    if len(head) < layout.head or at < layout.size:
                         raise ValueError("OpenEXR offsets are damaged.")
-                    y, pixels, _ = hdr.exr_block(layout, head + file.read(struct.unpack("<iI", head)[1]), 0)
-                    yield from self._rows(path, y, pixels)
+                    y, x, pixels, _ = hdr.exr_block(layout, head + file.read(struct.unpack("<I", head[-4:])[0]), 0)
+                    yield from self._rows(path, y, pixels, x)
             elif kind == "hdr" and (flat := _flat(file, size)):
                 width, height, at = flat
                 first, end = max(first, self.low), min(height if end is None else end, self.high)
@@ -179,7 +179,7 @@ class PixelReader(DataSourceReader):
                 file.seek(0)
                 yield from self._rows(path, 0, _decode(path, file.read(), kind)[0])
 
-    def _rows(self, path: str, y0: int, pixels: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def _rows(self, path: str, y0: int, pixels: np.ndarray, x0: int = 0) -> Iterator[pa.RecordBatch]:
         low, high = max(self.low - y0, 0), min(self.high - y0, len(pixels))
         width = pixels.shape[1]
         step = max(1, BATCH // width)
@@ -187,7 +187,7 @@ class PixelReader(DataSourceReader):
             part = pixels[top : min(top + step, high)]
             y, x = np.indices(part.shape[:2], np.int32)
             ids = pa.DictionaryArray.from_arrays(pa.array(np.zeros(y.size, np.int8)), pa.array([path])).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(y.ravel() + np.int32(y0 + top)), pa.array(x.ravel()), *(pa.array(np.ascontiguousarray(part[..., k]).ravel(), pa.float32()) for k in range(4))], ["image_id", "y", "x", *CHANNELS])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(y.ravel() + np.int32(y0 + top)), pa.array(x.ravel() + np.int32(x0)), *(pa.array(np.ascontiguousarray(part[..., k]).ravel(), pa.float32()) for k in range(4))], ["image_id", "y", "x", *CHANNELS])
 
 
 class PixelSource(DataSource):

@@ -24,6 +24,7 @@ RASTER, RASTER_GLOB = r"(?i)\.(jpe?g|gif|bmp)$", "*.{jpg,jpeg,gif,bmp,JPG,JPEG,G
 STRIP = 256
 DECODED = "image_id string, type string, source_format string, width int, height int, error string, y0 int, strip binary"
 FILES = "image_id string, content binary"
+EXR_KINDS = {"exr": hdr.NONE, "exr-zip": hdr.ZIP, "exr-piz": hdr.PIZ, "exr-pxr24": hdr.PXR24}
 
 
 def _decode(path: str, content: bytes, kind: str) -> tuple[np.ndarray, str, str]:
@@ -159,13 +160,13 @@ def read_raster(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def encoded_files(pixels: DataFrame, kind: str, source_format: str = "values") -> DataFrame:
-    """(image_id, content) of each image as png, hdr, exr or exr-zip. One image is one group, as it is one file.
+    """(image_id, content) of each image as png, hdr, exr or exr with a compression's name (exr-zip, exr-piz, exr-pxr24). One image is one group, as it is one file.
 
     Sizes are looked up before anything is gathered: an image of more than PROGRAM_PIXELS raises.
     """
-    if kind.removesuffix("-zip") not in save_formats(source_format):
+    if kind.partition("-")[0] not in save_formats(source_format):
         raise ValueError(f"{source_format} images can't be saved as {kind}.")
-    if kind not in ("png", "hdr", "exr", "exr-zip"):
+    if kind not in ("png", "hdr", *EXR_KINDS):
         raise ValueError(f"There is no encoder for {kind}.")
     largest = sizes(pixels).orderBy(F.desc(F.col("width").cast("long") * F.col("height"))).first()
     if largest:
@@ -181,7 +182,7 @@ def encoded_files(pixels: DataFrame, kind: str, source_format: str = "values") -
         h, w = int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1
         image = np.zeros((h, w, 4), np.uint8 if kind in ("png", "hdr") else np.float32)
         image[pdf["y"], pdf["x"]] = pdf[list(CHANNELS)].to_numpy(image.dtype)
-        content = {"png": png.encode, "hdr": hdr.encode_rgbe, "exr": hdr.encode_exr, "exr-zip": lambda v: hdr.encode_exr(v, hdr.ZIP)}[kind](image)
+        content = {"png": png.encode, "hdr": hdr.encode_rgbe}.get(kind, lambda v: hdr.encode_exr(v, EXR_KINDS[kind]))(image)
         return pd.DataFrame({"image_id": [pdf["image_id"].iloc[0]], "content": [content]})
 
     return values.groupBy("image_id").applyInPandas(run, FILES)
