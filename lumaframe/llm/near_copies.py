@@ -1,8 +1,8 @@
 """Near copies by the Jaccard similarity of word shingles, exactly: two texts are linked if their sets of shingles have at least `similarity` in common.
 
 Candidates come from prefix filtering. All shingles stand in one global order, and of a set of n only the first n - ceil(similarity * n) + 1
-are its prefix: two sets that are similar enough share a shingle of their prefixes, whatever the order is. Shingles that a bounded sample
-shows to be frequent come last, which keeps boilerplate out of prefixes; the sample shapes the order, never the result. How many shingles
+are its prefix: two sets that are similar enough share a shingle of their prefixes, whatever the order is. Shingles that a bounded sample or the
+exact counts of all prefixes show to be frequent come last, which keeps boilerplate out of prefixes; that shapes the order, never the result. How many shingles
 two prefixes share bounds the overlap of the sets, and only pairs that the bound leaves are compared as whole sets.
 
 A large group of near copies never meets in pairs: first each set is compared with a hub, the one of all sets with a prefix shingle that
@@ -14,7 +14,6 @@ Sets are known by a 64-bit hash; equal ones are one node.
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +30,11 @@ SHINGLE, SIMILARITY = 5, 0.8
 SAMPLE, FREQUENT = 4000, 3
 #: Rounds with hubs of a random order.
 ROUNDS = 1
+#: Sets that have a shingle in their prefixes, above which it moves behind the others; how often prefixes are cut anew for that; and
+#: shingles that are moved so at most (8 bytes each, sent to tasks), those of most sets first. What stays costs pairs, never links.
+HOT, RECUTS, MOST_LATE = 256, 2, 4_000_000
+#: Texts that are compared with one copy of a hub's text.
+SHARE = 512
 #: Against rounding of products with the similarity; far less than one shingle of the largest set.
 TIE = 1e-6
 
@@ -74,16 +78,41 @@ def _frequent(docs: DataFrame, size: int) -> np.ndarray:
     return np.sort(rows["h"].to_numpy(np.int64).view(np.uint64))
 
 
-def _sets(docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(doc_id, text_hash, key, n, prefix) of each row."""
-    frequent = _frequent(docs, size)
+def _hot(sets: DataFrame) -> np.ndarray:
+    """The shingles that stand in the prefixes of more than HOT sets, sorted."""
+    counted = sets.select("key", F.explode("prefix").alias("h")).distinct().groupBy("h").count().filter(F.col("count") > HOT)
+    rows = counted.orderBy(F.desc("count"), "h").limit(MOST_LATE).select("h").toPandas()
+    return np.sort(rows["h"].to_numpy(np.int64).view(np.uint64))
+
+
+def _cut(docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """_sets() in an order that keeps shingles of many sets out of prefixes: those of a bounded sample, then all that exact counts show.
+
+    Any one order of all shingles gives the same links. A shingle that a group of near copies shares stays, as all others of its sets are as frequent.
+    """
+    late = _frequent(docs, size)
+    sets = materialize(_sets(docs, late, size, similarity), "near-sets")
+    for _ in range(RECUTS):
+        more = np.setdiff1d(_hot(sets), late, assume_unique=True)
+        if not len(more) or len(late) + len(more) > MOST_LATE:
+            break
+        late = np.union1d(late, more)
+        new = materialize(_sets(docs, late, size, similarity), "near-sets")
+        discard(sets)
+        sets = new
+    return sets
+
+
+def _sets(docs: DataFrame, late: np.ndarray, size: int, similarity: float) -> DataFrame:
+    """(doc_id, text_hash, key, n, prefix) of each row; shingles in `late` (sorted) come behind all others."""
+    shared = docs.sparkSession.sparkContext.broadcast(late)
 
     def run(batches):
         for b in small_batches(batches):
             found = [shingles(t, size) for t in text_bytes(b.column("text"))]
             keys = pa.array([xxhash.xxh3_64_intdigest(f.tobytes()) for f in found], pa.uint64()).view(pa.int64())
             sizes = pa.array([len(f) for f in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), keys, sizes, _lists([prefix(f, frequent, similarity) for f in found])], ["doc_id", "text_hash", "key", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), keys, sizes, _lists([prefix(f, shared.value, similarity) for f in found])], ["doc_id", "text_hash", "key", "n", "prefix"])
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     return rows.mapInArrow(run, "doc_id long, text_hash long, key long, n long, prefix array<long>")
@@ -102,27 +131,36 @@ def _packed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose whole sets are similar enough."""
+    """The pairs (u, v) whose whole sets are similar enough.
+
+    The text of v goes before those that are compared with it, once for each SHARE of them, so that one v of very many pairs is dealt to several tasks.
+    """
     pairs = materialize(pairs, "near-candidates")
+    shares = pairs.groupBy("v").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
+    one = lambda wanted: texts.withColumnRenamed("key", wanted.columns[0]).join(wanted, wanted.columns[0])
+    hubs = one(shares).dropDuplicates(["v"]).select("v", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(None).cast("long").alias("u"), "packed")
+    dealt = pairs.join(shares, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("shares")).cast("int").alias("share"))
+    others = dealt.join(one(pairs.select("u").distinct()).dropDuplicates(["u"]), "u").select("v", "share", "u", "packed")
 
     def near(batches):
         read = zstandard.ZstdDecompressor().decompress
-
-        @lru_cache(64)
-        def found(packed: bytes) -> np.ndarray:
-            return shingles(read(packed), size)
-
+        hub, of = None, None
         for b in small_batches(batches):
             keep = []
-            for x, y in zip(b.column("a"), b.column("b"), strict=True):
-                x, y = found(x.as_py()), found(y.as_py())
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both) - TIE)
+            for v, u, packed in zip(b.column("v").to_pylist(), b.column("u").to_pylist(), b.column("packed"), strict=True):
+                found = shingles(read(packed.as_py()), size)
+                if u is None:
+                    hub, of = found, v
+                    keep.append(False)
+                    continue
+                if of != v:
+                    raise ValueError("The text of a hub is missing.")
+                both = len(np.intersect1d(found, hub, assume_unique=True))
+                keep.append(both >= similarity * (len(found) + len(hub) - both) - TIE)
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    # Few texts are hubs, so only those asked for are dealt.
-    a, b = (texts.select(F.col("key").alias(k), F.col("packed").alias(f)).join(pairs.select(k).distinct(), k, "left_semi").dropDuplicates([k]) for k, f in (("u", "a"), ("v", "b")))
-    links = materialize(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(near, "u long, v long"), "near-links")
+    met = hubs.unionByName(others).repartition("v", "share").sortWithinPartitions("v", "share", F.asc_nulls_first("u"))
+    links = materialize(met.mapInArrow(near, "u long, v long"), "near-links")
     discard(pairs)
     return links
 
@@ -174,7 +212,7 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILA
     Null and empty texts and others without words are copies of each other; a long text counts whole. Rows that repeat a doc_id each
     give a row, an empty table gives none, and other columns are ignored.
     """
-    sets = materialize(_sets(docs, size, similarity), "near-sets")
+    sets = _cut(docs, size, similarity)
     # Rows of one key have one set; their texts may differ in case, spaces and repeats.
     nodes = materialize(sets.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash")), "near-nodes")
     owners = materialize(sets.select("doc_id", "key"), "near-owners")

@@ -74,3 +74,41 @@ def test_pipeline_stage_leaves_no_near_copies(spark, sf):
     assert left.columns == docs.columns
     rows = [(r["doc_id"], r["text"]) for r in left.collect()]
     assert not {1, 6} - {i for i, _ in rows} and all(i == c for i, c in jaccard_groups(rows))
+
+
+@pytest.mark.parametrize("hot", [256, 20])
+def test_a_phrase_that_the_sample_misses(spark, monkeypatch, hot):
+    """2,000 texts share a phrase and little else; a sample of one text can't tell. Exact counts move it out of prefixes."""
+    monkeypatch.setattr(near_copies, "SAMPLE", 1)
+    monkeypatch.setattr(near_copies, "HOT", hot)
+    phrase = "all rights to these few lines are reserved by whoever wrote them first"
+    rows = [(k, f"{prose(20_000 + k, 14)} {phrase}") for k in range(2000)]
+    rows += [(5000 + k, edited(rows[7 * k][1], k, 1 if k % 2 else 0) + " end") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    before = near_copies._sets(docs, near_copies._frequent(docs, 5), 5, 0.8)
+    assert len(near_copies._hot(before)) >= 1
+    cut = near_copies._cut(docs, 5, 0.8)
+    assert hot == 20 or len(near_copies._hot(cut)) == 0
+    pairs = lambda sets: sum(r["n"] * (r["n"] - 1) // 2 for r in sets.selectExpr("explode(prefix) AS h").groupBy("h").count().selectExpr("count AS n").collect())
+    assert pairs(cut) < 50_000 < 1_000_000 < pairs(before)
+    got = sorted(map(tuple, near_copies.near_groups(docs).collect()), key=str)
+    grams = {}
+    for i, t in rows:
+        for g in plain_shingles(t, 5) - plain_shingles(phrase, 5):
+            grams.setdefault(g, []).append(i)
+    sets = {i: plain_shingles(t, 5) for i, t in rows}
+    linked = {}
+    for ids in grams.values():
+        for a in ids:
+            for b in ids:
+                if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    linked[b] = min(a, linked.get(b, a))
+    assert got == sorted(((i, linked.get(i, i)) for i, _ in rows), key=str)
+
+
+def test_a_hub_of_very_many_pairs_is_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "SHARE", 10)
+    base = prose(9, 120)
+    rows = [(k, edited(base, k, k % 4)) for k in range(150)] + [(1000 + k, prose(400 + k, 40)) for k in range(20)]
+    got = near_copies.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, got), key=str) == jaccard_groups(rows)
