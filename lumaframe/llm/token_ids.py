@@ -28,7 +28,7 @@ LIMIT = 18
 BLOCK = 1 << 16
 STRIDE = 256
 #: Words whose ids a Python worker keeps at hand (about 150 bytes each); then it starts anew.
-CACHE = 800_000
+CACHE = 400_000
 #: Words of lower-case Latin letters that no normalizer changes.
 PLAIN = re.compile("[a-zß-öø-ÿ]+")
 #: Stands between words that are encoded together.
