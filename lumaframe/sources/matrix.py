@@ -137,7 +137,7 @@ def read_text(spark: SparkSession, text: str, views: dict[str, DataFrame] | None
     check_size(meta.get("width"), meta.get("height"), None if internal else MATRIX_PIXELS)
     if internal:
         if not views or meta.get("token") not in views:
-            raise ValueError("The copied values are no longer at hand.")
+            raise ValueError(INTERNAL_GONE)
         return views[meta["token"]]
     if len(rows) != meta["height"]:
         raise ValueError(f"There are {len(rows)} rows of data where {meta['height']} are due.")
@@ -231,7 +231,9 @@ def _numbered(spark: SparkSession, *paths: str) -> DataFrame:
     return inside.join(starts, ["image_id", "block"]).select("image_id", (F.col("start") + F.col("k")).alias("at"), F.col("value").alias("line"))
 
 
-META = "image_id string, headed boolean, width int, height int, channels array<int>, encoding string, alpha boolean, name string, type string, error string"
+# Fixed value: what is said of a text that refers to values which aren't there.
+INTERNAL_GONE = "The copied values are no longer at hand."
+META = "image_id string, headed boolean, token string, width int, height int, channels array<int>, encoding string, alpha boolean, name string, type string, error string"
 
 
 def _heads(numbered: DataFrame) -> DataFrame:
@@ -247,7 +249,9 @@ def _heads(numbered: DataFrame) -> DataFrame:
                     if row["headed"]:
                         meta, _ = header_of("\n".join(x for x in lines if x is not None))
                         if meta.get("storage") == "internal":
-                            raise ValueError("The copied values are no longer at hand.")
+                            check_size(meta.get("width"), meta.get("height"), None)
+                            row |= {"token": str(meta.get("token") or ""), "width": meta["width"], "height": meta["height"]}
+                            raise ValueError(INTERNAL_GONE)
                         check_size(meta.get("width"), meta.get("height"))
                         row |= {"width": meta["width"], "height": meta["height"], "channels": check_channels(meta.get("channels")), "encoding": check_encoding(meta.get("encoding")), "alpha": bool(meta.get("alphaWeighted")), "name": str(meta.get("name") or "copied values"), "type": str(meta.get("type") or "clipboard-values/linear")}
                     else:
@@ -285,9 +289,8 @@ def _shapes(rows: DataFrame) -> DataFrame:
     return found.groupBy("image_id").agg(F.count("*").alias("rows"), F.min("cells").alias("fewest"), F.max("cells").alias("most"), F.min("low").alias("few_numbers"), F.max("high").alias("many_numbers"), F.min("wrong").alias("wrong"))
 
 
-def _judged(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:
-    """(records, rows): META with sizes and errors filled, and the rows of data."""
-    numbered = _numbered(spark, *paths)
+def judged(numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records, rows) of the lines (image_id, at, line) of any number of texts: META with sizes and errors filled, and the rows of data."""
     heads = _heads(numbered)
     rows = _rows_of_files(numbered, heads)
     shapes = _shapes(rows).withColumnRenamed("image_id", "image")
@@ -306,21 +309,27 @@ def _judged(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:
     )
     inferred = F.when(F.col("many_numbers") > 1, F.sequence(F.lit(0), F.col("many_numbers") - 1))
     filled = {"width": F.coalesce("width", "most"), "height": F.coalesce("height", F.col("rows").cast("int")), "channels": F.when(F.col("headed"), F.col("channels")).otherwise(inferred)}
-    records = both.withColumn("error", error).withColumns({c: F.when(F.isnull("error"), v) for c, v in filled.items()})
+    records = both.withColumn("error", error).withColumns({c: F.when(F.isnull("error"), v) for c, v in filled.items()})  # sizes of texts that can't be read say nothing
     return records.select(*[c.split()[0] for c in META.split(", ")]), rows
 
 
+def lines_of(texts: DataFrame) -> DataFrame:
+    """(image_id, at, line): the lines with something in them of texts(image_id, text), numbered in each text."""
+    lines = F.filter(F.split("text", r"\r?\n"), lambda line: line.rlike(r"[^\s\uFEFF]"))
+    return texts.select("image_id", F.posexplode(lines).alias("at", "line")).select("image_id", F.col("at").cast("long").alias("at"), "line")
+
+
 def matrix_records(spark: SparkSession, *paths: str) -> DataFrame:
     """META of each text file with something in it: sizes and channels, from the header or from the shape of the rows, or why the file can't be read.
 
     channels is null where a cell is one gray number. Blank lines don't count.
     """
-    return _judged(spark, *paths)[0]
+    return judged(_numbered(spark, *paths))[0]
 
 
 def read_matrix_files(spark: SparkSession, *paths: str) -> DataFrame:
     """The pixels of all text files that can be read; matrix_records() says why others can't. Lines are numbered, shaped and read in tasks."""
-    records, rows = _judged(spark, *paths)
+    records, rows = judged(_numbered(spark, *paths))
     good = records.filter("error IS NULL").select("image_id", "channels", "encoding", "alpha")
     cells = rows.join(good, "image_id")
 
