@@ -3,8 +3,9 @@ r"""Line dedup with a log-template tree, in DataFrame operations only.
 The tree has a fixed depth: a line's leaf is its number of tokens (what stands between single spaces) and its first LEAD tokens, a token
 with a digit being the variable field <*>. Inside a leaf a line has a template for each of LEVELS: a later token stays fixed if it stands at
 its place in more than that percentage of the leaf's lines (of all documents), and is generalised to <*> otherwise; at level 0 all stay. So a
-field is found whether its values are rare or come again and again, and lines that are equal but for masked tokens always meet. Lines
-are dropped when one of their templates recurs in MIN_DOCS different documents or more and at least CONSTANT percent of its tokens are
+field is found whether its values are rare or come again and again, and lines that are equal but for masked tokens always meet. A value that nearly
+all lines of a leaf have would keep the others apart from it, so a line has a template with each one of its later places open too: lines that
+differ at one place meet whatever stands there, and more data never takes such a template away. Lines are dropped when one of their templates recurs in MIN_DOCS different documents or more and at least CONSTANT percent of its tokens are
 fixed; empty tokens don't count for that. Many lines of one document count as one.
 
 Only leaves that recur are looked into: leaf hashes are counted first, without text, and the lines of rare leaves never move. Equal lines are
@@ -74,7 +75,26 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     unsure = strong.join(often.filter(F.col("most") < MIN_DOCS).select(key), key).select(*key, "line_hash").join(pairs.select("line_hash", "doc_id"), "line_hash")
     counted = unsure.groupBy(key).agg(F.countDistinct("doc_id").alias("n")).filter(F.col("n") >= MIN_DOCS).select(key)
     recurring = often.filter(F.col("most") >= MIN_DOCS).select(key).unionByName(counted)
-    return materialize(strong.join(recurring, key).select("line_hash").distinct(), "template-recurring")
+    found = strong.join(recurring, key).select("line_hash")
+    return materialize(found.unionByName(_one_place_open(words, pairs)).distinct(), "template-recurring")
+
+
+def _one_place_open(words: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(line_hash) of the lines of words(leaf, line_hash, weight, words) with a recurring template of which one later place is open."""
+    known = lambda w: ~w.isin("", "<*>")
+    later = F.filter(F.transform(F.slice("words", LEAD + 1, 1 << 30), lambda w, k: F.when(known(w), F.struct(k.alias("place"), F.xxhash64("leaf", k, w).alias("field")))), lambda f: f.isNotNull())
+    lead = F.size(F.filter(F.slice("words", 1, LEAD), known))
+    sized = words.select("leaf", "line_hash", "weight", later.alias("later"), lead.alias("lead"), F.size(F.array_remove("words", "")).alias("n_words"))
+    strong = sized.withColumn("fixed", F.col("lead") + F.size("later") - 1).filter((F.size("later") > 0) & (100 * F.col("fixed") >= CONSTANT * F.col("n_words")))
+    whole = F.aggregate("later", F.lit(0).cast("long"), lambda x, f: x.bitwiseXOR(f["field"]))
+    keys = F.transform("later", lambda f: F.xxhash64("leaf", f["place"], F.col("whole").bitwiseXOR(f["field"]), "fixed"))
+    lines = materialize(strong.withColumn("whole", whole).select("line_hash", "weight", F.explode(keys).alias("template")), "template-open")
+    often = lines.groupBy("template").agg(F.sum("weight").alias("n"), F.max("weight").alias("most")).filter(F.col("n") >= MIN_DOCS)
+    often = materialize(often, "template-open-often")
+    unsure = lines.join(often.filter(F.col("most") < MIN_DOCS).select("template"), "template").join(pairs.select("line_hash", "doc_id"), "line_hash")
+    counted = unsure.groupBy("template").agg(F.countDistinct("doc_id").alias("n")).filter(F.col("n") >= MIN_DOCS).select("template")
+    recurring = often.filter(F.col("most") >= MIN_DOCS).select("template").unionByName(counted)
+    return lines.join(recurring, "template").select("line_hash")
 
 
 def drop_templates(docs: DataFrame) -> DataFrame:
@@ -114,7 +134,10 @@ kept AS (SELECT p.line, level, string_agg(p.place || ':' || p.word, ' ' ORDER BY
 template AS (SELECT l.line, n, lead, v.level, CASE v.level WHEN 0 THEN array_to_string(w, ' ') ELSE coalesce(rest, '') END AS rest,
     CASE v.level WHEN 0 THEN len(list_filter(w, lambda x: x NOT IN ('', '<*>'))) ELSE len(list_filter(lead, lambda x: x NOT IN ('', '<*>'))) + coalesce(n_rest, 0) END AS fixed, full_words
   FROM leaved l CROSS JOIN levels v LEFT JOIN kept k ON k.line = l.line AND k.level = v.level),
-strong AS (SELECT * FROM template WHERE 100 * fixed >= {CONSTANT} * full_words),
+items AS (SELECT line, list(place || ':' || word ORDER BY place) AS items FROM places WHERE word NOT IN ('', '<*>') GROUP BY line),
+open AS (SELECT l.line, l.n, l.lead, 100 + place AS level, array_to_string(list_filter(items, lambda x: x <> place || ':' || word), ' ') AS rest, len(list_filter(l.lead, lambda x: x NOT IN ('', '<*>'))) + len(items) - 1 AS fixed, full_words
+  FROM leaved l JOIN items USING (line) JOIN places p ON p.line = l.line WHERE word NOT IN ('', '<*>')),
+strong AS (SELECT * FROM (SELECT * FROM template UNION ALL SELECT * FROM open) WHERE 100 * fixed >= {CONSTANT} * full_words),
 often AS (SELECT n, lead, level, rest FROM strong JOIN lines USING (line) GROUP BY ALL HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
 recurring AS (SELECT DISTINCT line FROM strong JOIN often USING (n, lead, level, rest))
 SELECT doc_id, count(*) AS n_lines, count(r.line) AS n_dropped, sha256(coalesce(string_agg(l.line, chr(10) ORDER BY pos) FILTER (WHERE r.line IS NULL), '')) AS kept_sha256

@@ -2,6 +2,8 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lumaframe.llm import line_templates
@@ -72,6 +74,13 @@ def brute(rows):
                 template = (share, tuple("<*>" if x == "" and k >= lead else x for k, x in enumerate(kept)))
                 owners[template] |= documents[line] - {None}
                 members[template].add(line)
+        blank = [w[k] if k < lead or w[k] not in ("", "<*>") else "<*>" for k in range(len(w))]
+        for k in range(lead, len(w)):
+            kept = [*blank[:k], "<*>", *blank[k + 1 :]]
+            if blank[k] != "<*>" and 100 * sum(x not in ("", "<*>") for x in kept) >= line_templates.CONSTANT * sum(x != "" for x in w):
+                template = ("open", k, tuple(kept))
+                owners[template] |= documents[line] - {None}
+                members[template].add(line)
     return {line for t, ids in owners.items() if len(ids) >= line_templates.MIN_DOCS for line in members[t]}
 
 
@@ -106,6 +115,28 @@ def test_more_values_of_a_field_find_no_fewer_templates(spark):
         assert {k for _, k in dropped(spark, fields(n, copies))} == {1}
 
 
+def test_a_hot_value_hides_no_template(spark):
+    states = ["ok", "failed", "late", "slow", "lost"]
+    rows = [(k, f"the nightly job ended in state {w}") for k, w in enumerate(states)]
+    assert dropped(spark, rows) == {(k, 1) for k in range(5)}
+    for hot in (1, 20, 100, 400):
+        more = rows + [(100 + k, "the nightly job ended in state ok") for k in range(hot)]
+        assert {n for _, n in dropped(spark, more)} == {1}, hot
+    assert brute(more) == {t for _, t in more}
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.sampled_from("abcdef"), min_size=5, max_size=12), st.lists(st.sampled_from("abcdefg"), max_size=30), st.integers(0, 3))
+def test_lines_that_go_in_a_part_go_in_the_whole(spark, few, more, place):
+    """One field, any values, any numbers of them, and other lines in the same leaf."""
+    words = "then all of them went to bed early".split()
+    line = lambda v: " ".join([*words[: 3 + place], f"v{v}", *words[4 + place :]])
+    part = [(k, line(v)) for k, v in enumerate(few)]
+    whole = part + [(1000 + k, line(v)) for k, v in enumerate(more)] + [(2000 + k, f"then all of {v} else") for k, v in enumerate("xyz")]
+    small = {i for i, n in dropped(spark, part) if n}
+    assert small <= {i for i, n in dropped(spark, whole) if n} and len(small) == len(few)
+
+
 def test_two_templates_of_a_leaf(spark):
     lines = ["by the way we close the doors at night", "by the way she paints small boats of wood"]
     assert {k for _, k in dropped(spark, [(k, lines[k % 2]) for k in range(20)])} == {1}
