@@ -75,6 +75,7 @@ TEXTS = {
         if (c.r > 1.0) { c = c / (1.0 + c); } else if (c.b < 0.0) { c.b = abs(c.b); c.rg = c.gr; }
         else c = mix(c, vec3(luminance(c)), step(0.5, inputColor.a));
         outputColor = vec4(linearToSrgb(c), clamp(inputColor.a, 0.25, 0.75));""",
+    "texel_size": "outputColor = vec4(texelSize() * gl_FragCoord.xy, resolution.x / resolution.y, 1.0);",
     "half_size": "outputColor = (sampleInput(uv - 0.25 / resolution) + sampleInput(uv + 0.25 / resolution)) * 0.5;",
 }
 
@@ -139,6 +140,7 @@ ended AS (SELECT image_id, y, x, any_value(r) AS r, max(rounds) AS n FROM z GROU
 SELECT image_id, y, x, {channels(r="n / 40::DOUBLE", g="CASE WHEN n = 40 THEN r ELSE 0 END", b="n % 3", a="1")} FROM ended""")
 _SRGB = lambda v: f"(CASE WHEN greatest({v}, 0) < 0.0031308 THEN greatest({v}, 0) * 12.92::DOUBLE ELSE 1.055::DOUBLE * pow(greatest({v}, 0), 1 / 2.4::DOUBLE) - 0.055::DOUBLE END)"
 _FLAT = lambda c, other: f"(CASE WHEN r > 1 THEN {c}::DOUBLE / (1 + {c}::DOUBLE) WHEN b < 0 THEN {other}::DOUBLE WHEN a >= 0.5 THEN {slum()} ELSE {c}::DOUBLE END)"
+add("texel_size", _alone(channels(r="u", g="v", b="w / h", a="1")))
 add("branches", _alone(channels(r=_SRGB(_FLAT("r", "g")), g=_SRGB(_FLAT("g", "r")), b=_SRGB(_FLAT("b", "-b")), a="least(greatest(a, 0.25), 0.75)")))
 #: Each image of 50 x 10 pixels becomes one of 25 x 20.
 QUERIES["shader_resized_tiles"] = lambda s, d: rounded(shade(tiles(s, d), TEXTS["half_size"], (25, 20)))

@@ -16,7 +16,7 @@ from lumaframe.operators.display import file_bytes
 from lumaframe.operators.pick import pixel_text
 from lumaframe.operators.select import weighted
 from lumaframe.schema import CHANNELS, Rect, channels_of, check_file_size, sizes
-from lumaframe.sources import hdr, png
+from lumaframe.sources import hdr, jpeg, png
 
 #: Files that Spark's image source reads.
 RASTER, RASTER_GLOB = r"(?i)\.(jpe?g|gif|bmp)$", "*.{jpg,jpeg,gif,bmp,JPG,JPEG,GIF,BMP}"
@@ -24,6 +24,8 @@ RASTER, RASTER_GLOB = r"(?i)\.(jpe?g|gif|bmp)$", "*.{jpg,jpeg,gif,bmp,JPG,JPEG,G
 STRIP = 256
 DECODED = "image_id string, type string, source_format string, width int, height int, error string, y0 int, strip binary"
 FILES = "image_id string, content binary"
+# Fixed value: the quality at which pictures are saved.
+JPEG_QUALITY = 0.95
 EXR_KINDS = {"exr": hdr.NONE, "exr-zip": hdr.ZIP, "exr-piz": hdr.PIZ, "exr-pxr24": hdr.PXR24}
 
 
@@ -159,19 +161,24 @@ def read_raster(spark: SparkSession, *paths: str) -> DataFrame:
     return _raster(spark, *paths).filter("error IS NULL").drop("error").mapInPandas(explode, PIXEL_DDL)
 
 
+def _jpeg(rgba: np.ndarray) -> bytes:
+    """JPEG has no alpha: pixels stand on black. The quality is that of saved pictures."""
+    return jpeg.encode(np.rint(rgba[..., :3] * (rgba[..., 3:] / 255)).astype(np.uint8), JPEG_QUALITY)
+
+
 def encoded_files(pixels: DataFrame, kind: str, source_format: str = "values") -> DataFrame:
-    """(image_id, content) of each image as png, hdr, exr or exr with a compression's name (exr-zip, exr-piz, exr-pxr24). One image is one group, as it is one file.
+    """(image_id, content) of each image as png, jpeg, hdr, exr or exr with a compression's name (exr-zip, exr-piz, exr-pxr24). One image is one group, as it is one file.
 
     Sizes are looked up before anything is gathered: an image of more than PROGRAM_PIXELS raises.
     """
     if kind.partition("-")[0] not in save_formats(source_format):
         raise ValueError(f"{source_format} images can't be saved as {kind}.")
-    if kind not in ("png", "hdr", *EXR_KINDS):
+    if kind not in ("png", "jpeg", "hdr", *EXR_KINDS):
         raise ValueError(f"There is no encoder for {kind}.")
     largest = sizes(pixels).orderBy(F.desc(F.col("width").cast("long") * F.col("height"))).first()
     if largest:
         check_file_size(largest["width"], largest["height"])
-    if kind == "png":
+    if kind in ("png", "jpeg"):
         values = file_bytes(pixels)
     elif kind == "hdr":
         values = pixels.select("image_id", "y", "x", color.rgbe().alias("v")).select("image_id", "y", "x", "v.r", "v.g", "v.b", F.col("v.e").alias("a"))
@@ -180,9 +187,9 @@ def encoded_files(pixels: DataFrame, kind: str, source_format: str = "values") -
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         h, w = int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1
-        image = np.zeros((h, w, 4), np.uint8 if kind in ("png", "hdr") else np.float32)
+        image = np.zeros((h, w, 4), np.float32 if kind in EXR_KINDS else np.uint8)
         image[pdf["y"], pdf["x"]] = pdf[list(CHANNELS)].to_numpy(image.dtype)
-        content = {"png": png.encode, "hdr": hdr.encode_rgbe}.get(kind, lambda v: hdr.encode_exr(v, EXR_KINDS[kind]))(image)
+        content = {"png": png.encode, "jpeg": _jpeg, "hdr": hdr.encode_rgbe}.get(kind, lambda v: hdr.encode_exr(v, EXR_KINDS[kind]))(image)
         return pd.DataFrame({"image_id": [pdf["image_id"].iloc[0]], "content": [content]})
 
     return values.groupBy("image_id").applyInPandas(run, FILES)
