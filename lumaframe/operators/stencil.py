@@ -65,20 +65,20 @@ def sampled(points: DataFrame, pixels: DataFrame, width: int, height: int) -> Da
     then given back as often as they were asked for.
     """
     fx, fy = (F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(c))) * n - 0.5 for c, n in (("u", width), ("v", height)))
-    keys = [c for c in points.columns]
-    asked = points.withColumns({"__fx": fx, "__fy": fy})
+    # The caller's columns go along in a struct, so that none of their names clashes with a helper's.
+    asked = points.select(F.struct(*[F.col(f"`{c}`") for c in points.columns]).alias("point"), fx.alias("fx"), fy.alias("fy"))
     corner = []
     for dy in (0, 1):
         for dx in (0, 1):
-            tx, ty = (F.col(c) - F.floor(c) for c in ("__fx", "__fy"))
+            tx, ty = (F.col(c) - F.floor(c) for c in ("fx", "fy"))
             at = lambda c, k, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor(c) + k)).cast("int")
-            corner.append(F.struct(at("__fy", dy, height).alias("y"), at("__fx", dx, width).alias("x"), ((tx if dx else 1 - tx) * (ty if dy else 1 - ty)).alias("w")))
-    asked = asked.withColumn("__c", F.explode(F.array(*corner))).select(*keys, F.col("__c.y").alias("__y"), F.col("__c.x").alias("__x"), F.col("__c.w").alias("__w"))
-    source = pixels.select(F.col("image_id").alias("__id"), F.col("y").alias("__py"), F.col("x").alias("__px"), *[d(c).alias(f"__{c}") for c in CHANNELS])
-    found = asked.join(source, (F.col("image_id") == F.col("__id")) & (F.col("__y") == F.col("__py")) & (F.col("__x") == F.col("__px")))
-    times = (F.count("*") / 4).alias("__n")
-    sums = found.groupBy(*keys).agg(*[(F.sum(F.col("__w") * F.col(f"__{c}")) / (F.count("*") / 4)).alias(c) for c in CHANNELS], times)
-    return sums.select(*keys, *CHANNELS, F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))).alias("__k")).drop("__k")
+            corner.append(F.struct(at("fy", dy, height).alias("y"), at("fx", dx, width).alias("x"), ((tx if dx else 1 - tx) * (ty if dy else 1 - ty)).alias("w")))
+    asked = asked.select("point", F.explode(F.array(*corner)).alias("c")).select("point", "c.y", "c.x", "c.w")
+    source = pixels.select(F.col("image_id").alias("id"), F.col("y").alias("py"), F.col("x").alias("px"), *[d(c).alias(c) for c in CHANNELS])
+    found = asked.join(source, (F.col("point.image_id") == F.col("id")) & (F.col("y") == F.col("py")) & (F.col("x") == F.col("px")))
+    times = F.count("*") / 4
+    sums = found.groupBy("point").agg(*[(F.sum(F.col("w") * F.col(c)) / times).alias(c) for c in CHANNELS], times.cast("int").alias("times"))
+    return sums.select("point", *CHANNELS, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("k")).select("point.*", *CHANNELS)
 
 
 def resampled(pixels: DataFrame, width: int, height: int, to_width: int, to_height: int) -> DataFrame:

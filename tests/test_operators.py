@@ -138,3 +138,11 @@ def test_a_program_measures_images_without_a_window(spark):
     assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
     rows = out.collect()
     assert len(rows) == 22 and all(abs(r["r"] - r["x"] - 0.5) < 1e-5 and r["g"] == r["y"] + 0.5 and r["a"] == 2 and r["b"] == {"p": 4, "q": 2, None: 5}[r["image_id"]] for r in rows)
+
+
+def test_sampled_points_keep_any_columns(spark):
+    v = np.random.default_rng(0).random((3, 4, 4)).astype(np.float32)
+    points = spark.createDataFrame([("a", 0.5, 0.5, k) for k in (1, 1, 2)], "image_id string, u double, v double, fx int").withColumns({c: F.lit(7) for c in ("fy", "c", "y", "x", "w", "id", "py", "point", "times", "k", "__fx", "__w")})
+    got = stencil.sampled(points, image(spark, v, "a"), 4, 3)
+    assert got.columns == [*points.columns, "r", "g", "b", "a"] and got.count() == 3
+    assert {r["fx"] for r in got.collect()} == {1, 2} and got.first()["r"] == pytest.approx(float(v[1, 1:3, 0].mean()))
