@@ -1,13 +1,14 @@
 """Near copies by the Jaccard similarity of word shingles, exactly: two texts are linked if their sets of shingles have at least `similarity` in common.
 
 Candidates come from prefix filtering. All shingles stand in one global order, and of a set of n only the first n - ceil(similarity * n) + 1
-are its prefix: two sets that are similar enough share a shingle of their prefixes, whatever the order is. Shingles that a bounded sample or the
-exact counts of all prefixes show to be frequent come last, which keeps boilerplate out of prefixes; that shapes the order, never the result. How many shingles
+are its prefix: two sets that are similar enough share a shingle of their prefixes, whatever the order is. Shingles that a bounded sample
+shows to be frequent come last, which keeps boilerplate out of prefixes; the sample shapes the order, never the result. How many shingles
 two prefixes share bounds the overlap of the sets, and only pairs that the bound leaves are compared as whole sets.
 
 A large group of near copies never meets in pairs: first each set is compared with a hub, the one of all sets with a prefix shingle that
 shares most of its own (an original among its copies), then with hubs of random orders, and after that only sets that this didn't
-connect are paired. Hubs are found by aggregation and joined back, so that no prefix shingle gathers its sets in one task.
+connect are paired. If a shingle would still pair more than HOT sets, by exact count, then it is a phrase of texts that aren't alike, which the
+sample missed: it moves behind the others, prefixes are cut anew, and the search starts again with the links it has. Hubs are found by aggregation and joined back, so that no prefix shingle gathers its sets in one task.
 Sets are known by a 64-bit hash; equal ones are one node.
 """
 
@@ -30,8 +31,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 SAMPLE, FREQUENT = 4000, 3
 #: Rounds with hubs of a random order.
 ROUNDS = 1
-#: Sets that have a shingle in their prefixes, above which it moves behind the others; how often prefixes are cut anew for that; and
-#: shingles that are moved so at most (8 bytes each, sent to tasks), those of most sets first. What stays costs pairs, never links.
+#: Sets that a shingle may still pair after the hubs; with more it moves behind all others, and prefixes are cut anew, so often at most;
+#: and shingles that are moved so at most (8 bytes each, sent to tasks), those of most sets first. What stays costs pairs, never links.
 HOT, RECUTS, MOST_LATE = 256, 2, 4_000_000
 #: Texts that are compared with one copy of a hub's text.
 SHARE = 512
@@ -78,29 +79,11 @@ def _frequent(docs: DataFrame, size: int) -> np.ndarray:
     return np.sort(rows["h"].to_numpy(np.int64).view(np.uint64))
 
 
-def _hot(sets: DataFrame) -> np.ndarray:
-    """The shingles that stand in the prefixes of more than HOT sets, sorted."""
-    counted = sets.select("key", F.explode("prefix").alias("h")).distinct().groupBy("h").count().filter(F.col("count") > HOT)
-    rows = counted.orderBy(F.desc("count"), "h").limit(MOST_LATE).select("h").toPandas()
-    return np.sort(rows["h"].to_numpy(np.int64).view(np.uint64))
-
-
-def _cut(docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """_sets() in an order that keeps shingles of many sets out of prefixes: those of a bounded sample, then all that exact counts show.
-
-    Any one order of all shingles gives the same links. A shingle that a group of near copies shares stays, as all others of its sets are as frequent.
-    """
-    late = _frequent(docs, size)
-    sets = materialize(_sets(docs, late, size, similarity), "near-sets")
-    for _ in range(RECUTS):
-        more = np.setdiff1d(_hot(sets), late, assume_unique=True)
-        if not len(more) or len(late) + len(more) > MOST_LATE:
-            break
-        late = np.union1d(late, more)
-        new = materialize(_sets(docs, late, size, similarity), "near-sets")
-        discard(sets)
-        sets = new
-    return sets
+def _hot(rows: DataFrame) -> np.ndarray:
+    """The shingles of rows(h) that stand on more than HOT rows, sorted."""
+    counted = rows.groupBy("h").count().filter(F.col("count") > HOT)
+    found = counted.orderBy(F.desc("count"), "h").limit(MOST_LATE).select("h").toPandas()
+    return np.sort(found["h"].to_numpy(np.int64).view(np.uint64))
 
 
 def _sets(docs: DataFrame, late: np.ndarray, size: int, similarity: float) -> DataFrame:
@@ -165,8 +148,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float)
     return links
 
 
-def near_links(nodes: DataFrame, sets: DataFrame, docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """Edges (u, v) that connect all nodes(key, text_hash) whose sets are similar enough; sets(key, n, prefix) may repeat a key."""
+def near_links(nodes: DataFrame, sets: DataFrame, docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, last: bool = True) -> tuple[DataFrame, np.ndarray]:
+    """Edges (u, v) that connect all nodes(key, text_hash) whose sets are similar enough; sets(key, n, prefix) may repeat a key.
+
+    Unless it is the last time, shingles that would pair too many sets are given back beside the links found so far, and nothing is paired.
+    """
     every = sets.select("key", "n", F.explode("prefix").alias("h"))
     # Most shingles of prefixes stand in one set only; the others are few rows from here on.
     shared = materialize(every.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("h"), "near-shared")
@@ -197,13 +183,18 @@ def near_links(nodes: DataFrame, sets: DataFrame, docs: DataFrame, size: int = S
         joined = materialize(rooted.join(mixed, "h"), "near-apart")
         rows = joined.drop("root")
         tables.append(joined)
+    more = np.zeros(0, np.uint64) if last else _hot(joined)
+    if len(more):
+        for done in tables:
+            discard(done)
+        return links, more
     apart = joined.select("h", F.col("key").alias("u"), "n", "root")
     other = apart.toDF("h", "v", "m", "other")
     met = apart.join(other, "h").filter(f"u < v AND root <> other AND {close}").groupBy("u", "v", "n", "m").agg(F.count("*").alias("common"))
     links = links.unionByName(_verified(met.filter(enough).select("u", "v"), texts, size, similarity))
     for done in tables:
         discard(done)
-    return links
+    return links, more
 
 
 def near_groups(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -212,12 +203,19 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILA
     Null and empty texts and others without words are copies of each other; a long text counts whole. Rows that repeat a doc_id each
     give a row, an empty table gives none, and other columns are ignored.
     """
-    sets = _cut(docs, size, similarity)
+    late, links = _frequent(docs, size), None
+    sets = materialize(_sets(docs, late, size, similarity), "near-sets")
     # Rows of one key have one set; their texts may differ in case, spaces and repeats.
     nodes = materialize(sets.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash")), "near-nodes")
     owners = materialize(sets.select("doc_id", "key"), "near-owners")
-    links = near_links(nodes, sets, docs, size, similarity)
-    discard(sets)
+    for k in range(RECUTS + 1):
+        found, more = near_links(nodes, sets, docs, size, similarity, k == RECUTS)
+        links = found if links is None else links.unionByName(found)
+        discard(sets)
+        if not len(more):
+            break
+        late = np.union1d(late, more)
+        sets = materialize(_sets(docs, late, size, similarity), "near-sets")
     roots = components(links).select(F.col("u").alias("key"), F.col("v").alias("root"))
     rooted = nodes.select("key", "least").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "component_id")
