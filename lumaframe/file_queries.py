@@ -13,7 +13,7 @@ from lumaframe.queries import EVENTS, TILES, WIDTH, events, rounded, s6, tiles
 from lumaframe.queries import ORACLE_SQL as RASTER_SQL
 from lumaframe.schema import CHANNELS, Rect
 from lumaframe.sources import files, matrix
-from lumaframe.sources.datasource import register, save_selection_csv
+from lumaframe.sources.datasource import register, save_parts, save_selection_csv
 from lumaframe.storage import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,7 +27,10 @@ def written(pixels: DataFrame, kind: str, suffix: str) -> str:
     spark = pixels.sparkSession
     register(spark)
     folder = scratch_path(spark, "images")
-    files.encoded_files(pixels, kind).write.format("image-files").option("suffix", suffix).mode("append").save(folder)
+    if kind in files.EXR_KINDS:
+        save_parts(files.exr_parts(pixels, kind), folder, suffix)
+    else:
+        files.encoded_files(pixels, kind).write.format("image-files").option("suffix", suffix).mode("append").save(folder)
     return folder
 
 

@@ -2,7 +2,8 @@
 
     register(spark)
     pixels = spark.read.format("pixels").load(folder)               # image_id, y, x, r, g, b, a
-    files.encoded_files(pixels, "exr-zip").write.format("image-files").option("suffix", ".exr").mode("append").save(folder)
+    files.encoded_files(pixels, "png").write.format("image-files").option("suffix", ".png").mode("append").save(folder)
+    save_parts(files.exr_parts(pixels, "exr-zip"), folder, ".exr")
     lines.write.format("ordered-lines").option("header", "x,y").mode("append").save(folder)
 
 A large OpenEXR file is read by several tasks, each with the blocks of lines or rows of tiles that its offset table names, and a large Radiance file of flat
@@ -16,7 +17,8 @@ import posixpath
 import struct
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +47,10 @@ KINDS = {".exr": "exr", ".hdr": "hdr", ".pic": "hdr", ".png": "raster"}
 
 @dataclass
 class Piece(InputPartition):
-    """Files of a task: (path, bytes, first block, end), with no end where the file is read whole."""
+    """Files of a task: (path, bytes, first block, end), with no end where the file is read whole; the layout of a part of an OpenEXR file has the offsets of its blocks alone."""
 
     files: list[tuple[str, int, int, int | None]]
+    layout: hdr.ExrLayout | None = None
 
 
 def _kind(path: str) -> str | None:
@@ -129,6 +132,7 @@ class PixelReader(DataSourceReader):
     def _blocks(self, path: str, size: int, kind: str) -> list[Piece]:
         """Runs of blocks of about `split` bytes that have lines that are asked for."""
         system, place = opened(path)
+        layout = None
         with system.open_input_file(place) as file:
             if kind == "exr":
                 layout = _layout(file, size)
@@ -140,27 +144,30 @@ class PixelReader(DataSourceReader):
                 n, lines, height = flat[1], 1, flat[1]
         first, end = min(self.low, height) // lines, -(-min(self.high, height) // lines)
         step = max(1, int(n * self.split / size))
-        return [Piece([(path, size, k, min(k + step, end))]) for k in range(first, end, step)]
+        # Tasks get the offsets of their blocks, so that the table is read once and not by each of them.
+        own = lambda k: layout and replace(layout, offsets=layout.offsets[k * layout.across : min(k + step, end) * layout.across])
+        return [Piece([(path, size, k, min(k + step, end))], own(k)) for k in range(first, end, step)]
 
     def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
         for path, size, first, end in partition.files:
             try:
-                yield from self._file(path, size, first, end)
+                yield from self._file(path, size, first, end, partition.layout)
             except (ValueError, IndexError, KeyError, struct.error) as e:
                 if not self.skips:
                     raise ValueError(f"{path}: {e}") from e
 
-    def _file(self, path: str, size: int, first: int, end: int | None) -> Iterator[pa.RecordBatch]:
+    def _file(self, path: str, size: int, first: int, end: int | None, layout: hdr.ExrLayout | None = None) -> Iterator[pa.RecordBatch]:
         system, place = opened(path)
         kind = _kind(path)
         with system.open_input_file(place) as file:
             if kind == "exr":
-                layout = _layout(file, size)
-                n, lines = len(layout.offsets) // layout.across, layout.lines
-                first, end = max(first, self.low // lines), min(n if end is None else end, -(-self.high // lines))
+                if layout is None:
+                    layout = _layout(file, size)
+                    n, lines = len(layout.offsets) // layout.across, layout.lines
+                    first, end = max(first, self.low // lines), min(n if end is None else end, -(-self.high // lines))
+                    layout = replace(layout, offsets=layout.offsets[first * layout.across : end * layout.across])
                 # Blocks needn't lie in the order of their lines, and each says how long it is.
-                for k in range(first * layout.across, end * layout.across):
-                    at = layout.offsets[k]
+                for at in layout.offsets:
                     file.seek(at)
                     head = file.read(layout.head)
                     if len(head) < layout.head or at < layout.size:
@@ -265,19 +272,37 @@ class _TwoPhase(DataSourceWriter):
 class FileWriter(_TwoPhase):
     """A row (name, content) is a file."""
 
+    def name_of(self, image_id: str | None) -> str:
+        name = f"{image_id}{self.options.get('suffix', '')}"
+        if not image_id or "/" in name or name.startswith(("_", ".")):
+            raise ValueError(f"{name!r} can't be the name of a file.")
+        return name
+
     def write(self, rows) -> Written:
         system, folder, _ = self.attempt()
         out = []
         for k, row in enumerate(rows):
-            name = f"{row['image_id']}{self.options.get('suffix', '')}"
-            if not row["image_id"] or "/" in name or name.startswith(("_", ".")):
-                raise ValueError(f"{name!r} can't be the name of a file.")
+            name = self.name_of(row["image_id"])
             with system.open_output_stream(f"{folder}/{k}") as file:
                 file.write(bytes(row["content"]))
             out.append((f"{folder}/{k}", name))
         return Written(out)
 
 
+class PartWriter(FileWriter):
+    """Rows (name, part, content) that follow each other under one name are a file; a task holds no more of it than a batch of rows."""
+
+    def write(self, rows) -> Written:
+        system, folder, _ = self.attempt()
+        out = []
+        for k, (image_id, parts) in enumerate(groupby(rows, key=lambda row: row["image_id"])):
+            out.append((f"{folder}/{k}", self.name_of(image_id)))
+            with system.open_output_stream(f"{folder}/{k}") as file:
+                for row in parts:
+                    file.write(bytes(row["content"]))
+        return Written(out)
+
+
 class LineWriter(_TwoPhase):
     """Lines in the order of partitions: part files whose bytes one after another are one text, with the header in the first."""
 
@@ -313,6 +338,20 @@ class FileSink(DataSource):
         return FileWriter(dict(self.options), overwrite)
 
 
+class PartSink(DataSource):
+    """Options: path, suffix (of all names). Rows: image_id string, part int, content binary, as save_parts() deals them."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "image-parts"
+
+    def schema(self) -> str:
+        return "image_id string, part int, content binary"
+
+    def writer(self, schema, overwrite: bool) -> PartWriter:
+        return PartWriter(dict(self.options), overwrite)
+
+
 class LineSink(DataSource):
     """Options: path, header (a line), lineend. Rows: value string, dealt by range and sorted within partitions."""
 
@@ -328,12 +367,19 @@ class LineSink(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Make the formats pixels, image-files and ordered-lines known to a session, and filters reach them."""
+    """Make the formats pixels, image-files, image-parts and ordered-lines known to a session, and filters reach them."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    for source in (PixelSource, FileSink, LineSink):
+    for source in (PixelSource, FileSink, PartSink, LineSink):
         spark.dataSource.register(source)
 
 
+def save_parts(parts: DataFrame, path: str, suffix: str) -> None:
+    """parts(image_id, part, content) as files of their parts in order. One task writes a file, part by part."""
+    register(parts.sparkSession)
+    dealt = parts.repartition("image_id").sortWithinPartitions("image_id", "part")
+    dealt.write.format("image-parts").option("suffix", suffix).mode("append").save(path)
+
+
 def save_selection_csv(rows: DataFrame, path: str) -> None:
     """rows(x, y, mode, display, channels...) as CSV text in ordered parts, by as many tasks as the rows take: sorted by y and x, with one header, quotes doubled."""
     register(rows.sparkSession)

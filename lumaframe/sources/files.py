@@ -17,6 +17,7 @@ from lumaframe.operators.pick import pixel_text
 from lumaframe.operators.select import weighted
 from lumaframe.schema import CHANNELS, Rect, channels_of, check_file_size, sizes
 from lumaframe.sources import hdr, jpeg, png
+from lumaframe.storage import scratch_path
 
 #: Files that Spark's image source reads.
 RASTER, RASTER_GLOB = r"(?i)\.(jpe?g|gif|bmp)$", "*.{jpg,jpeg,gif,bmp,JPG,JPEG,GIF,BMP}"
@@ -24,8 +25,11 @@ RASTER, RASTER_GLOB = r"(?i)\.(jpe?g|gif|bmp)$", "*.{jpg,jpeg,gif,bmp,JPG,JPEG,G
 STRIP = 256
 DECODED = "image_id string, type string, source_format string, width int, height int, error string, y0 int, strip binary"
 FILES = "image_id string, content binary"
+PARTS = "image_id string, part int, content binary"
 # Fixed value: the quality at which pictures are saved.
 JPEG_QUALITY = 0.95
+#: Pixels of a part of a file, about; at least a block of lines.
+PART_PIXELS = 1 << 17
 EXR_KINDS = {"exr": hdr.NONE, "exr-zip": hdr.ZIP, "exr-piz": hdr.PIZ, "exr-pxr24": hdr.PXR24}
 
 
@@ -169,7 +173,7 @@ def _jpeg(rgba: np.ndarray) -> bytes:
 def encoded_files(pixels: DataFrame, kind: str, source_format: str = "values") -> DataFrame:
     """(image_id, content) of each image as png, jpeg, hdr, exr or exr with a compression's name (exr-zip, exr-piz, exr-pxr24). One image is one group, as it is one file.
 
-    Sizes are looked up before anything is gathered: an image of more than PROGRAM_PIXELS raises.
+    Sizes are looked up before anything is gathered: an image of more than PROGRAM_PIXELS raises; exr_parts() has no such limit.
     """
     if kind.partition("-")[0] not in save_formats(source_format):
         raise ValueError(f"{source_format} images can't be saved as {kind}.")
@@ -195,6 +199,43 @@ def encoded_files(pixels: DataFrame, kind: str, source_format: str = "values") -
     return values.groupBy("image_id").applyInPandas(run, FILES)
 
 
+def exr_parts(pixels: DataFrame, kind: str = "exr") -> DataFrame:
+    """(image_id, part, content) of each image as an OpenEXR file, for the image-parts sink: the header is part -1, and runs of lines are encoded by as many tasks as there are.
+
+    Only what the header says of an image is gathered, some bytes for each block of lines. Lines and pixels that are missing are 0.
+    """
+    compression = EXR_KINDS[kind]
+    widest = sizes(pixels).agg(F.max("width")).first()[0] or 1
+    block = hdr.BLOCK_LINES[compression]
+    lines = block * max(1, PART_PIXELS // widest // block)
+    # A row for each part says how large the image is, and makes parts without a pixel.
+    zero = [F.lit(0.0).cast("float").alias(c) for c in CHANNELS]
+    parts = F.explode(F.sequence(F.lit(0), F.expr(f"CAST((height - 1) div {lines} AS int)")))
+    blank = sizes(pixels).select("image_id", parts.alias("part"), F.lit(-1).alias("y"), F.lit(-1).alias("x"), *zero, "width", "height")
+    rows = pixels.select("image_id", F.expr(f"CAST(y div {lines} AS int)").alias("part"), "y", "x", *CHANNELS, F.lit(0).alias("width"), F.lit(0).alias("height")).unionByName(blank)
+
+    def encode(pdf: pd.DataFrame) -> pd.DataFrame:
+        part, width, height = int(pdf["part"].iloc[0]), int(pdf["width"].max()), int(pdf["height"].max())
+        top, own = part * lines, pdf[pdf["width"] == 0]
+        image = np.zeros((min(lines, height - top), width, 4), np.float32)
+        image[own["y"] - top, own["x"]] = own[list(CHANNELS)].to_numpy(np.float32)
+        blocks = hdr.exr_blocks(image, compression, top=top)
+        return pd.DataFrame({"image_id": [pdf["image_id"].iloc[0]], "part": [part], "width": [width], "height": [height], "sizes": [[len(b) for b in blocks]], "content": [b"".join(blocks)]})
+
+    spark, path = pixels.sparkSession, scratch_path(pixels.sparkSession, "exr-parts")
+    schema = "image_id string, part int, width int, height int, sizes array<int>, content binary"
+    rows.groupBy("image_id", "part").applyInPandas(encode, schema).write.parquet(path)
+    encoded = spark.read.schema(schema).parquet(path)
+    images = encoded.groupBy("image_id").agg(F.max("width").alias("width"), F.max("height").alias("height"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "sizes"))), lambda p: p["sizes"])).alias("sizes"))
+
+    def heads(batches):
+        for pdf in batches:
+            content = [hdr.exr_head(w, h, found, compression) for w, h, found in zip(pdf["width"], pdf["height"], pdf["sizes"], strict=True)]
+            yield pd.DataFrame({"image_id": pdf["image_id"], "part": np.full(len(pdf), -1, np.int32), "content": content})
+
+    return images.mapInPandas(heads, PARTS).unionByName(encoded.select("image_id", "part", "content"))
+
+
 def selection_rows(pixels: DataFrame, rect: Rect, mode: str = "rgba", encoding: str = "linear") -> DataFrame:
     """(x, y, mode, display, channels...) of the pixels in rect, which count from the image's corner; values as text."""
     cells = [pixel_text(color.encode(weighted(mode, c), encoding, c == "a"), encoding).alias(c) for c in channels_of(mode)]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumaframe import file_queries
 from lumaframe.sources import files, hdr, png
-from lumaframe.sources.datasource import PixelReader, register, save_selection_csv
+from lumaframe.sources.datasource import PixelReader, register, save_parts, save_selection_csv
 from lumaframe.storage import listed
 
 from .oracle import same
@@ -204,3 +204,21 @@ def test_only_files_that_cannot_be_opened(spark, tmp_path):
     (tmp_path / "a.jpg").write_bytes(b"none")
     assert files.read_images(spark, str(tmp_path)).count() == 0
     assert [r["name"] for r in files.image_records(spark, str(tmp_path)).collect()] == ["a.jpg"]
+
+
+@pytest.mark.parametrize("kind", sorted(files.EXR_KINDS))
+def test_a_large_image_is_encoded_in_parts(spark, tmp_path, monkeypatch, kind):
+    """Parts of 32 lines or fewer, one of them without a pixel; the file is the one that a single task would write, whatever its size."""
+    monkeypatch.setattr(files, "PART_PIXELS", 160)
+    values = np.random.default_rng(4).random((130, 5, 4)).astype(np.float32)
+    values[64:96] = 0
+    values[7, 4] = 0
+    rows = [(name, y, x, *map(float, values[y, x])) for name, height in (("long", 130), ("short", 3)) for y in range(height) for x in range(5) if values[y, x].any()]
+    parts = files.exr_parts(spark.createDataFrame(rows, "image_id string, y int, x int, r float, g float, b float, a float"), kind)
+    assert max(r["n"] for r in parts.groupBy("image_id").count().withColumnRenamed("count", "n").collect()) > 5
+    save_parts(parts, str(tmp_path / "out"), ".exr")
+    for name, height in (("long", 130), ("short", 3)):
+        assert (tmp_path / "out" / f"{name}.exr").read_bytes() == hdr.encode_exr(values[:height], files.EXR_KINDS[kind])
+    back = spark.read.format("pixels").option("split", "300").load(str(tmp_path / "out")).filter("y >= 33")
+    want = hdr.decode_exr((tmp_path / "out" / "long.exr").read_bytes())
+    assert {tuple(r)[1:] for r in back.collect()} == {(y, x, *map(float, want[y, x])) for y in range(33, 130) for x in range(5)}
