@@ -34,8 +34,9 @@ STRETCH = 1 << 20
 SENT = 200_000
 #: White space of one side of Unicode's tables and regex engines, not of the other: texts with one of these are encoded whole.
 UNCERTAIN = re.compile("[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]")
-#: Where byte-level pre-tokenizers always cut: before white space that follows something else.
-PIECE = re.compile(r"\s*\S+|\s+")
+#: Where byte-level pre-tokenizers always cut: before white space that follows something else, behind a run of ASCII letters or digits that no other letter
+#: continues, and behind a run of ASCII signs before a letter, digit or space. Not behind an apostrophe, which may begin a contraction.
+PIECE = re.compile(r"\s*(?:[A-Za-z]++(?![^\x00-\x7F])|[0-9]++(?![^\x00-\x7F])|[!-&(-/:-@\[-`{-~]++(?=[A-Za-z0-9\s]|\Z)|\S+)|\s+")
 EDGE = re.compile(r"\S(?=\s)")
 
 
@@ -58,7 +59,7 @@ class TokenCounter:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        self.encode = lambda texts: [len(x) for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.encode = lambda texts: [len(x) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         self.normalizer = tokenizer.normalizer
         self.special = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
         split = json.loads(tokenizer.to_str())["pre_tokenizer"] or {}

@@ -1,3 +1,4 @@
+import random
 
 import public_tokenizers
 import pytest
@@ -147,3 +148,15 @@ def test_whitespace_rule_covers_what_engines_disagree_on():
     for c in map(chr, [*range(0x250), *range(0x1680, 0x1690), *range(0x180B, 0x180F), *range(0x2000, 0x2070), 0x3000, 0xFEFF]):
         for text in (f"a{c} b", f"!{c}b", f"a {c} {c}b", f"{c}{c} !"):
             assert COUNTER.counts([text]) == expected([text]), hex(ord(c))
+
+
+def test_pieces_end_where_the_library_cuts():
+    """Words share a piece whatever sign follows; a random mix of letters, signs, marks and contractions counts as the library counts it."""
+    rng = random.Random(1)
+    parts = ["a", "Z", "é", "ß", "中", "\u0301", "1", "٣", "²", "'", "'s", "'ll", "'LL", "!", "._", "-", "\x01", "\x7f", " ", "  ", "\n", "\t", "\r\n", "\u00a0", "\u3000", "“", "…", "😀", "ſ", "don't", "12", "\u00ad"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(20_000)]
+    counter = token_counts.TokenCounter(BYTES)
+    assert counter.by_piece and counter.counts(texts) == expected(texts)
+    counter = token_counts.TokenCounter(BYTES)
+    counter.counts(["of word, word. word; word) word12 word!"])
+    assert set(counter.pieces) == {"of", " word", ",", ".", ";", ")", "12", "!"}
