@@ -1,14 +1,19 @@
 """Near copies by the Jaccard similarity of word shingles, exactly: two texts are linked if their sets of shingles have at least `similarity` in common.
 
 Candidates come from prefix filtering. All shingles stand in one global order, and of a set of n only the first n - ceil(similarity * n) + 1
-are its prefix: two sets that are similar enough share a shingle of their prefixes, whatever the order is. Shingles that a bounded sample
-shows to be frequent come last, which keeps boilerplate out of prefixes; the sample shapes the order, never the result. How many shingles
+are its prefix: two sets that are similar enough share a shingle of their prefixes, whatever the order is. How many shingles
 two prefixes share bounds the overlap of the sets, and only pairs that the bound leaves are compared as whole sets.
 
+The order goes by how many sets hold a shingle, rarest first. First one shingle in HALF is counted, over all sets: a set that has as many
+shingles of its own among them as its prefix is long has its whole prefix to itself, so it is like no other and leaves. Of the sets
+that stay all shingles are counted, and only those that several hold are ordered; the others come first in every prefix. What stays follows the
+number of near copies, not how often prose repeats five words by chance. Tables of FEW sets or less are searched without counts first,
+with the shingles last that a bounded sample shows to be frequent. The order shapes the work, never the result.
+
 A large group of near copies never meets in pairs: first each set is compared with a hub, the one of all sets with a prefix shingle that
 shares most of its own (an original among its copies), then with hubs of random orders, and after that only sets that this didn't
-connect are paired. If a shingle would still pair more than HOT sets, by exact count, then it is a phrase of texts that aren't alike, which the
-sample missed: it moves behind the others, prefixes are cut anew, and the search starts again with the links it has. Hubs are found by aggregation and joined back, so that no prefix shingle gathers its sets in one task.
+connect are paired. If in a search without counts a shingle would still pair more than HOT sets, then it is a phrase of texts that aren't alike, which the
+sample missed: all shingles are counted, and the search starts again with the links it has. Hubs are found by aggregation and joined back, so that no prefix shingle gathers its sets in one task.
 Sets are known by a 64-bit hash; equal ones are one node.
 """
 
@@ -31,9 +36,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 SAMPLE, FREQUENT = 4000, 3
 #: Rounds with hubs of a random order.
 ROUNDS = 1
-#: Sets that a shingle may still pair after the hubs; with more it moves behind all others, and prefixes are cut anew, so often at most;
-#: and shingles that are moved so at most (8 bytes each, sent to tasks), those of most sets first. What stays costs pairs, never links.
-HOT, RECUTS, MOST_LATE = 256, 2, 4_000_000
+#: Different sets that are searched without counts first, and sets that a shingle may then still pair after the hubs; with more, shingles are counted.
+FEW, HOT = 10_000, 256
+#: One in so many shingles is counted over all sets.
+HALF = 2
 #: Texts that are compared with one copy of a hub's text.
 SHARE = 512
 #: Against rounding of products with the similarity; far less than one shingle of the largest set.
@@ -80,22 +86,74 @@ def _frequent(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def _hot(rows: DataFrame) -> np.ndarray:
-    """The shingles of rows(h) that stand on more than HOT rows, sorted."""
+    """The shingle of rows(h) that stands on most rows, if those are more than HOT."""
     counted = rows.groupBy("h").count().filter(F.col("count") > HOT)
-    found = counted.orderBy(F.desc("count"), "h").limit(MOST_LATE).select("h").toPandas()
-    return np.sort(found["h"].to_numpy(np.int64).view(np.uint64))
+    found = counted.orderBy(F.desc("count"), "h").limit(1).select("h").toPandas()
+    return found["h"].to_numpy(np.int64).view(np.uint64)
+
+
+def _key(found: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(found.tobytes())
+
+
+def _some_shingles(docs: DataFrame, size: int) -> DataFrame:
+    """(key, h): the shingles of each row whose hash HALF divides."""
+
+    def run(batches):
+        for b in small_batches(batches):
+            found = [shingles(t, size) for t in text_bytes(b.column("text"))]
+            some = [f[f % np.uint64(HALF) == 0] for f in found]
+            keys = np.repeat(np.array([_key(f) for f in found], np.uint64), list(map(len, some)))
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (keys, np.concatenate([np.zeros(0, np.uint64), *some]))], ["key", "h"])
+
+    return docs.select("text").mapInArrow(run, "key long, h long")
+
+
+def _all_shingles(texts: DataFrame, size: int) -> DataFrame:
+    """(key, h): every shingle of texts(key, packed)."""
+
+    def run(batches):
+        read = zstandard.ZstdDecompressor().decompress
+        for b in small_batches(batches):
+            found = [shingles(read(t.as_py()), size) for t in b.column("packed")]
+            keys = np.repeat(b.column("key").to_numpy(), list(map(len, found)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], ["key", "h"])
+
+    return texts.mapInArrow(run, "key long, h long")
+
+
+def _not_alone(nodes: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The nodes(key, n, ...) but for those with a whole prefix of shingles that no other set has."""
+    # Copies of a set are one set: a shingle is its own if all rows of it have one key.
+    own = _some_shingles(docs, size).groupBy("h").agg(F.min("key").alias("key"), F.max("key").alias("high")).filter("key = high")
+    alone = nodes.join(own.groupBy("key").agg(F.count("*").alias("own")), "key").filter(F.col("own") >= F.expr(_prefix_length(similarity)))
+    return nodes.join(alone.select("key"), "key", "left_anti")
+
+
+def _prefix_length(similarity: float) -> str:
+    return f"n - ceil({similarity} * n - {TIE}) + 1"
+
+
+def _rarest_first(nodes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(key, n, prefix) of the nodes(key, n) with packed texts, by exact counts; prefix has only shingles that several sets hold."""
+    every = _all_shingles(texts, size)
+    held = every.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    lists = every.join(held, "h").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("shared"))
+    # A set's own shingles come before those that it shares.
+    cut = lists.join(nodes.select("key", "n"), "key").withColumn("left", F.expr(f"{_prefix_length(similarity)} - (n - size(shared))")).filter("left > 0")
+    return cut.select("key", "n", F.expr("slice(shared.h, 1, cast(left as int))").alias("prefix"))
 
 
-def _sets(docs: DataFrame, late: np.ndarray, size: int, similarity: float) -> DataFrame:
-    """(doc_id, text_hash, key, n, prefix) of each row; shingles in `late` (sorted) come behind all others."""
+def _sets(docs: DataFrame, late: np.ndarray | None, size: int, similarity: float) -> DataFrame:
+    """(doc_id, text_hash, key, n, prefix) of each row; shingles in `late` (sorted) come behind all others. Without late, prefixes are empty."""
     shared = docs.sparkSession.sparkContext.broadcast(late)
 
     def run(batches):
         for b in small_batches(batches):
             found = [shingles(t, size) for t in text_bytes(b.column("text"))]
-            keys = pa.array([xxhash.xxh3_64_intdigest(f.tobytes()) for f in found], pa.uint64()).view(pa.int64())
+            keys = pa.array(list(map(_key, found)), pa.uint64()).view(pa.int64())
             sizes = pa.array([len(f) for f in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), keys, sizes, _lists([prefix(f, shared.value, similarity) for f in found])], ["doc_id", "text_hash", "key", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), keys, sizes, _lists([f[:0] if shared.value is None else prefix(f, shared.value, similarity) for f in found])], ["doc_id", "text_hash", "key", "n", "prefix"])
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     return rows.mapInArrow(run, "doc_id long, text_hash long, key long, n long, prefix array<long>")
@@ -148,22 +206,21 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float)
     return links
 
 
-def near_links(nodes: DataFrame, sets: DataFrame, docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, last: bool = True) -> tuple[DataFrame, np.ndarray]:
-    """Edges (u, v) that connect all nodes(key, text_hash) whose sets are similar enough; sets(key, n, prefix) may repeat a key.
+def near_links(sets: DataFrame, texts: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, last: bool = True) -> tuple[DataFrame, np.ndarray]:
+    """Edges (u, v) that connect all keys of sets(key, n, prefix), which may repeat a key, that are similar enough; texts(key, packed) has their texts.
 
-    Unless it is the last time, shingles that would pair too many sets are given back beside the links found so far, and nothing is paired.
+    Unless it is the last time, a shingle that would pair too many sets is given back beside the links found so far, and nothing is paired.
     """
     every = sets.select("key", "n", F.explode("prefix").alias("h"))
     # Most shingles of prefixes stand in one set only; the others are few rows from here on.
     shared = materialize(every.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("h"), "near-shared")
     rows = materialize(every.join(shared, "h").distinct(), "near-prefixes")
     sizes = rows.groupBy("key").agg(F.count("*").alias("shared"))
-    texts = materialize(_packed(docs, nodes.select("key", "text_hash").join(sizes, "key", "left_semi")), "near-texts")
     close = f"least(n, m) >= {similarity} * greatest(n, m) - {TIE}"
     # A common shingle stands in both prefixes, or behind the prefix that ends first.
     behind = f"ceil({similarity} * greatest(n, m) - {TIE}) - 1"
     enough = f"{close} AND common + {behind} >= {similarity / (1 + similarity)} * (n + m) - {TIE}"
-    links, joined, tables = None, rows.join(sizes, "key").withColumn("root", F.col("key")), [shared, rows, texts]
+    links, joined, tables = None, rows.join(sizes, "key").withColumn("root", F.col("key")), [shared, rows]
     for k in range(ROUNDS + 1):
         # Numbers that differ by key, so that hubs are hash aggregates of numbers.
         order = F.xxhash64("key", F.lit(k)) if k else F.shiftleft(F.least("shared", F.lit(1 << 22)), 40) + F.pmod(F.xxhash64("key"), F.lit(1 << 40))
@@ -203,19 +260,23 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILA
     Null and empty texts and others without words are copies of each other; a long text counts whole. Rows that repeat a doc_id each
     give a row, an empty table gives none, and other columns are ignored.
     """
-    late, links = _frequent(docs, size), None
-    sets = materialize(_sets(docs, late, size, similarity), "near-sets")
+    owners = materialize(_sets(docs, None, size, similarity).drop("prefix"), "near-owners")
     # Rows of one key have one set; their texts may differ in case, spaces and repeats.
-    nodes = materialize(sets.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash")), "near-nodes")
-    owners = materialize(sets.select("doc_id", "key"), "near-owners")
-    for k in range(RECUTS + 1):
-        found, more = near_links(nodes, sets, docs, size, similarity, k == RECUTS)
+    nodes = materialize(owners.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.min("n").alias("n")), "near-nodes")
+    links, more = None, nodes.filter("n > 0").count() > FEW
+    if not more:
+        sets = materialize(_sets(docs, _frequent(docs, size), size, similarity), "near-sets")
+        texts = materialize(_packed(docs, nodes.select("key", "text_hash")), "near-texts")
+        links, hot = near_links(sets, texts, size, similarity, False)
+        discard(sets), discard(texts)
+        more = len(hot) > 0
+    if more:
+        some = materialize(_not_alone(nodes.filter("n > 0"), docs, size, similarity), "near-not-alone")
+        texts = materialize(_packed(docs, some.select("key", "text_hash")).groupBy("key").agg(F.min("packed").alias("packed")), "near-texts")
+        sets = materialize(_rarest_first(some, texts, size, similarity), "near-sets")
+        found, _ = near_links(sets, texts, size, similarity)
         links = found if links is None else links.unionByName(found)
-        discard(sets)
-        if not len(more):
-            break
-        late = np.union1d(late, more)
-        sets = materialize(_sets(docs, late, size, similarity), "near-sets")
+        discard(some), discard(sets), discard(texts)
     roots = components(links).select(F.col("u").alias("key"), F.col("v").alias("root"))
     rooted = nodes.select("key", "least").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "component_id")

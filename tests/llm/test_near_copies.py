@@ -110,3 +110,19 @@ def test_a_hub_of_very_many_pairs_is_dealt_to_several_tasks(spark, monkeypatch):
     rows = [(k, edited(base, k, k % 4)) for k in range(150)] + [(1000 + k, prose(400 + k, 40)) for k in range(20)]
     got = near_copies.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted(map(tuple, got), key=str) == jaccard_groups(rows)
+
+
+@pytest.mark.parametrize("size, similarity", [(5, 0.8), (3, 0.5), (1, 0.95)])
+def test_exact_counts_leave_out_only_sets_that_are_alone(spark, monkeypatch, size, similarity):
+    """Counted at once, the search is given the sets of near copies alone, and misses no pair; empty texts and copies in other letters included."""
+    monkeypatch.setattr(near_copies, "FEW", 0)
+    rows = [(900, None), (901, ""), (902, " \n")]
+    for k in range(12):
+        base = prose(3000 + k, (7, 60, 90, 200)[k % 4]) + " and the same closing words stand at the foot of every text"
+        rows += [(100 * k + 1000 + j, edited(base, 100 * k + j, (0, 0, 1, 2, 3, 6, 9)[j])) for j in range(7)] + [(100 * k + 1050, base.upper())]
+    rows += [(5000 + k, prose(7000 + k, 80)) for k in range(50)]
+    met = []
+    monkeypatch.setattr(near_copies, "near_links", lambda *a, f=near_copies.near_links: met.append(sorted(r["n"] for r in a[0].collect())) or f(*a))
+    got = near_copies.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), size, similarity).collect()
+    assert sorted(map(tuple, got), key=str) == jaccard_groups(rows, size, similarity)
+    assert len(met) == 1 and (size != 5 or len(met[0]) < 60)
