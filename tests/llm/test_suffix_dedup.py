@@ -121,3 +121,14 @@ def test_anchors_of_long_texts_in_pieces(monkeypatch):
         assert chunk == 1 or np.array_equal(sd._window_anchors(text), whole)
     monkeypatch.setattr(sd, "CHUNK", 1)
     assert np.array_equal(sd._window_anchors(text[:900]), whole[: 900 - sd.SPAN + 1])
+
+
+def test_hot_items_give_runs_of_windows(spark, monkeypatch):
+    """A passage among different words, counted by hash: an item has one row for its windows side by side, not one for each window."""
+    passage, met = prose(77, 150)[:600], []
+    rows = [(k, f"{prose(8000 + k, 30)} {passage} {prose(8100 + k, 30)}") for k in range(12)]
+    monkeypatch.setattr(sd, "covered_windows", lambda *a, f=sd.covered_windows: met.append(f(*a)) or met[-1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check(docs, rows, hot=0)
+    per_item = Counter(bytes(r["item"]) for r in met[-1].collect())
+    assert per_item and max(per_item.values()) == 1
